@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,16 +11,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opinara.llm._common import map_arrow, table
 
 #: Bounds of the fitted sample: languages, documents of each, characters of each document and bytes of a dictionary.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 160, 1500, 96 << 10
+MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 160, 1500, 32 << 10
 #: Texts are compressed in blocks of this many bytes, so that the dictionary matters throughout a long text.
-BLOCK_BYTES, LEVEL = 2048, 3
+BLOCK_BYTES = 4096
+#: zstandard levels of texts up to SHORT_BYTES, where each saved byte counts, and of longer ones.
+SHORT_BYTES, SHORT_LEVEL, LEVEL = 1024, 9, 3
+#: A text under this many bytes is encoded from several starts, at most STARTS, and the sizes are added:
+#: sizes are whole bytes, and one of a few words alone would tie.
+TINY_BYTES, STARTS = 400, 8
 #: A text whose two smallest encodings differ by less than this share is rejected.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.001
+#: Under so many bytes of letters sizes are too coarse for a margin to tell anything: the best guess stays.
+MARGIN_BYTES = 200
+#: What is compressed: lower-case letters and single blanks.
+OTHER = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Language and raw-content dictionary, in the order of the languages' names."""
+    """Language and raw-content dictionary, the commonest language first: ties go to it."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
 
@@ -40,47 +51,57 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     picked = rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     texts: dict[str, list] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return Model(tuple((lang, b"\n".join(xs[:SAMPLE_DOCS])[:DICTIONARY_BYTES]) for lang, xs in sorted(texts.items())))
+        texts.setdefault(r["lang"], []).append(letters(r["text"]))
+    return Model(tuple((r["lang"], b"\n".join(texts[r["lang"]][:SAMPLE_DOCS])[:DICTIONARY_BYTES]) for r in counts if r["lang"] in texts))
 
 
-def compressors(model: Model) -> list[tuple[str, object]]:
+def letters(text: str) -> bytes:
+    return OTHER.sub(" ", text.lower()).strip().encode()
+
+
+def compressors(model: Model) -> list[tuple[str, object, object]]:
     import zstandard as z
 
-    out = []
-    for lang, raw in model.dictionaries:
+    def one(raw: bytes, level: int):
         d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-    return out
+        d.precompute_compress(level=level)
+        return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    return [(lang, one(raw, SHORT_LEVEL), one(raw, LEVEL)) for lang, raw in model.dictionaries]
 
 
-def classify(text: str | None, by_lang: list[tuple[str, object]]) -> tuple[str, float, float]:
+def blocks(raw: bytes) -> list[bytes]:
+    if len(raw) < TINY_BYTES:
+        return [raw[k:] for k in range(0, len(raw), max(1, -(-len(raw) // STARTS)))]
+    return [raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES)]
+
+
+def classify(text: str | None, by_lang: list[tuple[str, object, object]]) -> tuple[str, float, float]:
     """(language, score, margin). No text, no letters or no model: ``und``, score and margin 0.
 
-    The score is the winner's weight among all languages when a size x bits counts as
-    exp(-8 x / smallest): 1 / number of languages on a tie, near 1 far ahead.
+    The score is the winner's weight among all languages when a size x weighs
+    exp(-8 x / smallest): 1 / number of languages on a tie, near 1 far ahead. The margin
+    is the share by which the smallest size is under the second, 1 for texts too short to tell.
     """
-    import math
-
     if not text or not by_lang or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0
-    raw = text.encode()
-    blocks = [raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES)]
-    sizes = [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_lang]
-    best = min(sizes)
+    raw = letters(text)
+    cut = blocks(raw)
+    sizes = [(sum(len((short if len(raw) <= SHORT_BYTES else long).compress(b)) for b in cut), lang) for lang, short, long in by_lang]
+    best = min(sizes, key=lambda x: x[0])
     if len(sizes) == 1:
         return best[1], 1.0, 1.0
-    second = min(s for s in sizes if s != best)
+    second = min(s for s in sizes if s is not best)
+    margin = (second[0] - best[0]) / second[0] if len(raw) >= MARGIN_BYTES else 1.0
     weights = sum(math.exp(-8 * (s - best[0]) / best[0]) for s, _ in sizes)
-    return best[1], 1 / weights, (second[0] - best[0]) / second[0]
+    return best[1], 1 / weights, margin
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1), lang_margin and lang_rejected.
 
     Every whole text is compressed, block by block, with each language's dictionary; the
-    smallest total wins, ties go to the first name. Rejected: ``und``, and margins under
+    smallest total wins, ties go to the commonest language. Rejected: ``und``, and margins under
     ``min_margin``. Existing columns of these names are replaced. Narrow.
     """
     new = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
