@@ -35,7 +35,7 @@ def _pack(h: Column, place: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the array column ``out``: ascending longs, share number << 32 | hash of the share's tuple.
 
-    The j-th occurrence of a k-mer is an element of its own, hashed with j, so that
+    The j-th occurrence of a k-mer is an element of its own, from the second on hashed with j, so that
     repetitions count (the multiset of k-mers, not the set). Hash space is cut into
     SKETCHES shares by its top bits; the TUPLE smallest elements of a share, put back into
     text order, are hashed to its entry. Moving text apart or swapping it changes tuples
@@ -48,19 +48,21 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # k-mer hashes with their places, sorted: equal k-mers stand together in text order
     one = F.size(a) == 1
     df = df.withColumn(b, F.sort_array(F.transform(F.slice(F.col(a), 1, F.greatest(F.size(a) - 1, F.when(one, 1).otherwise(0))), lambda x, i: _pack(F.xxhash64(x, F.get(F.col(a), i + 1)), i))))
-    # where each run of equal k-mers starts
-    df = df.withColumn(c, F.filter(F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>")), lambda j: (j == 0) | (_hash(F.get(F.col(b), j)) != _hash(F.get(F.col(b), j - 1)))))
-    # occurrence-numbered elements, in the order of their hashes
-    runs = F.transform(
-        F.col(c),
+    # a first occurrence keeps its k-mer's hash; the others, told by an equal hash before them, are hashed with their number
+    df = df.withColumn(c, F.filter(F.col(b), lambda x, j: _hash(x.bitwiseXOR(F.get(F.col(b), j - 1))) == 0))
+    df = df.withColumn(b, F.when(F.size(c) == 0, F.col(b)).otherwise(F.filter(F.col(b), lambda x, j: F.coalesce(_hash(x.bitwiseXOR(F.get(F.col(b), j - 1))) != 0, F.lit(True)))))
+    begins = F.filter(F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.coalesce(_hash(F.get(F.col(c), j).bitwiseXOR(F.get(F.col(c), j - 1))) != 0, F.lit(True)))
+    df = df.withColumn(d, begins)
+    numbered = F.transform(
+        F.col(d),
         lambda s, r: F.transform(
-            F.sequence(s, F.coalesce(F.get(F.col(c), r + 1), F.size(b)) - 1),
-            lambda j: F.coalesce(_pack(F.xxhash64(_hash(F.get(F.col(b), s)), j - s), _place(F.get(F.col(b), j))), F.lit(0).cast("long")),
+            F.sequence(s, F.coalesce(F.get(F.col(d), r + 1), F.size(c)) - 1),
+            lambda j: F.coalesce(_pack(F.xxhash64(_hash(F.get(F.col(c), s)), j - s + 1), _place(F.get(F.col(c), j))), F.lit(0).cast("long")),
         ),
     )
-    df = df.withColumn(d, F.sort_array(F.flatten(runs)))
+    df = df.withColumn(d, F.when(F.size(d) == 0, F.col(b)).otherwise(F.sort_array(F.concat(F.col(b), F.flatten(numbered)))))
     # sorted, a share is a stretch: its minimal elements are those with no TUPLE others of the share before them
-    df = df.withColumn(e, F.filter(F.col(d), lambda x, j: (j < TUPLE) | (_share(F.get(F.col(d), j - TUPLE)) != _share(x))))
+    df = df.withColumn(e, F.filter(F.col(d), lambda x, j: F.coalesce(_share(F.get(F.col(d), j - TUPLE).bitwiseXOR(x)) != 0, F.lit(True))))
 
     def entry(x: Column, j: Column) -> Column:
         after = F.get(F.col(e), j + 1)
