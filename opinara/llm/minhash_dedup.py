@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.llm._common import map_arrow, table
@@ -19,6 +20,8 @@ from opinara.storage import stored
 SKETCH, LEAST_ESTIMATE = 48, 0.55
 #: Members that one task confirms against a centre.
 CHUNK = 500
+#: Sets outside their centre's component, and others of the centre, that meet in one task.
+STRAYS, MEMBERS = 256, 1024
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,10 @@ def inverted_lists(classes: DataFrame, k: int, similarity: float, estimate: floa
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, union): exact sizes for pairs of documents, from their full shingle sets.
+    """(a, b, common, union, less, more): exact sizes for pairs of documents, from their full shingle sets.
+
+    ``less`` are the shingles that only b has, ``more`` those that only a has; null where
+    the pair has less than half in common.
 
     The pairs of a b are dealt into chunks of CHUNK and read as a stream sorted by chunk
     with b's text in front, so a task holds one set besides a batch, however many pairs b has.
@@ -104,7 +110,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             a = batch.column(2).to_pylist()
             h, sizes = shingle_sets(batch.column(3).to_pylist(), shingle)
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            out = {"a": [], "b": [], "common": [], "union": []}
+            out = {"a": [], "b": [], "common": [], "union": [], "less": [], "more": []}
             for i, k in enumerate(key):
                 s = h[edge[i] : edge[i + 1]]
                 if k != at:
@@ -114,28 +120,78 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 else:  # a repeated doc_id has several texts
                     for c in sets:
                         common = len(np.intersect1d(c, s, assume_unique=True))
-                        for name, x in zip(out, (a[i], k[0], common, len(c) + len(s) - common)):
+                        union = len(c) + len(s) - common
+                        differ = (np.setdiff1d(c, s, True).view(np.int64), np.setdiff1d(s, c, True).view(np.int64)) if 2 * common >= union else (None, None)
+                        for name, x in zip(out, (a[i], k[0], common, union, *differ)):
                             out[name].append(x)
             yield out
 
-    return map_arrow(stream, run, "a long, b long, common long, union long")
+    return map_arrow(stream, run, "a long, b long, common long, union long, less array<long>, more array<long>")
+
+
+def incidence(lists: list, columns: np.ndarray) -> np.ndarray:
+    """Rows x columns, 1 where a list holds the value of a column."""
+    out = np.zeros((len(lists), len(columns)), np.float32)
+    if len(columns):
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(row) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        hit = columns[at] == flat
+        out[row[hit], at[hit]] = 1
+    return out
+
+
+def links_round_centres(known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between different components among the sets confirmed against one centre.
+
+    ``known``: node, component, centre, home (the centre's component), size (of the
+    centre's set), less, more. A set is its centre's without ``less`` and with ``more``,
+    so |a and b| = size - |less_a| - |less_b| + |less_a and less_b| + |more_a and more_b|:
+    exact, from short differences. Those outside the centre's component meet all others of
+    the centre, in blocks of STRAYS x MEMBERS, and only links come out.
+    """
+    counts = known.groupBy("centre").agg(F.count_if(F.col("component") != F.col("home")).alias("strays"), F.count("*").alias("n")).filter("strays > 0")
+    counts = counts.select("centre", F.ceil(F.col("strays") / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"), "n")
+    held = lookup_by_key(known, counts, ["centre"], "n", "inner")
+    side = ["node", "component", "size", "less", "more"]
+    left = held.filter("component <> home").select("centre", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), *side)
+    right = held.select("centre", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cols")).cast("int").alias("j"), *side)
+
+    # new names, for the two sides come from one plan
+    right = right.select(*[F.col(c).alias(f"{c}_y") for c in right.columns])
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found, y = [], y.rename(columns=lambda c: c.removesuffix("_y"))
+        if len(x) and len(y):
+            both = np.zeros((len(x), len(y)), np.float32)
+            for c in ("less", "more"):
+                columns = np.unique(np.concatenate([np.asarray(v, np.int64) for v in x[c]]))
+                both += incidence(list(x[c]), columns) @ incidence(list(y[c]), columns).T
+            gone_x, gone_y, new_x, new_y = (f[c].map(len).to_numpy(np.int64) for c, f in (("less", x), ("less", y), ("more", x), ("more", y)))
+            size = int(x["size"].iloc[0])
+            common = size - gone_x[:, None] - gone_y[None] + both.astype(np.int64)
+            union = (size - gone_x + new_x)[:, None] + (size - gone_y + new_y)[None] - common
+            scale = 10**9
+            linked = (common * scale >= round(similarity * scale) * union) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None])
+            i, j = np.nonzero(linked)
+            # a row for each stray and component: they say all that the links say
+            found = list(dict.fromkeys(zip(x["component"].to_numpy()[i].tolist(), y["component"].to_numpy()[j].tolist())))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("centre", "i", "j").cogroup(right.groupBy("centre_y", "i_y", "j_y")).applyInPandas(run, "a long, b long").distinct()
 
 
 def rivals(lists: DataFrame, state: DataFrame, classes: DataFrame, k: int, similarity: float, estimate: float) -> DataFrame:
-    """(a, b): candidates of different components, from the lists that still hold several.
+    """(a, b): candidates of different components and centres, from the lists that still hold several.
 
-    Each pair of a list is taken where it is first shared, its estimate is made on the
-    union of the two sketches, and pairs are dropped that cannot be linked because their
-    known distances from one centre differ by more than the distance asked for (the
-    Jaccard distance is a metric).
+    Their estimate is made on the union of the two sketches.
     """
-    posted = lists.select("v", "node").join(state, "node")
-    mixed = posted.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
+    posted = lists.select("v", "node").join(state.select("node", "component", "centre"), "node")
+    mixed = posted.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("centre").alias("c0"), F.max("centre").alias("c1")).filter("lo <> hi AND c0 <> c1").select("v")
     left = posted.join(mixed, "v")
-    x = left.select("v", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "centre", "far")])
-    y = left.select("v", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "centre", "far")])
-    apart = (F.col("centre_x") == F.col("centre_y")) & (F.abs(F.col("far_x") - F.col("far_y")) > 1 - similarity + 1e-9)
-    pairs = x.join(y, "v").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~F.coalesce(apart, F.lit(False)))
+    x = left.select("v", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "centre")])
+    y = left.select("v", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "centre")])
+    pairs = x.join(y, "v").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("centre_x") != F.col("centre_y")))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     sk = classes.select("node", "sketch", "n_shingles")
     both = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
@@ -160,9 +216,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     2. Inverted lists of the classes' retained values, the rarest that suffice.
     3. In each list everything is paired with its most typical member only; each class
        keeps the partner that most lists give it, and the pair is confirmed on full sets.
-    4. What is still in different components and shares a list is estimated on the union
-       of the sketches and confirmed on full sets. Pairs inside a component are never
-       made, so large groups cost about their size.
+    4. Those confirmed against one centre and left outside its component meet the others
+       of that centre, exactly and in blocks, by their differences from the centre.
+    5. What is still in different components, has different centres and shares a list is
+       estimated on the union of the sketches and confirmed on full sets. Pairs inside a
+       component are never made, so large groups cost about their size.
 
     A null or empty text, or one without words, has an empty set and is its own component.
     Rows that repeat a doc_id are one document, linked by any of their texts, one row
@@ -184,12 +242,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     linked = F.col("common") * scale >= F.lit(round(similarity * scale)) * F.col("union")
     parts = connected_components(stars.filter(linked))
 
-    # of a pair confirmed for several texts of a repeated doc_id no distance is kept
-    known = stars.groupBy("a").agg(F.first("b").alias("centre"), F.first(1 - F.col("common") / F.col("union")).alias("far"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    state = involved.join(parts, "node", "left").join(known.withColumnRenamed("a", "node"), "node", "left")
-    state = stored(state.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"), F.when(F.col("centre").isNull(), 0.0).otherwise(F.col("far")).alias("far")), "state")
-    more = confirmed(stored(rivals(lists, state, classes, k, similarity, estimate), "rivals"), texts, shingle).filter(linked)
-    links = stored(more.select("a", "b"), "links")
+    # a doc_id with several texts has no one difference: it keeps a centre of its own
+    known = stars.groupBy("a").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("b", "common", "less", "more")]).filter("n = 1 AND less IS NOT NULL")
+    several = involved.join(texts.groupBy("node").count().filter("count > 1").select("node"), "node", "left_semi")
+    known = known.join(several.withColumnRenamed("node", "b"), "b", "left_anti")
+    own = parts.select(F.col("node").alias("b"), F.col("component").alias("home"))
+    state = involved.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    known = known.withColumnRenamed("a", "node").join(state, "node").join(own, "b", "left")
+    known = known.select("node", "component", F.col("b").alias("centre"), F.coalesce("home", "b").alias("home"), (F.col("common") + F.size("less")).alias("size"), "less", "more")
+    known = stored(known, "known")
+    state = stored(state.join(known.select("node", "centre"), "node", "left").select("node", "component", F.coalesce("centre", "node").alias("centre")), "state")
+    round_centres = stored(links_round_centres(known, similarity), "round")
+    now = connected_components(round_centres)
+    state = stored(state.withColumnRenamed("component", "c").join(now.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("component", "c").alias("component"), "centre"), "state")
+    links = stored(confirmed(stored(rivals(lists, state, classes, k, similarity, estimate), "rivals"), texts, shingle).filter(linked).select("a", "b"), "links")
     joined = connected_components(links.join(state.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(state.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     last = state.select("node", "component").join(joined.withColumnRenamed("component", "top"), F.col("component") == joined["node"], "left").select(state["node"], F.coalesce("top", "component").alias("component"))
 
