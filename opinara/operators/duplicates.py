@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara import schema as S
-from opinara.functions.text import literal_array
 from opinara.operators.graph import connected_components
 from opinara.operators.skew import lookup_by_key
 
@@ -36,9 +35,14 @@ def exact_duplicates(reviews: DataFrame) -> DataFrame:
 def repeated_sentence(text: Column, least: int = 3) -> Column:
     """True where a sentence of more than five characters occurs ``least`` times."""
     sentences = F.filter(F.transform(F.split(F.lower(text), "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) > 5)
-    ordered = F.array_sort(sentences)
-    # sorted, a sentence that occurs three times equals the one two places on
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ordered))), lambda i: F.coalesce(F.get(ordered, i - 1) == F.get(ordered, i + (least - 2)), F.lit(False)))
+    # sorted, equal sentences stand together: one fold counts the current run and the longest
+    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, s: Column) -> Column:
+        run = F.when(s == acc["s"], acc["run"] + 1).otherwise(1)
+        return F.struct(s.alias("s"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.coalesce(F.aggregate(F.array_sort(sentences), start, step, lambda acc: acc["most"]) >= least, F.lit(False))
 
 
 def tfidf(docs: DataFrame, stop_words: list[str], max_share: float = 0.95) -> DataFrame:
@@ -135,6 +139,3 @@ def sequential_users(reviews: DataFrame, gap: int = 2, least: int = 3) -> DataFr
     rows = parts.withColumn("new", (F.col("number") - F.lag("number").over(w) > gap).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w))
     return rows.groupBy("prefix", "island").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("users")).filter(F.col("users") >= least)
 
-
-def keyword_list(values: list[str]) -> Column:
-    return literal_array(values)

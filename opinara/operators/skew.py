@@ -15,14 +15,14 @@ def lookup_by_key(rows: DataFrame, table: DataFrame, keys: list[str], count: str
     looked up in a broadcast table; the others meet in an ordinary shuffle join,
     where no key is large. Null keys find nothing.
     """
-    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("__n"))
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("__all"))
     values = [c for c in table.columns if c not in (*keys, count)]
     packed = table.select(*keys, count, F.struct(*values).alias("__v"))
     hot = (
-        packed.join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("__n"))
+        packed.join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("__all"))
         .select(*keys, F.col("__v").alias("__hot"))
     )
-    cold = packed.join(F.broadcast(total), F.col(count) * HOT_SHARE <= F.col("__n")).select(*keys, F.col("__v").alias("__cold"))
+    cold = packed.join(F.broadcast(total), F.col(count) * HOT_SHARE <= F.col("__all")).select(*keys, F.col("__v").alias("__cold"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     found = marked.filter("__hot IS NOT NULL").select(*rows.columns, *[F.col(f"__hot.{v}").alias(v) for v in values])
     rest = marked.filter("__hot IS NULL").drop("__hot").join(cold, keys, how)

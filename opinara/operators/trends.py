@@ -8,8 +8,14 @@ from opinara import schema as S
 from opinara.operators.ordering import positions
 
 KEYS = ["product_name", "feature"]
-SERIES = Window.partitionBy(*KEYS)
-ORDERED = SERIES.orderBy("window_no")
+
+
+def series():
+    return Window.partitionBy(*KEYS)
+
+
+def ordered():
+    return series().orderBy("window_no")
 
 
 def sliding_windows(mentions: DataFrame, order: list[str], size: int = 50, step: int = 25) -> DataFrame:
@@ -39,14 +45,14 @@ def feature_rates(windowed: DataFrame) -> DataFrame:
 
 
 def baseline() -> Column:
-    return F.max(F.when(F.col("window_no") == 1, F.col("complaint_rate"))).over(SERIES)
+    return F.max(F.when(F.col("window_no") == 1, F.col("complaint_rate"))).over(series())
 
 
 def z_scores(rates: DataFrame) -> DataFrame:
     """z against the first window, in population deviations of the series; a deviation of 0 counts as 0.01. Null without a first window or with one window."""
-    sd = F.stddev_pop("complaint_rate").over(SERIES)
+    sd = F.stddev_pop("complaint_rate").over(series())
     z = (F.col("complaint_rate") - baseline()) / F.when(sd < 1e-9, 0.01).otherwise(sd)
-    return rates.withColumns({"baseline_rate": baseline(), "z_score": F.when(F.count("*").over(SERIES) >= 2, z)})
+    return rates.withColumns({"baseline_rate": baseline(), "z_score": F.when(F.count("*").over(series()) >= 2, z)})
 
 
 def emerging(rates: DataFrame) -> DataFrame:
@@ -59,7 +65,7 @@ def emerging(rates: DataFrame) -> DataFrame:
 
 def directions(rates: DataFrame) -> DataFrame:
     """Per series: slope of the rates by their order, largest |z|, spiking, declining or stable."""
-    rows = emerging(z_scores(rates)).withColumn("i", F.row_number().over(ORDERED) - 1)
+    rows = emerging(z_scores(rates)).withColumn("i", F.row_number().over(ordered()) - 1)
     out = rows.groupBy(*KEYS).agg(
         F.count("*").alias("windows"), F.regr_slope("complaint_rate", "i").alias("slope"), F.coalesce(F.max(F.abs("z_score")), F.lit(0.0)).alias("max_severity"),
         F.bool_or("is_emerging").alias("any_emerging"), F.max_by("complaint_rate", "window_no").alias("latest_rate"),
@@ -76,10 +82,10 @@ def lifecycle(rates: DataFrame, base: float = S.BASELINE_RATE) -> DataFrame:
     such, previous and latest rate.
     """
     rate, over = F.col("complaint_rate"), F.col("complaint_rate") > S.SYSTEMIC_FACTOR * base
-    rows = rates.withColumns({"__over": over, "prev": F.lag("complaint_rate").over(ORDERED), "__n": F.row_number().over(ORDERED)})
-    rows = rows.withColumns({"__total": F.count_if("__over").over(ORDERED), "__island": F.count_if(~F.col("__over")).over(ORDERED)})
+    rows = rates.withColumns({"__over": over, "prev": F.lag("complaint_rate").over(ordered()), "__n": F.row_number().over(ordered())})
+    rows = rows.withColumns({"__total": F.count_if("__over").over(ordered()), "__island": F.count_if(~F.col("__over")).over(ordered())})
     rows = rows.withColumn("__run", F.count_if("__over").over(Window.partitionBy(*KEYS, "__island").orderBy("window_no")))
-    rows = rows.withColumn("__longest", F.max("__run").over(ORDERED))
+    rows = rows.withColumn("__longest", F.max("__run").over(ordered()))
     stage = (
         F.when(F.col("__n") == 1, "detected").when(rate <= base + S.SIGNIFICANT_POINTS, "resolved").when(rate < F.col("prev"), "resolving")
         .when((F.col("__total") >= S.PERSISTENT_WINDOWS) & (rate >= F.col("prev")), "persistent").when(F.col("__longest") >= S.SYSTEMIC_RUN, "systemic")
@@ -93,4 +99,4 @@ def lifecycle(rates: DataFrame, base: float = S.BASELINE_RATE) -> DataFrame:
 
 def transitions(stages: DataFrame) -> DataFrame:
     """Windows where a series enters another stage; it begins detected."""
-    return stages.withColumn("from_stage", F.lag("stage", 1, "detected").over(ORDERED)).filter("from_stage <> stage")
+    return stages.withColumn("from_stage", F.lag("stage", 1, "detected").over(ordered())).filter("from_stage <> stage")

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara.functions.numbers import percent
 
-WEEKS = Window.partitionBy("product_name").orderBy("week_end")
-PRIOR = WEEKS.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_week():
+    return Window.partitionBy("product_name").orderBy("week_end")
+
+
+def prior():
+    return by_week().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def week_end(ts: Column) -> Column:
@@ -23,20 +28,21 @@ def weekly_metrics(reviews: DataFrame) -> DataFrame:
     return out.select("product_name", "week_end", "volume", (F.col("stars") / F.col("volume")).alias("avg_rating"), percent(F.col("negatives"), F.col("volume")).alias("complaint_rate"), percent(F.col("positives"), F.col("volume")).alias("sentiment_score"))
 
 
-def expanding_z(value: str, over=PRIOR) -> Column:
+def expanding_z(value: str, over=None) -> Column:
     """z against the mean and sample deviation of the earlier rows; 0 with fewer than two or no deviation."""
+    over = prior() if over is None else over
     sd = F.stddev_samp(value).over(over)
     z = (F.col(value) - F.avg(value).over(over)) / sd
     return F.when((F.count(value).over(over) >= 2) & (sd > 1e-9), z).otherwise(0.0)
 
 
 def weekly_z(weeks: DataFrame) -> DataFrame:
-    return weeks.withColumns({"week_no": F.row_number().over(WEEKS)} | {f"z_{c}": expanding_z(c) for c in ("avg_rating", "complaint_rate", "volume")})
+    return weeks.withColumns({"week_no": F.row_number().over(by_week())} | {f"z_{c}": expanding_z(c) for c in ("avg_rating", "complaint_rate", "volume")})
 
 
 def weekly_anomalies(weeks: DataFrame) -> DataFrame:
     """(product, week_no, type, z, metric, baseline) from the fourth week on; a rating crash excludes the others."""
-    rows = weekly_z(weeks).withColumns({f"base_{c}": F.avg(c).over(PRIOR) for c in ("avg_rating", "complaint_rate", "volume")})
+    rows = weekly_z(weeks).withColumns({f"base_{c}": F.avg(c).over(prior()) for c in ("avg_rating", "complaint_rate", "volume")})
     crash = (F.col("z_avg_rating") < -2) & (F.col("avg_rating") < 4)
     item = lambda when, kind, c: F.when(when, F.struct(F.lit(kind).alias("type"), F.col(f"z_{c}").alias("z"), F.col(c).cast("double").alias("metric"), F.col(f"base_{c}").alias("baseline")))
     found = F.array_compact(F.array(
@@ -50,7 +56,7 @@ def silent_growth(weeks: DataFrame, least: float = 1.5) -> DataFrame:
     """Weeks whose complaint z and the two before exceed ``least``."""
     rows = weekly_z(weeks)
     z = F.col("z_complaint_rate")
-    rows = rows.filter("TRUE").withColumns({"z1": F.lag(z, 1).over(WEEKS), "z2": F.lag(z, 2).over(WEEKS)})
+    rows = rows.withColumns({"z1": F.lag(z, 1).over(by_week()), "z2": F.lag(z, 2).over(by_week())})
     return rows.filter((z > least) & (F.col("z1") > least) & (F.col("z2") > least)).drop("z1", "z2")
 
 

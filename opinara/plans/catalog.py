@@ -257,7 +257,7 @@ def keyword_top_issue(spark, d):
 def precision_recall(spark, d):
     flagged = document_reviews(spark, d).select(F.col("review_id").alias("doc_id"), (X.quality_score(F.col("review_text"), STOP_TEST, ["is"]) < 100).alias("low"))
     rows = flagged.join(table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
-    c = rows.agg(F.count_if("low AND bad").alias("tp"), F.count_if("low AND NOT bad").alias("fp"), F.count_if("NOT low AND bad").alias("fn"))
+    c = rows.agg(F.count_if(F.expr("low AND bad")).alias("tp"), F.count_if(F.expr("low AND NOT bad")).alias("fp"), F.count_if(F.expr("NOT low AND bad")).alias("fn"))
     return c.select("tp", "fp", "fn", r4(percent(F.col("tp"), F.col("tp") + F.col("fp")), 1).alias("precision"), r4(percent(F.col("tp"), F.col("tp") + F.col("fn")), 1).alias("recall"))
 
 
@@ -397,7 +397,7 @@ def vocab_emerging(spark, d):
     half = rows.agg((F.max("review_id") / 2).alias("half"))
     ws = F.regexp_extract_all(F.lower("review_text"), F.lit(X.WORD), F.lit(0))
     pairs = rows.withColumn("w", ws).withColumn("p", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).filter("size(w) > 1")
-    df = pairs.join(F.broadcast(half)).select((F.col("review_id") > F.col("half")).alias("current"), F.explode(F.array_distinct("p")).alias("phrase")).groupBy("phrase").agg(F.count_if("current").alias("current"), F.count_if("NOT current").alias("baseline"))
+    df = pairs.join(F.broadcast(half)).select((F.col("review_id") > F.col("half")).alias("current"), F.explode(F.array_distinct("p")).alias("phrase")).groupBy("phrase").agg(F.count_if("current").alias("current"), F.count_if(~F.col("current")).alias("baseline"))
     return df.filter("current >= 5 AND baseline < 2").select("phrase", "current", "baseline", (F.col("current") - F.col("baseline")).alias("score"))
 
 
