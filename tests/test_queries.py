@@ -1,7 +1,9 @@
 """Queries against their SQL on the smallest tables."""
 
+import numbers
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -22,7 +24,7 @@ def oracle(sql):
 
 def table(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if pd.isna(v) else f"{float(v):.4f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in df.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{float(v):.4f}" if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v) for v in row) for row in df.itertuples(index=False))
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
