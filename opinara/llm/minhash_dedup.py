@@ -21,7 +21,7 @@ SKETCH, LEAST_ESTIMATE = 48, 0.55
 #: Members that one task confirms against a centre.
 CHUNK = 500
 #: Sets outside their centre's component, and others of the centre, that meet in one task.
-STRAYS, MEMBERS = 256, 1024
+STRAYS, MEMBERS = 128, 1024
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +89,7 @@ def inverted_lists(classes: DataFrame, k: int, similarity: float, estimate: floa
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(a, b, common, union, less, more): exact sizes for pairs of documents, from their full shingle sets.
 
-    ``less`` are the shingles that only b has, ``more`` those that only a has; null where
-    the pair has less than half in common.
+    ``less`` are the shingles that only b has, ``more`` those that only a has.
 
     The pairs of a b are dealt into chunks of CHUNK and read as a stream sorted by chunk
     with b's text in front, so a task holds one set besides a batch, however many pairs b has.
@@ -121,7 +120,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     for c in sets:
                         common = len(np.intersect1d(c, s, assume_unique=True))
                         union = len(c) + len(s) - common
-                        differ = (np.setdiff1d(c, s, True).view(np.int64), np.setdiff1d(s, c, True).view(np.int64)) if 2 * common >= union else (None, None)
+                        differ = (np.setdiff1d(c, s, True).view(np.int64), np.setdiff1d(s, c, True).view(np.int64))
                         for name, x in zip(out, (a[i], k[0], common, union, *differ)):
                             out[name].append(x)
             yield out
@@ -243,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     parts = connected_components(stars.filter(linked))
 
     # a doc_id with several texts has no one difference: it keeps a centre of its own
-    known = stars.groupBy("a").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("b", "common", "less", "more")]).filter("n = 1 AND less IS NOT NULL")
+    known = stars.groupBy("a").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("b", "common", "less", "more")]).filter("n = 1")
     several = involved.join(texts.groupBy("node").count().filter("count > 1").select("node"), "node", "left_semi")
     known = known.join(several.withColumnRenamed("node", "b"), "b", "left_anti")
     own = parts.select(F.col("node").alias("b"), F.col("component").alias("home"))
