@@ -14,10 +14,10 @@ from opinara.llm._common import map_arrow, table
 WINDOW, TIERS, END_ID = 2048, (256, 512, 1024, 2048), 1
 #: Tokens of a step group; every full group of any tier has exactly as many.
 STEP_TOKENS = 16 * 2048
-#: Words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words of a cache generation; a Python worker keeps the newest and the one before it, so frequent words stay.
+CACHE_WORDS = 500_000
 
-_CACHES: dict[str, dict[bytes, bytes]] = {}
+_CACHES: dict[str, list[dict[bytes, bytes]]] = {}
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -53,13 +53,20 @@ def words_to_ids(words: list[bytes], path: str) -> list[bytes]:
 
 def encode_words(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of whole texts, by a look-up of their ASCII-white-space words; unknown words are encoded once."""
-    cache = _CACHES.setdefault(path, {})
+    new, old = _CACHES.setdefault(path, [{}, {}])
     split = [(x or "").encode().split() for x in texts]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in {w for ws in split for w in ws} if w not in cache]
-    cache.update(zip(new, words_to_ids(new, path)))
-    return [b"".join([cache[w] for w in ws]) for ws in split]
+    unseen = []
+    for w in {w for ws in split for w in ws}:
+        if w not in new:
+            if w in old:
+                new[w] = old[w]
+            else:
+                unseen.append(w)
+    new.update(zip(unseen, words_to_ids(unseen, path)))
+    out = [b"".join([new[w] for w in ws]) for ws in split]
+    if len(new) > CACHE_WORDS:
+        _CACHES[path] = [{}, new]
+    return out
 
 
 class Packer:
