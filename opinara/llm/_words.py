@@ -28,10 +28,24 @@ def draws(n: int, seed: int) -> np.ndarray:
 
 _BYTES = draws(256, 1)
 _PLACES = draws(1 << 12, 2)
+#: Texts are hashed together up to about this many characters.
+SLICE_CHARS = 1 << 20
 
 
 def words_of(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     r"""(hash of every word ``[^\x20\x09-\x0D]+`` of all texts in order, number of words of each text); ``lower`` folds A-Z."""
+    parts, start, size = [], 0, 0
+    for i, x in enumerate(texts):
+        size += len(x or "")
+        if size >= SLICE_CHARS or i == len(texts) - 1:
+            parts.append(_words_of(texts[start : i + 1], lower))
+            start, size = i + 1, 0
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _words_of(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     global _PLACES
     raw = [(x or "").encode() for x in texts]
     sizes = np.array([len(x) + 1 for x in raw], np.int64)

@@ -15,7 +15,7 @@ WINDOW, TIERS, END_ID = 2048, (256, 512, 1024, 2048), 1
 #: Tokens of a step group; every full group of any tier has exactly as many.
 STEP_TOKENS = 16 * 2048
 #: Words of a cache generation; a Python worker keeps the newest and the one before it, so frequent words stay.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _CACHES: dict[str, list[dict[bytes, bytes]]] = {}
 _TOKENIZERS: dict[str, object] = {}
