@@ -253,6 +253,13 @@ def keyword_top_issue(spark, d):
     return E.top_per(rows, ["product_name"], [F.desc("n"), place], 1).select("product_name", F.initcap("keyword").alias("top_word"), "n")
 
 
+@query
+def keyword_extraction(spark, d):
+    from opinara.operators.extraction import keyword_features
+
+    return keyword_features(document_reviews(spark, d), KEY_TEST, NEG_TEST, POS_TEST)
+
+
 @query
 def precision_recall(spark, d):
     flagged = document_reviews(spark, d).select(F.col("review_id").alias("doc_id"), (X.quality_score(F.col("review_text"), STOP_TEST, ["is"]) < 100).alias("low"))

@@ -158,6 +158,8 @@ SELECT product_name, {_r('first_rating', 1)}, degraded_at, {_r('early')}, {_r('r
 SELECT keyword, reviews, {_r('rate0', 4, 'rate')}, CASE WHEN rate0 > 25 THEN 'SYSTEMIC' WHEN rate0 > 15 THEN 'EMERGING' ELSE 'MONITOR' END AS status, floor(least(rate0 * 2.5, 100))::INTEGER AS score FROM c ORDER BY reviews DESC, keyword LIMIT 3""",
     "keyword_top_issue": f"""WITH {_DOC}, k AS (SELECT product_name, unnest(list_filter({_LIST(_KEY)}, lambda k: contains(lower(review_text), k))) AS keyword FROM doc), c AS (SELECT product_name, keyword, count(*) AS n FROM k GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY n DESC, list_position({_LIST(_KEY)}, keyword)) AS r FROM c) SELECT product_name, upper(keyword[1]) || keyword[2:] AS top_word, n FROM t WHERE r = 1""",
+    "keyword_extraction": f"""WITH {_DOC}, t AS (SELECT review_id, list_filter({_LIST(_KEY)}, lambda k: contains(lower(review_text), k)) AS f, len(list_filter({_LIST(_NEG)}, lambda k: contains(lower(review_text), k))) AS n, len(list_filter({_LIST(_POS)}, lambda k: contains(lower(review_text), k))) AS p FROM doc)
+SELECT review_id, unnest(f) AS feature, CASE WHEN n > p THEN 'negative' WHEN p > n THEN 'positive' ELSE 'neutral' END AS sentiment FROM t""",
     "precision_recall": f"""WITH {_DOC}, {_quality('review_text', ['the', 'and', 'of', 'to', 'in'], ['is'])}, c AS (SELECT count_if(score < 100 AND quality = 0)::BIGINT AS tp, count_if(score < 100 AND quality <> 0)::BIGINT AS fp, count_if(score >= 100 AND quality = 0)::BIGINT AS fn FROM q JOIN labels ON doc_id = review_id)
 SELECT tp, fp, fn, {_r('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) * 100 ELSE 0 END', 1, 'precision')}, {_r('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) * 100 ELSE 0 END', 1, 'recall')} FROM c""",
     "exact_dups": f"WITH {_DOC}, t AS (SELECT review_id, count(*) OVER (PARTITION BY {_NORM}) AS copies, min(review_id) OVER (PARTITION BY {_NORM}) AS first_id FROM doc WHERE length(trim(review_text)) > 0) SELECT review_id, copies, first_id, review_id <> first_id AS is_duplicate FROM t WHERE copies > 1",
