@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from opinara import schema as S
@@ -39,6 +40,36 @@ def repaired(text: Column) -> Column:
     return F.translate(text, "‘’“”\x00​‌‍﻿᠎", "''\"\"")
 
 
+def composed(text: Column) -> Column:
+    """NFC. Texts within Latin-1 are composed already."""
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+    return nfc(text)
+
+
+def unscrambled(text: Column) -> Column:
+    """UTF-8 that was once read as Latin-1 is read again; texts with other characters, or not UTF-8 then, stay."""
+    latin = F.encode(F.when(text.rlike(r"^[\x{0}-\x{FF}]*$") & text.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]"), text), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(latin), latin).otherwise(text)
+
+
+def review_language(text: Column) -> Column:
+    """HINGLISH where over a fifth of the Latin words are Hindi, HI in an Indian script, EN where English function words are a tenth of the words, else OTHER."""
+    ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    n = F.size(ws)
+    indian = F.coalesce(text, F.lit("")).rlike(r"[\x{900}-\x{D7F}]")
+    return F.when(indian, "HI").when(n == 0, "OTHER").when(of_words(ws, S.HINDI_WORDS) / n > 0.2, "HINGLISH").when(of_words(ws, S.ENGLISH_WORDS) / n >= 0.1, "EN").otherwise("OTHER")
+
+
+def text_key(text: Column) -> Column:
+    """MD5 of the lower-case text without blanks: equal for exact copies."""
+    return F.md5(F.replace(F.lower(text), F.lit(" "), F.lit("")))
+
+
 def expanded(text: Column) -> Column:
     for short, long in S.ABBREVIATIONS.items():
         text = F.regexp_replace(text, rf"(?i)\b{short}\b", long)
@@ -134,4 +165,4 @@ def bot_signals(text: Column, rating: Column, username: Column) -> Column:
 
 
 def bot_status(score: Column) -> Column:
-    return F.when(score <= 25, "TRUSTED").when(score <= 50, "LOW").when(score <= 75, "HIGH").otherwise("CONFIRMED_BOT")
+    return F.when(score <= 25, "TRUSTED").when(score <= 50, "LOW_SUSPICION").when(score <= 75, "HIGH_SUSPICION").otherwise("CONFIRMED_BOT")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opinara import schema as S
 from opinara.operators.graph import connected_components
 from opinara.operators.skew import lookup_by_key
+from opinara.storage import stored
 
 
 def normal_form(text: Column) -> Column:
@@ -80,6 +81,23 @@ def near_groups(pairs: DataFrame) -> DataFrame:
     return parts.join(parts.groupBy("group_id").agg(F.count("*").alias("group_size")), "group_id")
 
 
+def text_groups(reviews: DataFrame, stop_words: list[str], least: float = S.DUPLICATE_SIMILARITY, strict: bool = False) -> DataFrame:
+    """``near_groups`` of reviews whose tf-idf cosine is at least (``strict``: over) ``least``.
+
+    Equal texts have equal vectors: each meets its first copy alone, and only first copies
+    are compared, so a text that many rows share makes no pairs among its copies. The
+    weights still count every row.
+    """
+    weights = stored(tfidf(reviews, stop_words), "weights")
+    keyed = reviews.join(weights.select("review_id").distinct(), "review_id", "left_semi").select("review_id", F.sha2(normal_form(F.col("review_text")), 256).alias("__k"))
+    firsts = keyed.groupBy("__k").agg(F.min("review_id").alias("first_id"), F.count("*").alias("n"))
+    pairs = similar_pairs(weights.join(firsts.select(F.col("first_id").alias("review_id")), "review_id", "left_semi"), least)
+    if strict:
+        pairs = pairs.filter(F.col("similarity") > least)
+    copies = lookup_by_key(keyed, firsts.filter("n > 1"), ["__k"], "n", "inner").select(F.col("first_id").alias("a"), F.col("review_id").alias("b")).filter("a <> b")
+    return near_groups(pairs.select("a", "b").unionByName(copies))
+
+
 def trust(group_size: Column, exact: Column, repetitive: Column, template: Column) -> Column:
     """100 less 20 to 50 for a near-duplicate group, 30 for exact copies, 25 for repetition, 35 for a template; 0 to 100."""
     near = F.when(group_size >= 2, F.least(F.lit(50), 20 + 5 * (group_size - 2))).otherwise(0)
@@ -131,11 +149,15 @@ def greedy_bursts(reviews: DataFrame, hours: int = 2, least: int = 3) -> DataFra
     return rows.groupBy("product_name", "island").applyInPandas(scan, "product_name string, campaign_id long, review_id long, rating int")
 
 
-def sequential_users(reviews: DataFrame, gap: int = 2, least: int = 3) -> DataFrame:
-    """Islands of user names with one prefix and numbers at most ``gap`` apart, of at least ``least`` names."""
+def user_islands(reviews: DataFrame, gap: int = 2) -> DataFrame:
+    """(username, prefix, number, island): numbered names of one prefix, a new island where numbers are over ``gap`` apart."""
     names = reviews.filter("username IS NOT NULL").select("username").distinct()
-    parts = names.select(F.regexp_extract("username", r"^(.+?)(\d+)$", 1).alias("prefix"), F.regexp_extract("username", r"^(.+?)(\d+)$", 2).cast("long").alias("number")).filter("prefix <> ''").distinct()
+    parts = names.select("username", F.regexp_extract("username", r"^(.+?)(\d+)$", 1).alias("prefix"), F.regexp_extract("username", r"^(.+?)(\d+)$", 2).cast("long").alias("number")).filter("prefix <> ''")
     w = Window.partitionBy("prefix").orderBy("number")
-    rows = parts.withColumn("new", (F.col("number") - F.lag("number").over(w) > gap).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return rows.groupBy("prefix", "island").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("users")).filter(F.col("users") >= least)
+    return parts.withColumn("new", (F.col("number") - F.lag("number").over(w) > gap).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w)).drop("new")
+
 
+def sequential_users(reviews: DataFrame, gap: int = 2, least: int = 3) -> DataFrame:
+    """Islands of user names with one prefix and numbers at most ``gap`` apart, of at least ``least`` names."""
+    rows = user_islands(reviews, gap)
+    return rows.groupBy("prefix", "island").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.countDistinct("number").alias("users")).filter(F.col("users") >= least)

@@ -300,14 +300,14 @@ def tfidf_edges(spark, d):
 
 @query
 def dup_components(spark, d):
-    return D.near_groups(_edges(spark, d))
+    return D.text_groups(document_reviews(spark, d), STOP_TEST)
 
 
 def _trust(spark, d):
     rows = document_reviews(spark, d)
     exact = D.group_sizes(rows, D.normal_form(F.col("review_text")), "copies").select("review_id", "copies", D.repeated_sentence(F.col("review_text")).alias("repetitive"))
     template = _template(spark, d).select("review_id", "matches")
-    groups = D.near_groups(_edges(spark, d))
+    groups = D.text_groups(rows, STOP_TEST)
     out = exact.join(template, "review_id").join(groups, "review_id", "left")
     score = D.trust(F.coalesce("group_size", F.lit(0)), F.col("copies") > 1, F.col("repetitive"), F.col("matches") >= 3)
     flagged = (F.col("copies") > 1) | F.col("repetitive") | (F.col("matches") >= 3)
@@ -456,3 +456,148 @@ def stream_weekly(spark, d):
     from opinara.streaming.weekly import run_weekly
 
     return run_weekly(spark, d)
+
+
+def _frequency(spark, d):
+    from opinara.operators.vocabulary import phrase_frequency
+
+    rows = document_reviews(spark, d)
+    half = rows.agg((F.max("review_id") / 2).alias("half"))
+    return phrase_frequency(rows.join(F.broadcast(half)), F.col("review_id") > F.col("half"))
+
+
+@query
+def phrase_frequency(spark, d):
+    return _frequency(spark, d).filter("current + baseline >= 3")
+
+
+@query
+def phrase_emerging(spark, d):
+    from opinara.operators.vocabulary import emerging_phrases
+
+    return emerging_phrases(_frequency(spark, d), 3, 2)
+
+
+@query
+def phrase_novel(spark, d):
+    from opinara.operators.vocabulary import emerging_phrases, novel_phrases
+
+    return novel_phrases(emerging_phrases(_frequency(spark, d), 3, 2), KEY_TEST[:5]).select("phrase", "emergence_score")
+
+
+@query
+def vocabulary_alert(spark, d):
+    from opinara.operators.vocabulary import emerging_phrases, vocabulary_alert as alert
+
+    return alert(emerging_phrases(_frequency(spark, d), 3, 2), "all", "W2", 3)
+
+
+def _text_campaigns(spark, d):
+    from opinara.operators.campaigns import text_campaigns
+
+    return text_campaigns(D.text_groups(document_reviews(spark, d), STOP_TEST, 0.65, strict=True))
+
+
+@query
+def text_campaigns(spark, d):
+    return _text_campaigns(spark, d)
+
+
+@query
+def username_campaigns(spark, d):
+    from opinara.operators.campaigns import username_campaigns as campaigns
+
+    return campaigns(D.sequential_users(event_reviews(spark, d).filter("rating = 1")))
+
+
+@query
+def campaign_union(spark, d):
+    from opinara.operators.campaigns import burst_campaigns as bursts, username_campaigns as names
+
+    rows = event_reviews(spark, d)
+    return bursts(D.greedy_bursts(rows)).unionByName(names(D.sequential_users(rows.filter("rating = 1")))).unionByName(_text_campaigns(spark, d))
+
+
+def _members(spark, d):
+    rows = D.user_islands(event_reviews(spark, d).filter("rating = 1")).withColumn("campaign_id", F.concat_ws("#", "prefix", "island"))
+    big = rows.groupBy("campaign_id").agg(F.count("*").alias("n")).filter("n >= 3")
+    return rows.join(big, "campaign_id").select("campaign_id", "username", F.lit(75).alias("confidence"))
+
+
+@query
+def network_nodes(spark, d):
+    from opinara.operators.campaigns import network_nodes as nodes
+
+    others = event_reviews(spark, d).groupBy("username").agg(F.count_if(F.col("rating") == 1).alias("n")).select("username", X.bot_status(F.col("n") * 10).alias("status"))
+    return nodes(_members(spark, d), others)
+
+
+@query
+def network_edges(spark, d):
+    from opinara.operators.campaigns import network_edges as edges
+
+    return edges(_members(spark, d)).select("from_user", "to_user")
+
+
+@query
+def bot_exact_copies(spark, d):
+    rows = document_reviews(spark, d).select("review_id", X.text_key(F.col("review_text")).alias("text_key"))
+    return rows.groupBy("text_key").agg(F.min("review_id").alias("kept_id"), (F.count("*") - 1).alias("removed")).filter("removed > 0")
+
+
+@query
+def reply_drafts(spark, d):
+    from opinara.operators.replies import reply_drafts as drafts
+
+    feature = F.element_at(F.array(*map(F.lit, ("Seal", "build", "transit", "price"))), (F.col("review_id") % 4 + 1).cast("int"))
+    return drafts(document_reviews(spark, d).select("review_id", "product_name", feature.alias("feature")))
+
+
+@query
+def surprise_sentiments(spark, d):
+    names = spark.createDataFrame([(s,) for s in ("positive", "negative", "neutral", "mixed")], "sentiment string")
+    counts = event_reviews(spark, d).groupBy("sentiment").agg(F.count("*").alias("n"))
+    return F.broadcast(names).join(counts, "sentiment", "left").select("sentiment", F.coalesce("n", F.lit(0)).alias("reviews"))
+
+
+def _surprise(spark, d):
+    bad = line_reviews(spark, d).filter("sentiment = 'negative'").groupBy("feature").agg(F.count("*").alias("complaints"), F.avg(F.coalesce("intensity", F.lit(0.5))).alias("i"))
+    return bad.orderBy(F.desc("complaints"), "feature").limit(5)
+
+
+@query
+def surprise_issues(spark, d):
+    return _surprise(spark, d).select("feature", "complaints", r4("i").alias("avg_intensity"))
+
+
+@query
+def review_language(spark, d):
+    return document_reviews(spark, d).select("review_id", X.review_language(F.col("review_text")).alias("language"))
+
+
+@query
+def text_repair(spark, d):
+    return document_reviews(spark, d).select("review_id", F.md5(X.repaired(X.composed(X.unscrambled(F.col("review_text"))))).alias("repaired_md5"))
+
+
+@query
+def abbreviation_expand(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", X.expanded(F.concat_ws(" ", F.lit("Gr8 pls"), F.col("text"), F.lit("bcz bahut mast"))).alias("text"))
+
+
+@query
+def emotion_urgency(spark, d):
+    return _emotions(spark, d).groupBy("urgency").agg(F.count("*").alias("reviews"), F.min("review_id").alias("first_id"))
+
+
+@query
+def window_status(spark, d):
+    rate = F.col("complaint_rate")
+    return _rates(spark, d).groupBy("product_name", F.when(rate > 30, "ALERT").when(rate >= 25, "WATCH").otherwise("OK").alias("status")).agg(F.count("*").alias("windows"))
+
+
+@query
+def executive_summary(spark, d):
+    rows = _issues(spark, d).withColumn("priority", r4("priority", 2))
+    counts = rows.groupBy("product_name").agg(*[F.count_if(F.col("level") == n).alias(n) for n in ("critical", "high")], F.count("*").alias("issues"), F.min(F.struct((-F.col("priority")).alias("p"), "feature"))["feature"].alias("top"))
+    return counts.select("product_name", F.format_string("%d issues (%d critical, %d high); top: %s", "issues", "critical", "high", "top").alias("summary"))

