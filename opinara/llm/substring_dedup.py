@@ -13,7 +13,7 @@ from opinara.llm._words import mix, sequences, words_of
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
 #: Characters of the texts that a map task compares among themselves before it shuffles anything.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 4 << 20
 #: Bytes kept of a window's hash; it is compared within one anchor (64 bits) and offset only.
 KEEP = 5
 _LOW = np.uint64((1 << (8 * KEEP)) - 1)
@@ -52,7 +52,7 @@ def anchors_of(ids: np.ndarray, texts: list[str | None], window: int, anchor: in
     if len(words) < window:
         return empty
     begin = np.concatenate([[0], np.cumsum(counts)])
-    doc = np.repeat(np.arange(len(ids)), counts)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     m = len(words) - window + 1
     ok = doc[:m] == doc[window - 1 :]
     if not ok.any():
@@ -62,8 +62,9 @@ def anchors_of(ids: np.ndarray, texts: list[str | None], window: int, anchor: in
     g = sequences(words, anchor, 8)
     best, off = slide_min(g, window - anchor + 1)
     at = np.flatnonzero(ok)
-    best, place = best[:m][ok], (np.arange(m) + off[:m])[ok]
+    best, place = best[:m][ok], at + off[:m][ok]
     d = doc[:m][ok]
+    del words, g, off, doc, ok
     start = at - begin[d]
     rank = np.unique(ids, return_inverse=True)[1][d]
     dup = first_seen(whole, rank, start)
