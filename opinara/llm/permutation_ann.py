@@ -102,7 +102,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, pivots: int = PIVOTS, length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes[0]["d"], sizes[0]["n"]
     ours = all_rows.filter(F.size("v") == dim).withColumn("h", F.xxhash64("v"))
-    picked = ours.select("h", "v").orderBy("h", "v").limit(8 * pivots).distinct().orderBy("h", "v").limit(pivots).collect()
+    picked = ours.select("h", "v").distinct().orderBy("h", "v").limit(pivots).collect()
     p = unit(np.array([r["v"] for r in picked]))
     n_blocks = max(1, -(-n // block))
     queries = ours.filter(is_query).select(F.col("vec_id").alias("id"), "v").distinct()

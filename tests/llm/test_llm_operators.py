@@ -131,6 +131,19 @@ def test_permutation_ann(spark):
     assert permutation_ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_permutation_ann_pivots_of_copies(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(300, 8)).tolist()
+    h = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i long, v array<double>").select("i", F.xxhash64("v").alias("h")).orderBy("h").collect()
+    rows = [*enumerate(v)] + [(1000 + j, v[h[0].i]) for j in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, unit = [], permutation_ann.unit
+    monkeypatch.setattr(permutation_ann, "unit", lambda x: seen.append(x) or unit(x))
+    permutation_ann.nearest(df, F.col("vec_id") < 3)
+    assert seen[0].tolist() == [v[r.i] for r in h[: permutation_ann.PIVOTS]]
+
+
 def brute_substrings(rows, n):
     seen, out = {}, {}
     docs = [(i, (t or "").encode().split()) for i, t in rows]
