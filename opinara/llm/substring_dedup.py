@@ -37,18 +37,21 @@ def first_seen(keys: np.ndarray, order_a: np.ndarray, order_b: np.ndarray) -> np
     return (order_a > order_a[f]) | (order_b > order_b[f])
 
 
-def anchors_of(ids: np.ndarray, texts: list[str | None], window: int, anchor: int):
-    """Rows (h, doc_id, start, n, mask, win) of a chunk of documents.
+def anchors_of(ids: np.ndarray, t: np.ndarray, texts: list[str | None], window: int, anchor: int):
+    """Rows (h, doc_id, t, start, n, mask, win) of a chunk of documents, told by doc_id and the hash t of their text.
 
-    A row stands for the n neighbouring windows from ``start`` that share the anchor h.
+    Rows that repeat both are one document. A row stands for the n neighbouring windows from ``start`` that share the anchor h.
     Bit j of ``mask`` is set where window start + j repeats an earlier one of this chunk;
     ``win`` has the shortened hashes of the others. Runs of windows that all repeat are one
     row without hashes, mask -1.
     """
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    order = np.lexsort((t, ids))
+    ids, t = ids[order], t[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (t[1:] != t[:-1])
+    order, ids, t = order[new], ids[new], t[new]
     words, counts = words_of([texts[i] for i in order])
-    empty = ([], [], [], [], [], [])
+    empty = ([], [], [], [], [], [], [])
     if len(words) < window:
         return empty
     begin = np.concatenate([[0], np.cumsum(counts)])
@@ -66,8 +69,7 @@ def anchors_of(ids: np.ndarray, texts: list[str | None], window: int, anchor: in
     d = doc[:m][ok]
     del words, g, off, doc, ok
     start = at - begin[d]
-    rank = np.unique(ids, return_inverse=True)[1][d]
-    dup = first_seen(whole, rank, start)
+    dup = first_seen(whole, d, start)
     # one row for each run of windows with the same anchor at the same place, or of repeated windows
     new = np.ones(len(at), bool)
     same_doc = np.concatenate([[False], d[1:] == d[:-1]])
@@ -91,31 +93,45 @@ def anchors_of(ids: np.ndarray, texts: list[str | None], window: int, anchor: in
     flat = raw[:, :KEEP].tobytes()
     edges = (KEEP * np.concatenate([[0], np.cumsum(send)])[np.append(head, len(at))]).tolist()
     win = [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
-    return h, ids[d[head]], start[head], n, mask, win
+    return h, ids[d[head]], t[d[head]], start[head], n, mask, win
 
 
 def repeated_windows(docs: DataFrame, window: int, anchor: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(doc_id, start, n, mask): windows that also start earlier. mask -1: all n from start; else bit j: window start + j."""
+    """(doc_id, t, start, n, mask): windows that also start earlier. mask -1: all n from start; else bit j: window start + j."""
 
     def seed(batches):
-        ids, texts, size = [], [], 0
-        names = ("h", "doc_id", "start", "n", "mask", "win")
+        ids, t, texts, size = [], [], [], 0
+        names = ("h", "doc_id", "t", "start", "n", "mask", "win")
+
+        def rows():
+            return dict(zip(names, anchors_of(np.array(ids, np.int64), np.array(t, np.int64), texts, window, anchor)))
+
         for b in batches:
             # a null id stands before all others
             ids += [-(2**63) if x is None else x for x in b.column(0).to_pylist()]
-            new = b.column(1).to_pylist()
+            t += b.column(1).to_pylist()
+            new = b.column(2).to_pylist()
             texts += new
             size += sum(len(x) for x in new if x)
             if size >= chunk_chars:
-                yield dict(zip(names, anchors_of(np.array(ids, np.int64), texts, window, anchor)))
-                ids, texts, size = [], [], 0
-        yield dict(zip(names, anchors_of(np.array(ids, np.int64), texts, window, anchor)))
+                yield rows()
+                ids, t, texts, size = [], [], [], 0
+        yield rows()
 
     def extend(batches):
-        last, seen = None, np.zeros(0, np.uint64)
+        # of the last anchor: its windows, and the document (counted along the stream) and place of each one's first
+        last, seen, seen_doc, seen_at = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        at_doc, n_docs = None, 0
         for b in batches:
-            h, ids, start, n, mask = (b.column(k).to_numpy() for k in range(5))
-            win = b.column(5).to_pylist()
+            h, ids, t, start, n, mask = (b.column(k).to_numpy() for k in range(6))
+            if not len(h):
+                continue
+            win = b.column(6).to_pylist()
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (t[1:] != t[:-1])
+            new[0] = (h[0], ids[0], t[0]) != at_doc
+            doc = n_docs + np.cumsum(new)
+            at_doc, n_docs = (h[-1], ids[-1], t[-1]), int(doc[-1])
             counts = np.array([len(x) // KEEP for x in win])
             out = mask.copy()
             if counts.sum():
@@ -131,20 +147,25 @@ def repeated_windows(docs: DataFrame, window: int, anchor: int, chunk_chars: int
                 for r in partly.tolist():
                     free = [j for j in range(int(n[r])) if not int(mask[r]) >> j & 1]
                     bit[ends[r] - counts[r] : ends[r]] = free
-                rank = np.unique(ids, return_inverse=True)[1]
-                dup = first_seen(keys, rank[row], start[row] + bit)
+                at = (start[row] + bit).astype(np.int32)
+                dup = first_seen(keys, doc[row], at)
                 if last is not None and len(seen):
-                    dup |= (h[row] == last) & np.isin(keys, seen)
+                    f = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
+                    dup |= (h[row] == last) & (seen[f] == keys) & ((doc[row] > seen_doc[f]) | (at > seen_at[f]))
                 out = out | np.bincount(row, np.where(dup, np.left_shift(1, bit), 0), len(h)).astype(np.int64) * (mask >= 0)
-                tail = keys[h[row] == h[-1]]
-                seen = np.union1d(seen, tail) if last == h[-1] else np.unique(tail)
+                tail = h[row] == h[-1]
+                held = (keys[tail], doc[row][tail], at[tail])
+                if last == h[-1]:
+                    held = tuple(np.concatenate(x) for x in zip((seen, seen_doc, seen_at), held))
+                seen, first = np.unique(held[0], return_index=True)
+                seen_doc, seen_at = held[1][first], held[2][first]
                 last = h[-1]
             some = out != 0
-            yield {"doc_id": ids[some], "start": start[some], "n": n[some], "mask": out[some]}
+            yield {"doc_id": ids[some], "t": t[some], "start": start[some], "n": n[some], "mask": out[some]}
 
-    seeds = map_arrow(docs.select("doc_id", "text"), seed, "h long, doc_id long, start int, n int, mask long, win binary")
-    sorted_seeds = seeds.repartition("h").sortWithinPartitions("h", "doc_id", "start")
-    return map_arrow(sorted_seeds, extend, "doc_id long, start int, n int, mask long")
+    seeds = map_arrow(docs.select("doc_id", F.xxhash64("text"), "text"), seed, "h long, doc_id long, t long, start int, n int, mask long, win binary")
+    sorted_seeds = seeds.repartition("h").sortWithinPartitions("h", "doc_id", "t", "start")
+    return map_arrow(sorted_seeds, extend, "doc_id long, t long, start int, n int, mask long")
 
 
 def covered(n_words: int, marks, window: int) -> np.ndarray:
@@ -164,26 +185,27 @@ def covered(n_words: int, marks, window: int) -> np.ndarray:
 
 
 def with_marks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    marks = repeated_windows(docs, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mask")).alias("__marks"))
-    marks = marks.withColumnRenamed("doc_id", "__id")
-    return docs.join(marks, F.coalesce(docs["doc_id"], F.lit(-(2**63))) == marks["__id"], "left").drop("__id")
+    marks = repeated_windows(docs, window, anchor).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "n", "mask")).alias("__marks"))
+    marks = marks.withColumnsRenamed({"doc_id": "__id", "t": "__t"})
+    return docs.join(marks, (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__t"]), "left").drop("__id", "__t")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: its words outside every window of ``window`` words that also starts earlier.
 
-    Earlier: in a document with a smaller doc_id, or before in the same one; windows are
-    judged on the input. In every window the smallest hash of ``anchor`` neighbouring words
+    Earlier: in a document with a smaller doc_id (equal ones: with a smaller hash of its
+    text), or before in the same one; windows are judged on the input. In every window the smallest hash of ``anchor`` neighbouring words
     is its anchor, so equal windows have equal anchors at equal places. Map tasks compare
     the windows of a chunk of texts among themselves and send each window once, by its
     anchor, which keeps a passage that many documents share from becoming a large group.
-    Within an anchor the windows to both sides are compared in order of doc_id and start,
+    Within an anchor the windows to both sides are compared in order of document and start,
     as a stream. Neighbouring repeated windows add up to maximal repeats. The cost is
     linear in the words; no pairs are made.
 
     ``kept`` joins the kept words by one space, and is the text itself where nothing is
     removed. A null or empty text has no words. Rows that repeat a doc_id with its text
-    are one document and get the same result; a null doc_id stands before all others.
+    are one document and get the same result, however many there are; different texts under
+    one doc_id are documents of their own. A null doc_id stands before all others.
     Other columns stay, but for those of the new names, which are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept")

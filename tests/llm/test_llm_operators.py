@@ -171,6 +171,16 @@ def test_substring_dedup(spark, chunk, monkeypatch):
     assert substring_dedup.dedup_substrings(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [200, 1 << 20])
+def test_substring_dedup_of_repeated_rows(spark, chunk, monkeypatch):
+    monkeypatch.setattr(substring_dedup.repeated_windows, "__defaults__", (chunk,))
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(5, a)] * 4500 + [(6, a + " tail"), (7, b), (7, f"x {c} {d}"), (8, c), (None, f"{d} y"), (None, "short"), (None, f"z {b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.text): (r.n_removed, r.n) for r in substring_dedup.dedup_substrings(df).groupBy("doc_id", "text", "n_removed").agg(F.count("*").alias("n")).collect()}
+    assert got == {(5, a): (0, 4500), (6, a + " tail"): (40, 1), (7, b): (40, 1), (7, f"x {c} {d}"): (40, 1), (8, c): (40, 1), (None, f"{d} y"): (0, 1), (None, "short"): (0, 1), (None, f"z {b}"): (0, 1)}
+
+
 def test_language_id(spark):
     r = random.Random(3)
     langs = {k: ["".join(r.choices(k * 3 + "aeiou", k=r.randrange(2, 8))) for _ in range(80)] for k in ("qxz", "mnp", "rst")}
