@@ -262,3 +262,15 @@ def test_pipeline(spark):
     want = {i: (x[2] if x[1] else dict(rows)[i]) for i, x in brute_substrings([r for r in rows if r[0] in kept], 20).items() if not x[1] or x[1] < x[0]}
     assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == list(cp.COLUMNS)
     assert {r.doc_id for r in cp.pack(spark, cut, "").collect()} == {*want}
+
+
+def test_pipeline_keeps_rows_without_or_with_equal_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(None, a), (None, b), (None, b), (0, c), (3, b + " x"), (4, d), (4, e), (4, e), (5, e + " y"), (6, None), (7, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    near = cp.near_dedup(spark, docs, "")
+    want = sorted([(None, a), (0, c), (3, b + " x"), (4, d), (4, e), (6, None), (7, ""), (None, None), (None, "")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == want
+    assert sorted(((r.doc_id, r.text) for r in cp.substrings(spark, near, "").collect()), key=str) == want
