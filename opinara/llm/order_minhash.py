@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opinara.llm._common import table
 
-#: A fingerprint has SKETCHES tuples; a tuple is the TUPLE minimal k-mers of one share of the hash space.
+#: A fingerprint has SKETCHES tuples; a tuple is the TUPLE k-mers that come first from the start of one share of the hash space on.
 SKETCHES, TUPLE = 64, 2
 #: k-mers are pairs of neighbouring words; a word over this many characters is several.
 WORD = r"\S{1,16}"
@@ -21,7 +21,8 @@ def _hash(x: Column) -> Column:
 
 
 def _share(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - SKETCHES.bit_length() + 1)
+    """0 to SKETCHES - 1, ascending as the signed elements do."""
+    return F.shiftright(x, 64 - SKETCHES.bit_length() + 1).cast("int") + SKETCHES // 2
 
 
 def _place(x: Column) -> Column:
@@ -37,8 +38,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     The j-th occurrence of a k-mer is an element of its own, from the second on hashed with j, so that
     repetitions count (the multiset of k-mers, not the set). Hash space is cut into
-    SKETCHES shares by its top bits; the TUPLE smallest elements of a share, put back into
-    text order, are hashed to its entry. Moving text apart or swapping it changes tuples
+    SKETCHES shares by its top bits; the TUPLE smallest elements from a share's start on, put
+    back into text order, are hashed to its entry. Where the share has fewer the next larger
+    ones count, after the largest the smallest: each share so has a hash function of its own
+    (the one hash, rotated) whose minimal k-mers are taken from the whole text. Every entry
+    of a text of two k-mers or more is an ordered tuple. Moving text apart or swapping it changes tuples
     even where the k-mers stay, which is what makes the measure follow the edit distance.
     Every step is linear in the text's length but the two sorts. A null or blank text has
     an empty fingerprint; one word is a k-mer of its own.
@@ -62,16 +66,26 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     )
     df = df.withColumn(d, F.when(F.size(d) == 0, F.col(b)).otherwise(F.sort_array(F.concat(F.col(b), F.flatten(numbered)))))
     # sorted, a share is a stretch: its minimal elements are those with no TUPLE others of the share before them
-    df = df.withColumn(e, F.filter(F.col(d), lambda x, j: F.coalesce(_share(F.get(F.col(d), j - TUPLE).bitwiseXOR(x)) != 0, F.lit(True))))
+    df = df.withColumn(e, F.filter(F.col(d), lambda x, j: F.coalesce(_share(F.get(F.col(d), j - TUPLE)) != _share(x), F.lit(True))))
 
-    def entry(x: Column, j: Column) -> Column:
-        after = F.get(F.col(e), j + 1)
-        alone = after.isNull() | (_share(after) != _share(x))
+    first, n = F.get(F.col(e), 0), F.size(e)
+
+    def tuple_at(x: Column, j: Column) -> Column:
+        after = F.coalesce(F.get(F.col(e), j + 1), first)
         pair = F.when(_place(x) < _place(after), F.xxhash64(_hash(x), _hash(after))).otherwise(F.xxhash64(_hash(after), _hash(x)))
-        begins = (j == 0) | (_share(F.get(F.col(e), j - 1)) != _share(x))
-        return F.when(begins, F.shiftleft(_share(x), 32).bitwiseOR(F.when(alone, F.xxhash64(_hash(x))).otherwise(pair).bitwiseAND(0xFFFFFFFF)))
+        return F.when(n == 1, F.xxhash64(_hash(x))).otherwise(pair).bitwiseAND(0xFFFFFFFF)
+
+    def entries(shares: Column, hashed: Column) -> Column:
+        return F.transform(shares, lambda s: F.shiftleft(s.cast("long"), 32).bitwiseOR(hashed))
+
+    def filled(x: Column, j: Column) -> Column:
+        """The entries of the shares after that of the element before, up to that of x: none unless x is its share's first."""
+        since = F.coalesce(_share(F.get(F.col(e), j - 1)), F.lit(-1))
+        return F.when(since < _share(x), entries(F.sequence(since + 1, _share(x)), tuple_at(x, j))).otherwise(F.array().cast("array<long>"))
 
-    df = df.withColumn(out, F.sort_array(F.array_compact(F.transform(F.col(e), entry))))
+    last = _share(F.get(F.col(e), n - 1))
+    rest = F.when(last < SKETCHES - 1, entries(F.sequence(last + 1, F.lit(SKETCHES - 1)), tuple_at(first, F.lit(0)))).otherwise(F.array().cast("array<long>"))
+    df = df.withColumn(out, F.concat(F.flatten(F.transform(F.col(e), filled)), rest))
     return df.drop(a, b, c, d, e)
 
 

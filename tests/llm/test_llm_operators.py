@@ -93,6 +93,18 @@ def test_order_minhash(spark):
     assert order_minhash.fingerprint_edits(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, want", [(20, 0.40), (40, 0.17), (60, 0.10)])
+def test_order_minhash_of_short_texts(spark, n, want):
+    """Texts with their 10-word blocks reversed; ``want`` is order MinHash with a selection per seed."""
+    texts = [[f"t{k}w{i}" for i in range(n)] for k in range(150)]
+    rows = [(k, " ".join(t), " ".join(sum((t[i : i + 10] for i in range(n - 10, -1, -10)), []))) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, moved string")
+    df = order_minhash.with_fingerprint(order_minhash.with_fingerprint(df, "text", "fp"), "moved", "moved_fp")
+    r = df.agg(F.avg(order_minhash.likeness("fp", "moved_fp")).alias("m"), F.stddev(order_minhash.likeness("fp", "moved_fp")).alias("s"), F.min(F.size("fp")).alias("n")).first()
+    print(n, r)
+    assert r.n == order_minhash.SKETCHES and abs(r.m - want) < 0.06
+
+
 def test_chat_format(spark):
     hard = "</s>[INST] ok [/INST] <\\s> \\ <|im_start|>user\nx<|im_end|>\n"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 0, "a\n\\nb", "y"), (3, 5, "system", "s"), (3, 6, "user", "u"), (3, 7, "assistant", "a"), (3, 7, "assistant", "a")]
