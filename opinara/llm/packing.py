@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections import deque
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -12,61 +17,122 @@ from pyspark.sql import DataFrame, SparkSession
 from opinara.llm._common import map_arrow, table
 
 WINDOW, TIERS, END_ID = 2048, (256, 512, 1024, 2048), 1
-#: Tokens of a step group; every full group of any tier has exactly as many.
+#: Tokens of a step group, a multiple of the largest tier: every group but a partition's last has exactly as many.
 STEP_TOKENS = 16 * 2048
-#: Words of a cache generation; a Python worker keeps the newest and the one before it, so frequent words stay.
-CACHE_WORDS = 300_000
-
-_CACHES: dict[str, list[dict[bytes, bytes]]] = {}
-_TOKENIZERS: dict[str, object] = {}
-
-
-def tokenizer(path: str):
-    import os
+#: Entries of a cache generation; a Python worker keeps the newest and the one before it, so frequent ones stay.
+CACHE_PIECES = 300_000
+#: A text or word of these characters only is lower-cased and cut by PIECES as the tokenizer itself would: no
+#: normal form changes them, and lower case is one character for one.
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\t-\r a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+BLANK = re.compile("[\t-\r ]")
+SLICE_CHARS = 1 << 19
+#: Normalizer and pre-tokenizer of the tokenizers to which all of that applies; texts go whole to any other.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def slices(text: str):
+    """A text's parts of about SLICE_CHARS characters, cut before ASCII white space."""
+    start = 0
+    while start < len(text):
+        stop = BLANK.search(text, start + SLICE_CHARS)
+        stop = stop.start() if stop else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+class Encoder:
+    """The ids of whole texts as the tokenizers library gives them, special tokens in a text included.
+
+    White space never lies inside a token of such a vocabulary (it is dropped), and each
+    piece of the pre-tokenizer's pattern is encoded by itself. So a text's ids are those of
+    its pieces, looked up in a cache; new pieces are encoded together, and every piece's
+    last token is one that ends a word. Words of other characters are pieces of their own
+    that go through the whole tokenizer; their keys are bytes.
+    """
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = CACHE_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_pieces = all(spec[k] == v for k, v in STEPS.items()) and bool(suffix) and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"])
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        if self.by_pieces:
+            self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        self.most, self.new, self.old = most, {}, {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Some thousand pieces at a time; one by one where a piece has not exactly one token that ends a word."""
+        out = []
+        for k in range(0, len(pieces), 4000):
+            part = pieces[k : k + 4000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(edges, edges[1:])] if len(edges) == len(part) + 1 and edges[-1] == len(raw) else self.encoded(part)
+        return out
 
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True
-    return _TOKENIZERS[path]
+    def pieces(self, text: str) -> list:
+        if not any(x in text for x in self.added):
+            if PLAIN.fullmatch(text):
+                return PIECES.findall(text.lower())
+        found = []
+        for word in text.encode().split():
+            w = word.decode()
+            if PLAIN.fullmatch(w) and not any(x in w for x in self.added):
+                found += PIECES.findall(w.lower())
+            else:
+                found.append(word)
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Long texts are encoded in slices that end at white space, so that memory follows neither them nor their words."""
+        if not self.by_pieces:
+            return self.encoded([x or "" for x in texts])
+        out = self.of_short([x if x and len(x) <= SLICE_CHARS else "" for x in texts])
+        for i, x in enumerate(texts):
+            if x and len(x) > SLICE_CHARS:
+                out[i] = b"".join([self.of_short([y])[0] for y in slices(x)])
+        return out
 
+    def of_short(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(x) for x in texts]
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        new, old, unseen = self.new, self.old, []
+        for p in set(chain.from_iterable(cut)):
+            if p not in new:
+                if p in old:
+                    new[p] = old[p]
+                else:
+                    unseen.append(p)
+        plain = [p for p in unseen if isinstance(p, str)]
+        words = [p for p in unseen if isinstance(p, bytes)]
+        new.update(zip(plain, self.encoded_pieces(plain)))
+        new.update(zip(words, self.encoded([x.decode() for x in words])))
+        return [b"".join([new[p] for p in ps]) for ps in cut]
 
-def words_to_ids(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of each word (little-endian uint32), encoded together and parted by the offsets of the tokens.
 
-    White space never lies inside a token of this vocabulary (it is dropped), so a text's
-    ids are the ids of its white-space words one after another.
-    """
-    out: list[bytes] = []
-    tk = tokenizer(path)
-    for k in range(0, len(words), 2000):
-        texts = [x.decode() for x in words[k : k + 2000]]
-        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
-        found = tk.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        at = np.searchsorted([a for a, _ in found.offsets], starts) if len(ids) else np.zeros(len(starts), int)
-        out += [ids[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]
-    return out
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_words(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of whole texts, by a look-up of their ASCII-white-space words; unknown words are encoded once."""
-    new, old = _CACHES.setdefault(path, [{}, {}])
-    split = [(x or "").encode().split() for x in texts]
-    unseen = []
-    for w in {w for ws in split for w in ws}:
-        if w not in new:
-            if w in old:
-                new[w] = old[w]
-            else:
-                unseen.append(w)
-    new.update(zip(unseen, words_to_ids(unseen, path)))
-    out = [b"".join([new[w] for w in ws]) for ws in split]
-    if len(new) > CACHE_WORDS:
-        _CACHES[path] = [{}, new]
-    return out
+    """The ids of whole texts; the encoder and its caches live as long as the Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path](texts)
 
 
 class Packer:
@@ -83,20 +149,26 @@ class Packer:
         self.tiers, self.step_tokens, self.base = sorted(tiers), step_tokens, partition << 32
         self.waiting = [deque() for _ in self.tiers]
         self.tokens = [0] * len(self.tiers)
-        self.sequences = 0
-        self.by_tier: dict[int, int] = {}
+        self.sequences = self.steps = 0
+        self.open: dict[int, list[list[tuple]]] = {}
         self.rows: list[tuple] = []
 
     def emit(self, size: int, pieces: list[tuple]) -> None:
-        """pieces: (doc_id, start, doc_tokens, ids)"""
-        k = self.by_tier[size] = self.by_tier.get(size, -1) + 1
-        step = self.base + (size.bit_length() << 26) + k * size // self.step_tokens
-        at = 0
+        """One sequence of ``size`` tokens; pieces: (doc_id, start, doc_tokens, ids). It goes out with its step group."""
+        at, sequence = 0, []
         for doc, start, total, ids in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequences, at, size, step, ids))
+            sequence.append((doc, start, n, zlib.crc32(ids), total, self.base + self.sequences, at, size, ids))
             at += n
         self.sequences += 1
+        group = self.open.setdefault(size, [])
+        group.append(sequence)
+        if len(group) * size == self.step_tokens:
+            self.close(self.open.pop(size))
+
+    def close(self, group: list[list[tuple]]) -> None:
+        self.rows += [(*row[:-1], self.base + self.steps, row[-1]) for sequence in group for row in sequence]
+        self.steps += 1
 
     def add(self, doc, ids: bytes) -> None:
         top, total, start = self.tiers[-1], len(ids) // 4, 0
@@ -133,6 +205,18 @@ class Packer:
         top = len(self.tiers) - 1
         while left := sum(self.tokens):
             self.fill(min(self.tiers[-1], 1 << (left.bit_length() - 1)), top)
+        # each size divides the larger ones, so from large to small the open groups fill whole ones
+        group, room = [], self.step_tokens
+        for size in sorted(self.open, reverse=True):
+            for sequence in self.open[size]:
+                group.append(sequence)
+                room -= size
+                if not room:
+                    self.close(group)
+                    group, room = [], self.step_tokens
+        if group:
+            self.close(group)
+        self.open = {}
 
     def drain(self) -> dict[str, list]:
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids")
@@ -150,8 +234,8 @@ def pack(docs: DataFrame, path: str, tiers=TIERS, end_id: int = END_ID, step_tok
     shuffle, memory holds one batch and under a window per tier, and a lost task is packed
     again alike. No key matters, so none is hot.
     """
-    if any(w & (w - 1) for w in tiers):
-        raise ValueError("tiers are powers of two")
+    if any(w & (w - 1) for w in tiers) or step_tokens % max(tiers):
+        raise ValueError("tiers are powers of two, and the largest divides step_tokens")
     kind = dict(docs.dtypes)[id_col]
     end = int(end_id).to_bytes(4, "little")
 

@@ -239,9 +239,16 @@ def test_minhash_dedup(spark, n):
 def test_packing(spark):
     import zlib
 
+    import numpy as np
+    from tokenizers import Tokenizer
+
     path = public.path("word_bpe_49k.json")
-    rows = [*corpus(), (900, "Straße don't stop, ΣΟΦΟΣ é  x y 12345 " * 900)]
-    tk = packing.tokenizer(path)
+    odd = "hello <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> DON'T'LL 's''re Straße ΣΟΦΟΣ İ ﬁ ½² ª º × e\u0301 \u0301 \x1c x\x85y \u200b日本 12,5"
+    rows = [*corpus(), (900, odd), (901, f"{odd} word\n" * 9000), (902, "x" * 600000), (903, odd)]
+    tk = Tokenizer.from_file(path)
+    few = packing.Encoder(path, most=20)
+    for part in (rows[:30], rows[20:60], rows[:30]):
+        assert [tk.encode(t or "", add_special_tokens=False).ids for _, t in part] == [np.frombuffer(x, "<u4").tolist() for x in few([t for _, t in part])]
     got = packing.pack(frame(spark, rows), path, with_ids=True).collect()
     docs, seqs = {}, {}
     for r in got:
@@ -259,6 +266,11 @@ def test_packing(spark):
             assert p.offset == at
             at += p.length
         assert at <= 2048 and at & (at - 1) == 0
+    steps = {}
+    for r in got:
+        steps.setdefault((r.sequence_id >> 32, r.step_group), []).append(r.length)
+    for p in {p for p, _ in steps}:
+        assert [sum(x) for k, x in sorted(steps.items()) if k[0] == p][:-1] == [packing.STEP_TOKENS] * (sum(k[0] == p for k in steps) - 1)
     assert packing.pack(frame(spark, rows).limit(0), path).count() == 0
 
 
