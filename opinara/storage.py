@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is set once."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a local master gets a temporary folder once.
+
+    Executors of a cluster would not see such a folder, so there the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("opinara.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="opinara-")
         spark.conf.set("opinara.shared.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -21,8 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/opinara-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/opinara-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Deletes every table and folder that this process has made with ``fresh_path``; returns how many.
+
+    DataFrames that still read them fail afterwards, so a job calls this when its results are written.
+    """
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
