@@ -10,19 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.llm._common import map_arrow, table
 
-#: Bounds of the fitted sample: languages, documents of each, characters of each document and bytes of a dictionary.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 160, 1500, 32 << 10
+#: Bounds of the fitted sample of each language: documents, characters of each document, bytes of the dictionary.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 160, 1500, 32 << 10
 #: Texts are compressed in blocks of this many bytes, so that the dictionary matters throughout a long text.
-BLOCK_BYTES = 4096
-#: zstandard levels of texts up to SHORT_BYTES, where each saved byte counts, and of longer ones.
-SHORT_BYTES, SHORT_LEVEL, LEVEL = 1024, 9, 3
-#: A text under this many bytes is encoded from several starts, at most STARTS, and the sizes are added:
-#: sizes are whole bytes, and one of a few words alone would tie.
-TINY_BYTES, STARTS = 400, 8
-#: A text whose two smallest encodings differ by less than this share is rejected.
-MIN_MARGIN = 0.001
-#: Under so many bytes of letters sizes are too coarse for a margin to tell anything: the best guess stays.
-MARGIN_BYTES = 200
+BLOCK_BYTES, LEVEL = 4096, 9
+#: A text whose smallest encoding is under the second by less than this share is rejected.
+MIN_MARGIN = 0.02
 #: What is compressed: lower-case letters and single blanks.
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -35,15 +28,15 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """One dictionary per language from a bounded sample of the labelled rows.
+    """One dictionary per language from a bounded sample of its labelled rows.
 
-    The commonest MAX_LANGUAGES languages are learned (ties by name); of each, about
+    Every language that has labelled rows is learned; of each, about
     SAMPLE_DOCS rows with the smallest hashes of their ids, at most SAMPLE_CHARS
     characters of each, end to end up to DICTIONARY_BYTES. Rows with a null or empty text
     or a null language teach nothing; without any the model is empty.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), id_col).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model(())
     span = 2.0**64
@@ -59,42 +52,36 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).strip().encode()
 
 
-def compressors(model: Model) -> list[tuple[str, object, object]]:
+def compressors(model: Model) -> list[tuple[str, object]]:
     import zstandard as z
 
-    def one(raw: bytes, level: int):
+    out = []
+    for lang, raw in model.dictionaries:
         d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(level=LEVEL)
+        out.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    return out
 
-    return [(lang, one(raw, SHORT_LEVEL), one(raw, LEVEL)) for lang, raw in model.dictionaries]
 
-
-def blocks(raw: bytes) -> list[bytes]:
-    if len(raw) < TINY_BYTES:
-        return [raw[k:] for k in range(0, len(raw), max(1, -(-len(raw) // STARTS)))]
-    return [raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES)]
-
-
-def classify(text: str | None, by_lang: list[tuple[str, object, object]]) -> tuple[str, float, float]:
+def classify(text: str | None, by_lang: list[tuple[str, object]]) -> tuple[str, float, float]:
     """(language, score, margin). No text, no letters or no model: ``und``, score and margin 0.
 
     The score is the winner's weight among all languages when a size x weighs
     exp(-8 x / smallest): 1 / number of languages on a tie, near 1 far ahead. The margin
-    is the share by which the smallest size is under the second, 1 for texts too short to tell.
+    is the share by which the smallest size is under the second, whatever the text's length;
+    a single language has margin 1.
     """
     if not text or not by_lang or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0
     raw = letters(text)
-    cut = blocks(raw)
-    sizes = [(sum(len((short if len(raw) <= SHORT_BYTES else long).compress(b)) for b in cut), lang) for lang, short, long in by_lang]
+    cut = [raw[k : k + BLOCK_BYTES] for k in range(0, len(raw), BLOCK_BYTES)]
+    sizes = [(sum(len(c.compress(b)) for b in cut), lang) for lang, c in by_lang]
     best = min(sizes, key=lambda x: x[0])
     if len(sizes) == 1:
         return best[1], 1.0, 1.0
     second = min(s for s in sizes if s is not best)
-    margin = (second[0] - best[0]) / second[0] if len(raw) >= MARGIN_BYTES else 1.0
     weights = sum(math.exp(-8 * (s - best[0]) / best[0]) for s, _ in sizes)
-    return best[1], 1 / weights, margin
+    return best[1], 1 / weights, (second[0] - best[0]) / second[0]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -102,7 +89,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: f
 
     Every whole text is compressed, block by block, with each language's dictionary; the
     smallest total wins, ties go to the commonest language. Rejected: ``und``, and margins under
-    ``min_margin``. Existing columns of these names are replaced. Narrow.
+    ``min_margin``, so also texts of which the encodings of two languages tie. Repeated rows
+    get the same result each; existing columns of these names are replaced. Narrow.
     """
     new = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
     docs = docs.drop(*new)
@@ -119,8 +107,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: f
 
 
 def held_out():
-    """Documents that no model learns from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Documents that no model learns from; one without a doc_id has no remainder and is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def trained(docs: DataFrame) -> Model:
