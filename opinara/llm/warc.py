@@ -13,8 +13,11 @@ from opinara.llm._common import map_arrow, table
 from opinara.operators.skew import lookup_by_key
 from opinara.storage import fresh_path, stored
 
-#: A new archive begins when one has this many bytes; ranges are read up to RANGE_BYTES at once, across gaps up to GAP_BYTES.
-ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES = 256 << 20, 4 << 20, 64 << 10
+#: A new archive begins when one has this many bytes; ranges are read up to RANGE_BYTES at once, across gaps up to
+#: GAP_BYTES; a reading task gets about TASK_BYTES of records.
+ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES, TASK_BYTES = 256 << 20, 4 << 20, 64 << 10, 16 << 20
+#: Stands for a page_id that is null.
+NO_PAGE = "none"
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
@@ -23,8 +26,9 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member; a revisit has the response's headers and digest, but no payload."""
+    page = NO_PAGE if page is None else page
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -50,7 +54,8 @@ def parse(member: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     stated = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"]
-    page = lambda k: int(fields[k].removeprefix("<urn:page:").removesuffix(">")) if k in fields else None
+    name = lambda k: fields[k].removeprefix("<urn:page:").removesuffix(">") if k in fields else NO_PAGE
+    page = lambda k: None if name(k) == NO_PAGE else int(name(k))
     return {"page_id": page("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": page("WARC-Refers-To"), "payload": payload, "bytes": int(stated)}
 
 
@@ -77,7 +82,7 @@ def with_digests(pages: DataFrame) -> DataFrame:
 
 
 def first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(digest, first, copies) of payloads of at least min_bytes that more than one row has."""
+    """(digest, first, copies) of payloads of at least min_bytes that more than one row has; first is null where none has a page_id."""
     rows = with_digests(pages).filter(F.col("payload_bytes") >= min_bytes)
     return rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
 
@@ -87,16 +92,17 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
 
     Of rows with equal payloads of at least ``min_revisit_bytes`` the one with the smallest
     page_id is the response and the others revisit it. Of repeated rows with that smallest
-    page_id each is a response. A null html is an empty payload, a null url an empty one; a
-    null page_id takes 0. Each attempt of a task writes files of its own, and the index
+    page_id each is a response. A null html is an empty payload, a null url an empty one. A
+    null page_id stays null and stands after all others: such a row revisits the page with its
+    payload, and is a response where only such rows have it. An empty table makes no archive. Each attempt of a task writes files of its own, and the index
     names those of the attempts that ended, so lost executors and repeated tasks do no
     harm. Digests are grouped without the html; one that many pages share is looked up
     in a broadcast of at most 1000 keys.
     """
-    pages = pages.select(F.coalesce("page_id", F.lit(0)).cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     found = stored(lookup_by_key(with_digests(pages), first_pages(pages, min_revisit_bytes), ["digest"], "copies"), "digests")
-    refers = found.filter("first IS NOT NULL AND first <> page_id").select("page_id", "digest", "first").distinct()
-    rows = with_digest_column(pages).join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "first")
+    refers = found.filter("first IS NOT NULL AND NOT first <=> page_id").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    rows = with_digest_column(pages).join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first")
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
 
     def run(batches):
@@ -123,16 +129,21 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     return stored(map_arrow(rows, run, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
+def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(page_id, url, record_type, digest, refers_to, payload, payload_bytes) of the records that ``index`` selects.
 
     Records of one file and one stretch of ``range_bytes`` are gathered (a stretch bounds
     the group), sorted by offset, and read with one request per run without a gap over
-    ``gap_bytes``. A response's digest and length are computed from its payload; a revisit
-    states those of the payload it refers to.
+    ``gap_bytes``. The stretches are dealt to as many tasks as the selected records have
+    ``task_bytes``, a number that adaptive execution keeps although index rows are small.
+    A response's digest and length are computed from its payload; a revisit states those
+    of the payload it refers to. An empty index gives no rows, an index row that is
+    repeated gives its record once.
     """
     entry = F.struct("offset", "length")
-    stretches = index.groupBy("file", F.floor(F.col("offset") / range_bytes).alias("stretch")).agg(F.sort_array(F.collect_list(entry)).alias("records"))
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    at = index.select("file", F.floor(F.col("offset") / range_bytes).alias("stretch"), entry.alias("at"))
+    stretches = at.repartition(tasks, "file", "stretch").groupBy("file", "stretch").agg(F.sort_array(F.collect_set("at")).alias("records"))
 
     def runs(records):
         run = [records[0]]

@@ -67,6 +67,9 @@ def test_warc(spark):
     folder = fresh_path(spark, "warc")
     index = warc.write_archives(df, folder, archive_bytes=300)
     back = {r.page_id: r for r in warc.read_records(index, folder).collect()}
+    tasks = warc.read_records(index, folder, range_bytes=200, task_bytes=200)
+    assert tasks.rdd.getNumPartitions() == -(-index.agg(F.sum("length")).first()[0] // 200) and tasks.count() == 5
+    assert warc.read_records(index.union(index), folder).count() == 5 and warc.read_records(index.limit(0), folder).count() == 0
     assert {k: (r.record_type, r.refers_to, r.payload_bytes) for k, r in back.items()} == {5: ("revisit", 2, 9), 2: ("response", None, 9), 9: ("response", None, 0), 10: ("revisit", 9, 0), 11: ("response", None, 100000)}
     assert bytes(back[2].payload).decode() == "<p>é</p>" and back[5].digest == back[2].digest == warc.digest_of("<p>é</p>".encode())
     only = warc.read_records(index.filter("page_id = 11"), folder).collect()
@@ -76,6 +79,17 @@ def test_warc(spark):
     assert {r.page_id: r.record_type for r in warc.read_records(index, small).collect()}[10] == "response"
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(None, "a", "x"), (0, "b", "y"), (None, "c", "y"), (None, "d", "z"), (None, "d", "z"), (7, "e", "w"), (7, "e", "w"), (7, "f", "v"), (8, "g", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2)).withColumn("p", F.lit(3))
+    folder = fresh_path(spark, "warc")
+    back = warc.read_records(warc.write_archives(df, folder), folder).collect()
+    got = sorted((str(r.page_id), r.url, r.record_type, str(r.refers_to)) for r in back)
+    assert got == sorted([("None", "a", "response", "None"), ("0", "b", "response", "None"), ("None", "c", "revisit", "0"), *[("None", "d", "response", "None")] * 2, *[("7", "e", "response", "None")] * 2, ("7", "f", "response", "None"), ("8", "g", "revisit", "7")])
+    empty = warc.write_archives(df.limit(0), folder)
+    assert empty.count() == 0 and warc.read_records(empty, folder).count() == 0
+
+
 def test_order_minhash(spark):
     rows = corpus()
     out = order_minhash.fingerprint_edits(frame(spark, rows)).collect()
@@ -193,18 +207,47 @@ def test_substring_dedup_of_repeated_rows(spark, chunk, monkeypatch):
     assert got == {(5, a): (0, 4500), (6, a + " tail"): (40, 1), (7, b): (40, 1), (7, f"x {c} {d}"): (40, 1), (8, c): (40, 1), (None, f"{d} y"): (0, 1), (None, "short"): (0, 1), (None, f"z {b}"): (0, 1)}
 
 
+def brute_language(texts, model):
+    """The rule with plain one-shot compression per block."""
+    import zstandard as z
+
+    def size(raw, lang_raw):
+        d = z.ZstdCompressionDict(lang_raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return sum(len(z.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+
+    out = []
+    for t in texts:
+        raw = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()).encode()
+        by_size = sorted(((size(raw, d), i, k) for i, (k, d) in enumerate(model.dictionaries))) if raw else []
+        out.append((by_size[0][2], by_size[1][0] - by_size[0][0] < 0.02 * by_size[1][0]) if by_size else ("und", True))
+    return out
+
+
 def test_language_id(spark):
     r = random.Random(3)
     langs = {k: ["".join(r.choices(k * 3 + "aeiou", k=r.randrange(2, 8))) for _ in range(80)] for k in ("qxz", "mnp", "rst")}
     rows = [(i, " ".join(r.choices(langs[k], k=60)), k) for i, k in enumerate(["qxz", "mnp", "rst", "mnp"] * 40)]
-    df = spark.createDataFrame([*rows, (900, None, "mnp"), (901, "", None), (902, "123 ?!", "rst"), (903, rows[0][1], None)], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old"))
+    odd = [(900, None, "mnp"), (901, "", None), (902, "123 ?!", "rst"), (903, rows[0][1], None), (904, " ".join(r.choices(langs["mnp"], k=9000)), None), (905, "b", None), (906, "jkl vwy gfd bch", None), (None, rows[1][1], None)]
+    df = spark.createDataFrame([*rows, *odd, odd[3]], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old"))
     model = language_id.fit(df.filter(~language_id.held_out()))
     got = {x.doc_id: x for x in language_id.predict(df, model).collect()}
+    assert language_id.predict(df, model).count() == len(rows) + len(odd) + 1
     held = [x.doc_id for x in df.filter(language_id.held_out() & (F.col("doc_id") < 900)).collect()]
     assert sum(got[i].lang_pred == rows[i][2] for i in held) >= 0.95 * len(held)
-    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "qxz"]
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, 904, None)] == ["und", "und", "und", "qxz", "mnp", "mnp"]
+    assert got[905].lang_rejected and not got[904].lang_rejected
+    every = [*rows, *odd]
+    assert [(got[i].lang_pred, got[i].lang_rejected) for i, _, _ in every] == brute_language([t for _, t, _ in every], model)
     assert all(0 <= x.lang_score <= 1 for x in got.values())
     assert {x.lang_pred for x in language_id.predict(df, language_id.fit(df.limit(0))).collect()} == {"und"}
+    assert language_id.predict(df.limit(0), model).count() == 0
+
+
+def test_language_id_learns_every_language(spark):
+    names = [f"l{i:03d}" for i in range(80)]
+    rows = [(i, f"{n} " * 20 + f"word{i}", n) for i, n in enumerate(names)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(k for k, _ in model.dictionaries) == names
 
 
 def brute_components(rows, n):
