@@ -187,7 +187,7 @@ def brute_substrings(rows, n):
 @pytest.mark.parametrize("chunk", [200, 1 << 20])
 def test_substring_dedup(spark, chunk, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(substring_dedup.repeated_windows, "__defaults__", (chunk,))
+    monkeypatch.setattr(substring_dedup.seeds_of, "__defaults__", (chunk,))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
     for i, (n, removed, kept) in brute_substrings(rows, 20).items():
         assert got[i][:2] == (n, removed)
@@ -199,7 +199,7 @@ def test_substring_dedup(spark, chunk, monkeypatch):
 
 @pytest.mark.parametrize("chunk", [200, 1 << 20])
 def test_substring_dedup_of_repeated_rows(spark, chunk, monkeypatch):
-    monkeypatch.setattr(substring_dedup.repeated_windows, "__defaults__", (chunk,))
+    monkeypatch.setattr(substring_dedup.seeds_of, "__defaults__", (chunk,))
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
     rows = [(5, a)] * 4500 + [(6, a + " tail"), (7, b), (7, f"x {c} {d}"), (8, c), (None, f"{d} y"), (None, "short"), (None, f"z {b}")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
@@ -223,6 +223,27 @@ def brute_language(texts, model):
     return out
 
 
+def test_substring_dedup_of_hot_anchors_and_names(spark, monkeypatch):
+    """One phrase before and after which everything differs, many near copies, a long text, columns with the names used inside."""
+    monkeypatch.setattr(substring_dedup.seeds_of, "__defaults__", (3000,))
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(30)]
+    say = lambda n: " ".join(r.choices(words, k=n))
+    phrase = "all rights are reserved by us"
+    rows = [(i, f"{say(12)} {phrase} {say(12)}") for i in range(300)]
+    base = [f"b{i}" for i in range(60)]
+    rows += [(300 + i, " ".join(w if r.random() > 0.05 else r.choice(words) for w in base)) for i in range(200)]
+    rows += [(500 + i, f"{phrase} {say(6)} {phrase} {say(6)} {phrase}") for i in range(100)]
+    rows += [(700, say(20000)), (701, " ".join(["same"] * 500)), (702, None), (703, "")]
+    df = frame(spark, rows).withColumns({c: F.lit(1) for c in ("__id", "__t", "__marks", "__d", "D", "m", "u", "t", "n", "start", "mask", "kept")})
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substring_dedup.dedup_substrings(df).collect()}
+    for i, (n, removed, kept) in brute_substrings(rows, 20).items():
+        assert got[i] == (n, removed, kept if removed else dict(rows)[i])
+    assert sum(x[1] > 0 for x in got.values()) > 100
+    short = {x.doc_id: x.n_removed for x in substring_dedup.dedup_substrings(frame(spark, rows), window=9, anchor=3).collect()}
+    assert short == {i: x[1] for i, x in brute_substrings(rows, 9).items()}
+
+
 def test_language_id(spark):
     r = random.Random(3)
     langs = {k: ["".join(r.choices(k * 3 + "aeiou", k=r.randrange(2, 8))) for _ in range(80)] for k in ("qxz", "mnp", "rst")}
