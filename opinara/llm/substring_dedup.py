@@ -149,26 +149,30 @@ def seeds_of(keyed: DataFrame, window: int, anchor: int, chunk_chars: int = CHUN
     return map_arrow(found.repartition("h").sortWithinPartitions("h", "doc_id", "t", "start"), join, SEED)
 
 
-def contexts_of(keyed: DataFrame, seeds: DataFrame, window: int, anchor: int) -> DataFrame:
+def contexts_of(base: DataFrame, key: str, t: str, seeds: DataFrame, window: int, anchor: int) -> DataFrame:
     """(key, doc_id, t, start, n, place, words) of each seed: its windows' words, in up to two parts.
 
     A window has at least half of its other words after the anchor, or before it. The part
     of either kind is dealt by the anchor grown by that many words to that side, so the
     occurrences of a frequent phrase are parted by what stands next to it.
+
+    All columns of ``base`` go along, so that the texts are shuffled once for this join and
+    the one that removes words: Spark reuses an exchange only where it is wholly the same.
     """
     half = (window - anchor + 1) // 2
-    wanted = seeds.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(F.collect_set(F.struct("start", "n", "place")).alias("rows"))
-    rows = keyed.join(wanted, (F.col("__id") == F.col("d")) & (F.col("__t") == F.col("u"))).select("__id", "__t", "text", "rows")
+    d, u, found = (unused(base.columns, x) for x in ("__d", "__u", "__rows"))
+    wanted = seeds.groupBy(F.col("doc_id").alias(d), F.col("t").alias(u)).agg(F.collect_set(F.struct("start", "n", "place")).alias(found))
+    rows = base.join(wanted, (base[key] == wanted[d]) & (base[t] == wanted[u])).drop(d, u)
     out = "key long, doc_id long, t long, start int, n int, place int, words binary"
 
     def run(batches):
         last = None
         for b in batches:
             columns = [[] for _ in names(out)]
-            for i, t, text, runs in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if (i, t) == last:
+            for i, h, text, runs in zip(*(b.column(k).to_pylist() for k in (key, t, "text", found))):
+                if (i, h) == last:
                     continue  # a repeated row
-                last = (i, t)
+                last = (i, h)
                 words = text.encode().split()
                 for r in sorted(runs, key=lambda r: r["start"]):
                     start, n, place = r["start"], r["n"], r["place"]
@@ -176,8 +180,8 @@ def contexts_of(keyed: DataFrame, seeds: DataFrame, window: int, anchor: int) ->
                     cut = min(n, max(0, place + anchor + half - window))
                     for a, z, near in ((0, cut, slice(start + place - half, start + place + anchor)), (cut, n, slice(start + place, start + place + anchor + half))):
                         if a < z:
-                            key = hashlib.blake2b(b" ".join(words[near]), digest_size=8, salt=b"before" if z == cut else b"after").digest()
-                            row = (int.from_bytes(key, "little", signed=True), i, t, start + a, z - a, place - a, b" ".join(words[start + a : start + z - 1 + window]))
+                            grown = hashlib.blake2b(b" ".join(words[near]), digest_size=8, salt=b"before" if z == cut else b"after").digest()
+                            row = (int.from_bytes(grown, "little", signed=True), i, h, start + a, z - a, place - a, b" ".join(words[start + a : start + z - 1 + window]))
                             for x, c in zip(row, columns):
                                 c.append(x)
             yield dict(zip(names(out), columns))
@@ -244,7 +248,7 @@ def with_marks(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, st
     base = docs.withColumn(key, F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn(t, F.xxhash64("text"))
     keyed = base.select(F.col(key).alias("__id"), F.col(t).alias("__t"), "text")
     seeds = stored(seeds_of(keyed, window, anchor), "seeds")
-    found = extended(contexts_of(keyed, seeds.filter("mask = 0"), window, anchor), window, anchor)
+    found = extended(contexts_of(base, key, t, seeds.filter("mask = 0"), window, anchor), window, anchor)
     found = found.union(seeds.filter("mask <> 0").select(*names(MARK)))
     by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("u")).agg(F.collect_set(F.struct("start", "n", "mask")).alias("m"))
     by_doc = by_doc.select(*[F.col(x).alias(unused(docs.columns, f"__{x}")) for x in by_doc.columns])
