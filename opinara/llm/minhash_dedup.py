@@ -16,8 +16,10 @@ from opinara.operators.skew import lookup_by_key
 from opinara.storage import stored
 
 #: Values of a sketch, and the least estimate of a candidate: at a similarity of 0.8 or more an estimate
-#: from 48 values is under 0.55 once in 21 000 pairs at most (under 27 hits of 48).
-SKETCH, LEAST_ESTIMATE = 48, 0.55
+#: from 48 values is under 0.4 (under 20 hits of 48) with a probability under 2e-9, the binomial tail.
+SKETCH, LEAST_ESTIMATE = 48, 0.4
+#: Rows without a doc_id are told by keys from here on, made from their texts.
+FIRST_KEY = 1 << 62
 #: Members that one task confirms against a centre.
 CHUNK = 500
 #: Sets outside their centre's component, and others of the centre, that meet in one task.
@@ -47,19 +49,19 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketched(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch): the set's digest and its k smallest hashes."""
+    """(doc_id, given, n_shingles, set_id, sketch): the set's digest and its k smallest hashes."""
 
     def run(batches):
         for b in batches:
-            h, sizes = shingle_sets(b.column(1).to_pylist(), shingle)
+            h, sizes = shingle_sets(b.column(2).to_pylist(), shingle)
             at = np.concatenate([[0], np.cumsum(sizes)])
             sets = [h[x:y] for x, y in zip(at[:-1], at[1:])]
             yield {
-                "doc_id": b.column(0), "n_shingles": sizes, "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                "doc_id": b.column(0), "given": b.column(1), "n_shingles": sizes, "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "sketch": [s[:k].view(np.int64) for s in sets],
             }
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
+    return map_arrow(docs.select("doc_id", "given", "text"), run, "doc_id long, given long, n_shingles long, set_id binary, sketch array<long>")
 
 
 def needed(k: int, similarity: float, estimate: float):
@@ -223,15 +225,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     A null or empty text, or one without words, has an empty set and is its own component.
     Rows that repeat a doc_id are one document, linked by any of their texts, one row
-    each; a null doc_id is 0.
+    each. Rows without a doc_id are one document for each different text: their doc_id
+    stays null, and such a document counts as larger than all others, by a key of 2**62 and
+    more made from its text, which is the component_id where it is linked with no other.
+    An empty table gives no rows; columns besides doc_id and text play no part.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text")
+    key = F.lit(FIRST_KEY) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), key).alias("doc_id"), F.col("doc_id").cast("long").alias("given"), "text")
     rows = stored(sketched(docs, shingle, k), "sketches")
     sets = rows.filter("n_shingles > 0")
     classes = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "classes")
     lists = stored(inverted_lists(classes, k, similarity, estimate), "lists")
     involved = lists.select("node").distinct()
-    texts = stored(docs.withColumnRenamed("doc_id", "node").join(involved, "node").select("node", "text"), "texts")
+    texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node"), "texts")
 
     centres = lists.groupBy("v").agg(F.max(F.struct("typical", (-F.col("node")).alias("m"))).alias("c"), F.count("*").alias("n")).filter("n > 1").select("v", (-F.col("c.m")).alias("centre"), F.col("c.typical").alias("ct"), "n")
     votes = lookup_by_key(lists.select("v", "node"), centres, ["v"], "n", "inner").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("votes"), F.first("ct").alias("ct"))
@@ -260,9 +266,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     # a doc_id with several sets joins their components by its name, which is their node
     named = classes.join(last, "node", "left").select("set_id", "copies", F.coalesce("component", "node").alias("component_id"))
-    out = lookup_by_key(rows.select("doc_id", "n_shingles", "set_id"), named, ["set_id"], "copies")
+    out = lookup_by_key(rows.select("doc_id", "given", "n_shingles", "set_id"), named, ["set_id"], "copies")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(F.col("given").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,36 @@ def test_minhash_dedup(spark, n):
     assert minhash_dedup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_minhash_dedup_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(None, a), (0, b), (5, a), (None, c), (None, c + " x"), (7, b + " x"), (8, d), (8, d), (9, None), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("given", "node", "n_shingles", "set_id", "kept")})
+    got = minhash_dedup.near_duplicates(df).collect()
+    by_id = {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id is not None}
+    assert by_id == {0: (0, True), 5: (5, True), 7: (0, False), 8: (8, True), 9: (9, True)} and len(got) == len(rows)
+    nulls = sorted((r.component_id if r.component_id < 1 << 62 else "key", r.n_shingles, r.kept) for r in got if r.doc_id is None and r.component_id < 1 << 62)
+    keys = [r for r in got if r.doc_id is None and r.component_id >= 1 << 62]
+    assert nulls == [(5, 56, False)] and sorted((r.n_shingles, r.kept) for r in keys if r.n_shingles) in ([(56, True), (57, False)], [(56, False), (57, True)])
+    assert len({r.component_id for r in keys if r.n_shingles}) == 1 and all(r.kept for r in keys if not r.n_shingles)
+
+
+def test_minhash_dedup_of_long_and_borderline_texts(spark):
+    """Copies that differ in about a tenth of the shingles, so that many pairs lie round the threshold, and long texts."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(120):
+        near = list(base)
+        for _ in range(r.randrange(0, 5)):
+            near[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(near))
+    long = [f"l{r.randrange(10**6)}" for _ in range(20000)]
+    texts += [" ".join(long), " ".join(long[:-1500]), " ".join(long[:9000])]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(frame(spark, rows), shingle=4).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_packing(spark):
     import zlib
 
