@@ -19,9 +19,19 @@ def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def one_space(text: Column) -> Column:
+    """Every run of white space as one blank; only runs of several cost a regex match."""
+    return F.regexp_replace(F.translate(text, "\t\n\x0b\f\r", "     "), " {2,}", " ")
+
+
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of ``terms`` occur in ``text`` as substrings."""
-    return F.size(F.filter(literal_array(terms), lambda k: F.contains(text, k)))
+    return sum((F.contains(text, F.lit(k)).cast("int") for k in terms), F.lit(0))
 
 
 def of_words(ws: Column, terms: list[str]) -> Column:
@@ -32,7 +42,7 @@ def of_words(ws: Column, terms: list[str]) -> Column:
 def emojis_to_tags(text: Column) -> Column:
     for emoji, tag in S.EMOJI_TAGS.items():
         text = F.replace(text, F.lit(emoji), F.lit(f" {tag} "))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(one_space(text))
 
 
 def repaired(text: Column) -> Column:
@@ -41,14 +51,15 @@ def repaired(text: Column) -> Column:
 
 
 def composed(text: Column) -> Column:
-    """NFC. Texts within Latin-1 are composed already."""
+    """NFC. A text within Latin-1 is composed already and never leaves the JVM's row as a string to be changed."""
     @F.pandas_udf("string")
     def nfc(texts: pd.Series) -> pd.Series:
         import unicodedata
 
-        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return nfc(text)
+    beyond = text.rlike(r"[^\x{0}-\x{FF}]")
+    return F.coalesce(nfc(F.when(beyond, text)), text)
 
 
 def unscrambled(text: Column) -> Column:
@@ -82,7 +93,7 @@ def normalized(text: Column) -> Column:
         alone = F.regexp_replace(w, r"[^\p{L}]", "")
         return F.when((F.length(alone) > 1) & (F.upper(alone) == alone) & (F.lower(alone) != alone) & ~w.startswith("["), F.initcap(w)).otherwise(w)
 
-    text = F.array_join(F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), word), " ")
+    text = F.array_join(F.transform(F.split(F.trim(one_space(text)), " "), word), " ")
     return squeezed(text)
 
 
@@ -90,63 +101,78 @@ def squeezed(text: Column) -> Column:
     text = F.regexp_replace(text, r"([!?.])\1+", "$1")
     text = F.regexp_replace(text, r"([a-zA-Z])\1{2,}", "$1$1")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(one_space(text))
 
 
 def quality_score(text: Column, product_terms: list[str] = S.PRODUCT_TERMS, personal_terms: list[str] = S.PERSONAL_TERMS) -> Column:
     """0 for blank text, 15 for tags alone, 10 under five words, else 50 to 80 by length plus 10 for product and for personal terms."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*\]", " "), r"\s+", " "))
-    n = F.when(plain == "", 0).otherwise(F.size(F.split(plain, " ")))
-    ws = words(plain)
-    bonus = F.when(of_words(ws, product_terms) > 0, 10).otherwise(0) + F.when(of_words(ws, personal_terms) > 0, 10).otherwise(0)
-    scaled = F.least(F.lit(100), F.ceil(F.when(n >= 20, 80.0).otherwise(50 + n * 1.5) + bonus))
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    return F.when(blank, 0).when((n == 0), 15).when(n < 5, 10).otherwise(scaled).cast("int")
+    def score(plain: Column) -> Column:
+        has = lambda terms: F.arrays_overlap(words(plain), literal_array(terms))
+        # a text without blanks to part at is one word, or none
+        n = F.when(plain == "", 0).otherwise(1 + F.length(plain) - F.length(F.translate(plain, " ", "")))
+        bonus = lambda: F.when(has(product_terms), 10).otherwise(0) + F.when(has(personal_terms), 10).otherwise(0)
+        return let(n, lambda n: F.when(n == 0, 15).when(n < 5, 10).otherwise(F.least(F.lit(100), F.ceil(F.when(n >= 20, 80.0).otherwise(50 + n * 1.5) + bonus()))).cast("int"))
+
+    plain = F.trim(one_space(F.regexp_replace(text, r"\[[^\]]*\]", " ")))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(let(plain, score))
 
 
 def local_sentiment(text: Column, rating: Column, negative: list[str] = S.NEGATIVE_WORDS, positive: list[str] = S.POSITIVE_WORDS) -> Column:
     """By the rating where there is one, else by which list has more of its terms in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    n, p = hits(t, negative), hits(t, positive)
-    return F.when(rating >= 4, "positive").when(rating <= 2, "negative").when(rating.isNotNull(), "neutral").when(n > p, "negative").when(p > n, "positive").otherwise("neutral")
+    more = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: hits(t, positive) - hits(t, negative))
+    by_words = let(more, lambda m: F.when(m < 0, "negative").when(m > 0, "positive").otherwise("neutral"))
+    return F.when(rating >= 4, "positive").when(rating <= 2, "negative").when(rating.isNotNull(), "neutral").otherwise(by_words)
 
 
 def upper_ratio(text: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / letters).otherwise(0.0)
+    """Share of the letters that are upper case, 0 without letters."""
+    return let(F.regexp_replace(text, r"[^\p{L}]+", ""), lambda x: F.when(x != "", 1 - F.length(F.regexp_replace(x, r"\p{Lu}+", "")) / F.length(x)).otherwise(0.0))
 
 
-def signals(text: Column, terms: list[str]) -> Column:
-    """Shouted terms are looked for as they are, the others in lower case."""
-    loud = [t for t in terms if t.upper() == t and t.lower() != t and len(t) > 2]
-    return hits(text, loud) + hits(F.lower(text), [t.lower() for t in terms if t not in loud])
+def shouted(terms: list[str]) -> list[str]:
+    return [t for t in terms if t.upper() == t and t.lower() != t and len(t) > 2]
 
 
 def emotion(text: Column, sentiment: Column, emotions=None) -> Column:
-    """struct(emotion, confidence, urgency, raw_score)."""
+    """struct(emotion, confidence, urgency, raw_score).
+
+    Shouted signals are looked for as they are, the others in the lower-case text. The
+    lower-case text, the share of capitals, the counts and the scores are made once each.
+    """
     emotions = emotions or S.EMOTIONS
-    counts = {e[0]: signals(text, e[5]) for e in emotions}
-    loud = upper_ratio(text) > 0.6
-    scores = [(e[0], counts[e[0]] * e[1] + (F.when(loud, 30).otherwise(0) if e[0] == "furious" else 0)) for e in emotions]
-    total = sum(s for _, s in scores[1:]) + scores[0][1]
-    best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("e")) for i, (n, s) in enumerate(scores)]))
-    sure = F.least(F.lit(0.95), best["s"] / total)
-    sure = F.when((counts["furious"] >= 2) | loud | (counts["delighted"] >= 3), F.greatest(sure, F.lit(0.85))).otherwise(sure)
+    names = [e[0] for e in emotions]
+
+    def counted(low: Column) -> Column:
+        return F.array(*[hits(text, shouted(e[5])) + hits(low, [t.lower() for t in e[5] if t not in shouted(e[5])]) for e in emotions])
+
+    def result(x: Column) -> Column:
+        counts, loud = x["counts"], x["up"] > 0.6
+        count = lambda name: counts[names.index(name)]
+        return let(F.array(*[counts[i] * e[1] + (F.when(loud, 30).otherwise(0) if e[0] == "furious" else 0) for i, e in enumerate(emotions)]), lambda scores: chosen(scores, (count("furious") >= 2) | loud | (count("delighted") >= 3)))
+
+    def chosen(scores: Column, sure: Column) -> Column:
+        total, best = F.aggregate(scores, F.lit(0), lambda a, v: a + v), F.array_max(scores)
+        share = F.least(F.lit(0.95), best / total)
+        share = F.when(sure, F.greatest(share, F.lit(0.85))).otherwise(share)
+        fallback = F.coalesce(F.create_map(*[F.lit(x) for kv in S.SENTIMENT_EMOTION.items() for x in kv])[sentiment], F.lit("neutral"))
+        first = F.element_at(literal_array(names), F.array_position(scores, best).cast("int"))
+        return let(total, lambda t: F.struct(F.when(t == 0, fallback).otherwise(first).alias("name"), F.when(t == 0, 0.3).otherwise(F.round(share, 2)).alias("conf")))
+
+    def labelled(x: Column) -> Column:
+        of = lambda values: F.element_at(F.create_map(*[F.lit(v) for n, value in zip(names, values) for v in (n, value)]), x["name"])
+        return F.struct(x["name"].alias("emotion"), x["conf"].alias("confidence"), of([e[2] for e in emotions]).alias("urgency"), of([e[3] + (e[4] - e[3]) // 2 for e in emotions]).alias("raw_score"))
+
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    fallback = F.coalesce(F.create_map(*[F.lit(x) for kv in S.SENTIMENT_EMOTION.items() for x in kv])[sentiment], F.lit("neutral"))
-    name = F.when(blank, "neutral").when(total == 0, fallback).otherwise(best["e"])
-    conf = F.when(blank, 0.5).when(total == 0, 0.3).otherwise(F.round(sure, 2))
-    urgency = F.create_map(*[F.lit(x) for e in emotions for x in (e[0], e[2])])[name]
-    raw = F.create_map(*[F.lit(x) for e in emotions for x in (e[0], e[3] + (e[4] - e[3]) // 2)])[name]
-    return F.struct(name.alias("emotion"), conf.alias("confidence"), urgency.alias("urgency"), raw.alias("raw_score"))
+    seen = let(F.lower(text), lambda low: F.struct(counted(low).alias("counts"), upper_ratio(text).alias("up")))
+    return let(F.when(blank, F.struct(F.lit("neutral").alias("name"), F.lit(0.5).alias("conf"))).otherwise(let(seen, result)), labelled)
 
 
 def sarcasm(text: Column, rules=None) -> Column:
     """struct(flags, confidence): each rule that matches adds its weight, at most 0.7."""
     rules = rules or S.SARCASM_RULES
-    flags = F.array_compact(F.array(*[F.when(text.rlike(p), f) for f, p, _ in rules]))
-    weight = sum((F.when(text.rlike(p), w).otherwise(0.0) for _, p, w in rules[1:]), F.when(text.rlike(rules[0][1]), rules[0][2]).otherwise(0.0))
-    return F.struct(F.array_join(flags, ",").alias("flags"), F.least(F.lit(0.7), F.round(weight, 2)).alias("confidence"))
+    found = F.filter(F.array(*[F.struct(F.lit(f).alias("flag"), F.lit(float(w)).alias("weight"), text.rlike(p).alias("on")) for f, p, w in rules]), lambda r: r["on"])
+    total = lambda rs: F.least(F.lit(0.7), F.round(F.aggregate(rs, F.lit(0.0), lambda a, r: a + r["weight"]), 2))
+    return let(found, lambda rs: F.struct(F.array_join(F.transform(rs, lambda r: r["flag"]), ",").alias("flags"), total(rs).alias("confidence")))
 
 
 def bot_signals(text: Column, rating: Column, username: Column) -> Column:

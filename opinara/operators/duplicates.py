@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara import schema as S
+from opinara.functions.text import one_space
 from opinara.operators.graph import connected_components
 from opinara.operators.skew import lookup_by_key
 from opinara.storage import stored
 
 
 def normal_form(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(F.trim(one_space(text)))
 
 
 def group_sizes(rows: DataFrame, key: Column, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def group_sizes(rows: DataFrame, key: Column, name: str) -> DataFrame:
 
 def exact_duplicates(reviews: DataFrame) -> DataFrame:
     """Reviews whose normal form others have, with the number of copies; the first by id is kept."""
-    keyed = reviews.withColumn("__k", F.sha2(normal_form(F.col("review_text")), 256)).filter("length(trim(review_text)) > 0")
+    keyed = stored(reviews.filter("length(trim(review_text)) > 0").select("review_id", F.sha2(normal_form(F.col("review_text")), 256).alias("__k")), "digests")
     groups = keyed.groupBy("__k").agg(F.count("*").alias("n"), F.min("review_id").alias("first_id")).filter("n > 1").withColumn("copies", F.col("n"))
     found = lookup_by_key(keyed, groups, ["__k"], "n", "inner")
     return found.select("review_id", "copies", "first_id", (F.col("review_id") != F.col("first_id")).alias("is_duplicate"))
@@ -46,16 +47,26 @@ def repeated_sentence(text: Column, least: int = 3) -> Column:
     return F.coalesce(F.aggregate(F.array_sort(sentences), start, step, lambda acc: acc["most"]) >= least, F.lit(False))
 
 
-def tfidf(docs: DataFrame, stop_words: list[str], max_share: float = 0.95) -> DataFrame:
-    """(review_id, term, w): L2-normalised tf-idf of unigrams; idf = ln((1 + n) / (1 + df)) + 1, terms in over ``max_share`` of texts dropped."""
+def tfidf(docs: DataFrame, stop_words: list[str], max_share: float = 0.95, bigrams: bool = True, max_features: int | None = None) -> DataFrame:
+    """(review_id, term, w): L2-normalised tf-idf of words and, with ``bigrams``, of neighbouring words once stop words are gone.
+
+    idf = ln((1 + n) / (1 + df)) + 1; terms in over ``max_share`` of the texts are dropped,
+    and with ``max_features`` all but the most frequent terms of the corpus (ties by term).
+    """
     texts = docs.filter(F.length(F.trim("review_text")) >= S.MIN_REVIEW_LENGTH)
     tokens = F.regexp_extract_all(F.lower("review_text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    tf = texts.select("review_id", F.explode(tokens).alias("term")).filter(~F.col("term").isin(*stop_words)).groupBy("review_id", "term").agg(F.count("*").alias("tf"))
+    kept = texts.select("review_id", F.filter(tokens, lambda w: ~w.isin(*stop_words)).alias("ws"))
+    pairs = F.zip_with(F.expr("slice(ws, 1, size(ws) - 1)"), F.expr("slice(ws, 2, size(ws) - 1)"), lambda a, b: F.concat_ws(" ", a, b))
+    terms = F.when(F.size("ws") > 1, F.concat("ws", pairs)).otherwise(F.col("ws")) if bigrams else F.col("ws")
+    tf = stored(kept.select("review_id", F.explode(terms).alias("term")).groupBy("review_id", "term").agg(F.count("*").alias("tf")), "tf")
     n = texts.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).filter(F.col("df") <= max_share * F.col("n")).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n)).filter(F.col("df") <= max_share * F.col("n"))
+    if max_features:
+        df = df.orderBy(F.desc("total"), "term").limit(max_features)
+    idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, "term").select("review_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("review_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "review_id").select("review_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("review_id")))
+    return raw.select("review_id", "term", (F.col("w") / norm).alias("w"))
 
 
 def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY) -> DataFrame:
@@ -63,13 +74,23 @@ def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY) ->
 
     A vector's terms are taken from the rarest on until the rest could not reach ``least``
     against a unit vector; two vectors that similar share such a term. Common terms are
-    hardly ever in a prefix, so no list of theirs is joined.
+    hardly ever in a prefix, so no list of theirs is joined. A candidate's products within
+    the prefixes are known then, and what lies behind them is bounded by the lengths of the
+    rests; only pairs that can still reach ``least`` are joined to their vectors.
     """
     df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("review_id").orderBy("df", "term")
-    ranked = weights.join(df, "term").withColumn("before", F.sum(F.col("w") * F.col("w")).over(order) - F.col("w") * F.col("w"))
-    prefix = ranked.filter(1 - F.col("before") >= least * least - 1e-9).filter("df > 1").select("term", "review_id")
-    pairs = prefix.select("term", F.col("review_id").alias("a")).join(prefix.select("term", F.col("review_id").alias("b")), "term").filter("a < b").select("a", "b").distinct()
+    whole = Window.partitionBy("review_id")
+    up_to = F.sum(F.col("w") * F.col("w")).over(whole.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = weights.join(df, "term").withColumn("mass", up_to).withColumn("place", F.struct("df", "term"))
+    prefix = ranked.filter(1 - F.col("mass") + F.col("w") * F.col("w") >= least * least - 1e-9)
+    prefix = prefix.withColumns({"all": F.max("mass").over(whole), "end": F.max("place").over(whole)}).filter("df > 1")
+    side = lambda x: prefix.select("term", F.col("review_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("w", "mass", "all", "end", "place")])
+    met = side("a").join(side("b"), "term").filter("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("known"), F.max(F.struct("place_a", "mass_a", "mass_b")).alias("last"),
+        *[F.first(c).alias(c) for c in ("all_a", "end_a", "all_b", "end_b")],
+    )
+    rest = F.when(F.col("end_a") <= F.col("end_b"), (1 - F.col("all_a")) * (1 - F.col("last.mass_b"))).otherwise((1 - F.col("all_b")) * (1 - F.col("last.mass_a")))
+    pairs = stored(met.filter(F.col("known") + F.sqrt(F.greatest(F.lit(0.0), rest)) >= least - 1e-9).select("a", "b"), "candidates")
     x = pairs.join(weights.select(F.col("review_id").alias("a"), "term", F.col("w").alias("wa")), "a")
     both = x.join(weights.select(F.col("review_id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
@@ -81,14 +102,14 @@ def near_groups(pairs: DataFrame) -> DataFrame:
     return parts.join(parts.groupBy("group_id").agg(F.count("*").alias("group_size")), "group_id")
 
 
-def text_groups(reviews: DataFrame, stop_words: list[str], least: float = S.DUPLICATE_SIMILARITY, strict: bool = False) -> DataFrame:
+def text_groups(reviews: DataFrame, stop_words: list[str], least: float = S.DUPLICATE_SIMILARITY, strict: bool = False, **vectors) -> DataFrame:
     """``near_groups`` of reviews whose tf-idf cosine is at least (``strict``: over) ``least``.
 
     Equal texts have equal vectors: each meets its first copy alone, and only first copies
     are compared, so a text that many rows share makes no pairs among its copies. The
-    weights still count every row.
+    weights still count every row. ``vectors`` are options of ``tfidf``.
     """
-    weights = stored(tfidf(reviews, stop_words), "weights")
+    weights = stored(tfidf(reviews, stop_words, **vectors), "weights")
     keyed = reviews.join(weights.select("review_id").distinct(), "review_id", "left_semi").select("review_id", F.sha2(normal_form(F.col("review_text")), 256).alias("__k"))
     firsts = keyed.groupBy("__k").agg(F.min("review_id").alias("first_id"), F.count("*").alias("n"))
     pairs = similar_pairs(weights.join(firsts.select(F.col("first_id").alias("review_id")), "review_id", "left_semi"), least)

@@ -83,19 +83,29 @@ e2 AS (SELECT *, {' + '.join(f's_{e[0]}' for e in _EMO)} AS total, greatest({',
 e3 AS (SELECT review_id, CASE WHEN coalesce(trim(t), '') = '' THEN 'neutral' WHEN total = 0 THEN 'disappointed' {' '.join(f"WHEN s_{e[0]} = top THEN '{e[0]}'" for e in _EMO)} END AS emotion,
   CASE WHEN coalesce(trim(t), '') = '' THEN 0.5 WHEN total = 0 THEN 0.3 ELSE round(CASE WHEN c_furious >= 2 OR loud OR c_delighted >= 3 THEN greatest(least(0.95, top / total), 0.85) ELSE least(0.95, top / total) END, 2) END::DOUBLE AS confidence FROM e2),
 em AS (SELECT *, CASE emotion {' '.join(f"WHEN '{e[0]}' THEN '{e[2]}'" for e in _EMO)} END AS urgency, (CASE emotion {' '.join(f"WHEN '{e[0]}' THEN {e[3] + (e[4] - e[3]) // 2}" for e in _EMO)} END)::INTEGER AS raw_score FROM e3)"""
-_TFIDF = f"""{_DOC},
+_UNIGRAMS = "SELECT review_id, unnest(ws) AS term FROM tw"
+_BIGRAMS = "SELECT review_id, ws[i] || ' ' || ws[i + 1] AS term FROM (SELECT *, unnest(generate_series(1, len(ws) - 1)) AS i FROM tw WHERE len(ws) > 1)"
+
+
+def _tfidf(terms, least, features=""):
+    return f"""{_DOC},
 tx AS (SELECT * FROM doc WHERE length(trim(review_text)) >= 10),
-tk AS (SELECT review_id, unnest(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM tx),
-tf AS (SELECT review_id, term, count(*) AS tf FROM tk WHERE term NOT IN ('the', 'and', 'of', 'to', 'in') GROUP BY 1, 2),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tx)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT count(*) FROM tx)),
+tw AS (SELECT review_id, list_filter(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in')) AS ws FROM tx),
+tf AS (SELECT review_id, term, count(*) AS tf FROM ({terms}) GROUP BY 1, 2),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tx)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 HAVING count(*) <= 0.95 * (SELECT count(*) FROM tx) {features}),
 raw AS (SELECT review_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
 wt AS (SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS w FROM raw),
-edge AS (SELECT x.review_id AS a, y.review_id AS b, sum(x.w * y.w) AS similarity FROM wt x JOIN wt y ON x.term = y.term AND x.review_id < y.review_id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.85)"""
-_GROUPS = f"""{_TFIDF},
+edge AS (SELECT x.review_id AS a, y.review_id AS b, sum(x.w * y.w) AS similarity FROM wt x JOIN wt y ON x.term = y.term AND x.review_id < y.review_id GROUP BY 1, 2 HAVING sum(x.w * y.w) {least})"""
+
+
+_TFIDF = _tfidf(f"{_UNIGRAMS} UNION ALL {_BIGRAMS}", ">= 0.85")
+_TOP_TERMS = "ORDER BY sum(tf) DESC, term LIMIT 2000"
+_COMPONENTS = """
 both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach_ AS (SELECT a AS review_id, a AS c FROM both_ UNION SELECT both_.b, reach_.c FROM reach_ JOIN both_ ON both_.a = reach_.review_id),
 grp0 AS (SELECT review_id, min(c) AS group_id FROM reach_ GROUP BY 1),
 grp AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS group_size FROM grp0)"""
+_GROUPS = f"{_TFIDF},{_COMPONENTS}"
 _TEMPLATE = """tp0 AS (SELECT review_id, review_text, regexp_extract(lower(review_text), '[\\p{L}\\p{N}_]+', 0) AS word FROM doc),
 tp1 AS (SELECT review_id, CASE WHEN word <> '' AND len(regexp_split_to_array(trim(replace(lower(review_text), word, '[PRODUCT]')), '\\s+')) >= 5 THEN replace(lower(review_text), word, '[PRODUCT]') END AS body FROM tp0),
 tp AS (SELECT review_id, CASE WHEN body IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY body) END AS matches FROM tp1)"""
@@ -237,7 +247,7 @@ SELECT *, len(regexp_split_to_array(trim(response_text), '\\s+'))::INTEGER AS wo
 
 _ISLANDS = f"""{_EV}, u AS (SELECT DISTINCT 'user_' AS prefix, user_id AS number FROM ev WHERE rating = 1), i AS (SELECT *, coalesce((number - lag(number) OVER (ORDER BY number) > 2)::INTEGER, 0) AS new FROM u), g AS (SELECT *, sum(new) OVER (ORDER BY number) AS island FROM i),
 mb AS (SELECT *, prefix || number AS username, count(*) OVER (PARTITION BY island) AS n FROM g), mm AS (SELECT * FROM mb WHERE n >= 3)"""
-_TEXT_GROUPS = _GROUPS.replace(">= 0.85", "> 0.65")
+_TEXT_GROUPS = f"{_tfidf(_UNIGRAMS, '> 0.65', _TOP_TERMS)},{_COMPONENTS}"
 _HINDI, _ENGLISH = (f"len(list_filter(ws, lambda x: list_contains({_LIST(xs)}, x)))" for xs in (S.HINDI_WORDS, S.ENGLISH_WORDS))
 _EXPANDED = "concat_ws(' ', 'Gr8 pls', text, 'bcz bahut mast')"
 for _short, _long in S.ABBREVIATIONS.items():
