@@ -29,6 +29,11 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "\t\n\x0b\f\r", "     "), " {2,}", " ")
 
 
+def has_words(text: Column, least: int) -> Column:
+    """Whether white space parts ``text`` into ``least`` strings; reads no further than that."""
+    return text.rlike(r"\s" + r"\S+\s+" * (least - 3) + r"\S+\s" if least > 2 else r"\s" * (least - 1))
+
+
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of ``terms`` occur in ``text`` as substrings."""
     return sum((F.contains(text, F.lit(k)).cast("int") for k in terms), F.lit(0))

@@ -15,13 +15,13 @@ def normal_form(text: Column) -> Column:
     return F.lower(F.trim(one_space(text)))
 
 
-def group_sizes(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: rows with the same key (0 for a null or empty key).
+def group_sizes(rows: DataFrame, key: Column, name: str, drop: list[str] = ()) -> DataFrame:
+    """``rows`` without ``drop``, with ``name``: rows with the same key (0 for a null or empty key).
 
     Counted by the key's digest with a partial aggregate and looked up evenly, so a text
-    that many rows share is no hot task.
+    that many rows share is no hot task. The digests are made once and stored.
     """
-    keyed = rows.withColumn("__k", F.when(F.length(key) > 0, F.sha2(key, 256)))
+    keyed = stored(rows.withColumn("__k", F.when(F.length(key) > 0, F.sha2(key, 256))).drop(*drop), "keyed")
     counts = keyed.filter("__k IS NOT NULL").groupBy("__k").agg(F.count("*").alias("__n")).withColumn(name, F.col("__n"))
     return lookup_by_key(keyed, counts, ["__k"], "__n").drop("__k").fillna(0, [name])
 

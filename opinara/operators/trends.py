@@ -33,15 +33,38 @@ def sliding_windows(mentions: DataFrame, order: list[str], size: int = 50, step:
     return rows.filter(held >= size // 2).withColumn("window_no", (F.col("k") + 1).cast("int")).drop("k")
 
 
+MOODS = ("negative", "positive", "neutral", "mixed")
+
+
+def _moods() -> list[Column]:
+    return [F.count("*").alias("total_mentions"), *[F.count_if(F.col("sentiment") == s).alias(f"{s}_mentions") for s in MOODS]]
+
+
+def _with_rates(counts: DataFrame) -> DataFrame:
+    rate = lambda s: F.col(f"{s}_mentions") / F.col("total_mentions") * 100
+    return counts.withColumns({"complaint_rate": rate("negative"), "praise_rate": rate("positive"), "neutral_rate": rate("neutral"), "mixed_rate": rate("mixed")})
+
+
 def feature_rates(windowed: DataFrame) -> DataFrame:
     """Mentions and rates per product, feature and window."""
-    named = F.col("sentiment")
-    out = windowed.groupBy(*KEYS, "window_no").agg(
-        F.count("*").alias("total_mentions"),
-        *[F.count_if(named == s).alias(f"{s}_mentions") for s in ("negative", "positive", "neutral", "mixed")],
-    )
-    rate = lambda s: F.col(f"{s}_mentions") / F.col("total_mentions") * 100
-    return out.withColumns({"complaint_rate": rate("negative"), "praise_rate": rate("positive"), "neutral_rate": rate("neutral"), "mixed_rate": rate("mixed")})
+    return _with_rates(windowed.groupBy(*KEYS, "window_no").agg(*_moods()))
+
+
+def window_rates(mentions: DataFrame, order: list[str], size: int = 50, step: int = 25) -> DataFrame:
+    """``feature_rates`` of ``sliding_windows``, where ``step`` divides ``size``.
+
+    Rows are counted by stretches of ``step`` rows, and only these counts are copied into
+    the windows that hold the stretch.
+    """
+    if size % step:
+        return feature_rates(sliding_windows(mentions, order, size, step))
+    rows = positions(mentions, ["product_name"], F.to_date("ts"), order).filter(F.col("n") >= size)
+    cells = rows.groupBy(*KEYS, F.floor(F.col("idx") / step).alias("cell")).agg(F.max("n").alias("n"), *_moods())
+    first, last = F.greatest(F.lit(0), F.col("cell") - size // step + 1), F.least(F.col("cell"), F.ceil((F.col("n") - size) / step))
+    cells = cells.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    cells = cells.filter(F.least(F.lit(size), F.col("n") - F.col("k") * step) >= size // 2)
+    sums = [F.sum(c).alias(c) for c in ("total_mentions", *(f"{s}_mentions" for s in MOODS))]
+    return _with_rates(cells.groupBy(*KEYS, (F.col("k") + 1).cast("int").alias("window_no")).agg(*sums))
 
 
 def baseline() -> Column:

@@ -23,7 +23,7 @@ def query(f):
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
-    return T.feature_rates(T.sliding_windows(line_reviews(spark, d), LINE_ORDER))
+    return T.window_rates(line_reviews(spark, d), LINE_ORDER)
 
 
 @query
@@ -274,9 +274,10 @@ def exact_dups(spark, d):
 
 
 def _template(spark, d):
-    rows = document_reviews(spark, d).withColumn("word", F.regexp_extract(F.lower("review_text"), X.WORD, 0))
-    body = F.replace(F.lower("review_text"), F.col("word"), F.lit("[PRODUCT]"))
-    return D.group_sizes(rows, F.when((F.col("word") != "") & (F.size(F.split(F.trim(body), r"\s+")) >= 5), body), "matches")
+    low = F.lower("review_text")
+    rows = document_reviews(spark, d).select("review_id", low.alias("low"), F.regexp_extract(low, X.WORD, 0).alias("word"))
+    body = F.replace("low", F.col("word"), F.lit("[PRODUCT]"))
+    return D.group_sizes(rows.select("review_id", F.when((F.col("word") != "") & X.has_words(F.trim(body), 5), body).alias("body")), F.col("body"), "matches", drop=["body"])
 
 
 @query
@@ -305,7 +306,7 @@ def dup_components(spark, d):
 
 def _trust(spark, d):
     rows = document_reviews(spark, d)
-    exact = D.group_sizes(rows, D.normal_form(F.col("review_text")), "copies").select("review_id", "copies", D.repeated_sentence(F.col("review_text")).alias("repetitive"))
+    exact = D.group_sizes(rows.select("review_id", "review_text", D.repeated_sentence(F.col("review_text")).alias("repetitive")), D.normal_form(F.col("review_text")), "copies", drop=["review_text"])
     template = _template(spark, d).select("review_id", "matches")
     groups = D.text_groups(rows, STOP_TEST)
     out = exact.join(template, "review_id").join(groups, "review_id", "left")
