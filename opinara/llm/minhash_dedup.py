@@ -15,9 +15,11 @@ from opinara.operators.graph import connected_components
 from opinara.operators.skew import lookup_by_key
 from opinara.storage import stored
 
-#: Values of a sketch, and the least estimate of a candidate: at a similarity of 0.8 or more an estimate
-#: from 48 values is under 0.4 (under 20 hits of 48) with a probability under 2e-9, the binomial tail.
-SKETCH, LEAST_ESTIMATE = 48, 0.4
+#: Values of a sketch; the share of them that two sets of a similarity of 0.8 or more have in common but once in
+#: 76 000 pairs (under 26 of 48), by which lists are shortened; and the least estimate of a candidate, which such a
+#: pair misses once in 900 million (under 20 of 48). A pair with fewer common values is still met where one of them
+#: is among the rarest of both.
+SKETCH, LEAST_SHARED, LEAST_ESTIMATE = 48, 0.55, 0.4
 #: Rows without a doc_id are told by keys from here on, made from their texts.
 FIRST_KEY = 1 << 62
 #: Members that one task confirms against a centre.
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = stored(sketched(docs, shingle, k), "sketches")
     sets = rows.filter("n_shingles > 0")
     classes = stored(sets.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")), "classes")
-    lists = stored(inverted_lists(classes, k, similarity, estimate), "lists")
+    lists = stored(inverted_lists(classes, k, similarity, LEAST_SHARED), "lists")
     involved = lists.select("node").distinct()
     texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node"), "texts")
 
