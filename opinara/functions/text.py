@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opinara import schema as S
 
@@ -197,3 +197,101 @@ def bot_signals(text: Column, rating: Column, username: Column) -> Column:
 
 def bot_status(score: Column) -> Column:
     return F.when(score <= 25, "TRUSTED").when(score <= 50, "LOW_SUSPICION").when(score <= 75, "HIGH_SUSPICION").otherwise("CONFIRMED_BOT")
+
+
+#: Pictographs, and what may follow one: a variation selector and skin tones.
+EMOJI, EMOJI_STYLE = r"[\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]", r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]+"
+
+
+def emoji_tags(text: Column) -> Column:
+    """struct(text, tags): emojis as tags between blanks, and the distinct tags in order.
+
+    Variants and skin tones count as the plain emoji. The fixed map first; any other by its Unicode name, which only rows that hold one
+    pay for, in an Arrow batch.
+    """
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        import re
+        import unicodedata
+
+        one = re.compile("[\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff]")
+        return texts.map(lambda t: one.sub(lambda m: f" [{unicodedata.name(m[0][0], 'EMOJI')}] ", t), na_action="ignore")
+
+    known = emojis_to_tags(F.regexp_replace(text, EMOJI_STYLE, ""))
+    done = F.coalesce(named(F.when(known.rlike(EMOJI), known)), known)
+    return let(F.trim(one_space(done)), lambda t: F.struct(t.alias("text"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"\[[\p{Lu}\p{N}][\p{Lu}\p{N} \-]*\]"), F.lit(0))).alias("tags")))
+
+
+def title_case(word: Column) -> Column:
+    """Every run of letters with a capital first letter, the others small."""
+    return F.array_join(F.transform(F.regexp_extract_all(word, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
+
+
+def is_shouted(word: Column) -> Column:
+    return word.rlike(r"\p{L}.*\p{L}") & ~word.rlike(r"[^\p{Lu}\P{L}]")
+
+
+def calmed(text: Column) -> Column:
+    """struct(text, caps): shouted words in title case, and whether there were any; then as ``squeezed``."""
+    def of(ws: Column) -> Column:
+        return F.struct(squeezed(F.array_join(F.transform(ws, lambda w: F.when(is_shouted(w), title_case(w)).otherwise(w)), " ")).alias("text"), F.exists(ws, is_shouted).alias("caps"))
+
+    return let(F.split(F.trim(one_space(text)), " "), of)
+
+
+def quality_flags(text: Column, tags: Column, product_terms: list[str] = S.PRODUCT_TERMS, personal_terms: list[str] = S.PERSONAL_TERMS) -> Column:
+    """What lowers a text's quality: only_emojis, too_short, or missing product or personal terms; words in brackets do not count."""
+    n = F.size(F.filter(F.split(F.trim(one_space(text)), " "), lambda w: (w != "") & ~w.startswith("[")))
+    lacks = lambda ws, terms, flag: F.when(~F.arrays_overlap(ws, literal_array(terms)), flag)
+    terms = let(words(text), lambda ws: F.array_compact(F.array(lacks(ws, product_terms, "no_product_terms"), lacks(ws, personal_terms, "no_personal_experience"))))
+    return let(n, lambda n: F.when((n == 0) & (F.size(tags) > 0), F.array(F.lit("only_emojis"))).when(n < 5, F.array(F.lit("too_short"))).otherwise(terms))
+
+
+def word_score(text: Column, tags: Column, product_terms: list[str] = S.PRODUCT_TERMS, personal_terms: list[str] = S.PERSONAL_TERMS) -> Column:
+    """0 to 100 by the number of words outside brackets and by product and personal terms."""
+    n = F.size(F.filter(F.split(F.trim(one_space(text)), " "), lambda w: (w != "") & ~w.startswith("[")))
+    bonus = let(words(text), lambda ws: F.when(F.arrays_overlap(ws, literal_array(product_terms)), 10).otherwise(0) + F.when(F.arrays_overlap(ws, literal_array(personal_terms)), 10).otherwise(0))
+    return let(n, lambda n: F.when((n == 0) & (F.size(tags) > 0), 15).when(n < 5, 10).otherwise(F.least(F.lit(100), F.ceil(F.when(n >= 20, 80.0).otherwise(50 + n * 1.5) + bonus))).cast("int"))
+
+
+def preprocess(reviews: DataFrame, text: str = "review_text", translate=None) -> DataFrame:
+    """``reviews`` with clean_text, language, emoji_tags, caps_intensity, quality_score, low_quality, flags, trust_score.
+
+    Repair, emojis, language, normal form and score, one after the other. ``translate``
+    takes the column of a text that is not English; by default texts stay. A null or blank
+    text is empty, of quality 0, language EN, flagged empty_text.
+    """
+    c = F.col
+    out = reviews.withColumn("__t", F.when(F.trim(one_space(c(text))) != "", c(text)))
+    out = out.withColumn("__e", emoji_tags(repaired(composed(unscrambled(c("__t")))))).withColumn("__l", F.when(c("__t").isNull(), "EN").otherwise(review_language(c("__e.text"))))
+    known = F.when(c("__l") != "EN", translate(c("__e.text"))).otherwise(c("__e.text")) if translate else c("__e.text")
+    out = out.withColumn("__n", calmed(known)).withColumn("__tags", F.coalesce("__e.tags", F.array().cast("array<string>")))
+    blank = c("__t").isNull()
+    out = out.withColumns({
+        "clean_text": F.coalesce("__n.text", F.lit("")), "language": c("__l"), "emoji_tags": c("__tags"), "caps_intensity": F.coalesce("__n.caps", F.lit(False)),
+        "quality_score": F.when(blank, 0).otherwise(word_score(c("__n.text"), c("__tags"))), "flags": F.when(blank, F.array(F.lit("empty_text"))).otherwise(quality_flags(c("__n.text"), c("__tags"))),
+    })
+    return out.withColumns({"low_quality": c("quality_score") < 20, "trust_score": c("quality_score") / 100}).drop("__t", "__e", "__l", "__n", "__tags")
+
+
+def sarcasm_decision(text: Column, confidence: Column, sentiment: Column, second_pass: Column | None = None) -> Column:
+    """struct(flagged, needs_check, sarcastic, human_review, sentiment) from the rules and a second pass.
+
+    A text is checked again if a rule matches, its sentiment is unsure (under 0.6) or mixed.
+    ``second_pass`` says what a model finds; without one a checked text goes to a human. Sarcastic
+    is what the model or rules of over 0.5 say; such a review becomes ambiguous.
+    """
+    def decide(s: Column) -> Column:
+        flagged = F.coalesce(s["flags"] != "", F.lit(False))
+        check = flagged | (F.coalesce(confidence, F.lit(1.0)) < 0.6) | F.coalesce(sentiment == "mixed", F.lit(False))
+        found = F.coalesce(second_pass, F.lit(False)) if second_pass is not None else F.lit(False)
+        sarcastic = check & (found | F.coalesce(s["confidence"] > 0.5, F.lit(False)))
+        human = sarcastic | check if second_pass is None else sarcastic
+        return F.struct(flagged.alias("flagged"), check.alias("needs_check"), sarcastic.alias("sarcastic"), human.alias("human_review"), F.when(sarcastic, "ambiguous").otherwise(sentiment).alias("sentiment"))
+
+    return let(sarcasm(text), decide)
+
+
+def needs_second_layer(confidence: Column) -> Column:
+    """Whether an emotion of this confidence is put to a model, where one is at hand."""
+    return (confidence >= 0.4) & (confidence <= 0.65)

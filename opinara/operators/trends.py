@@ -123,3 +123,17 @@ def lifecycle(rates: DataFrame, base: float = S.BASELINE_RATE) -> DataFrame:
 def transitions(stages: DataFrame) -> DataFrame:
     """Windows where a series enters another stage; it begins detected."""
     return stages.withColumn("from_stage", F.lag("stage", 1, "detected").over(ordered())).filter("from_stage <> stage")
+
+
+def runs_above(rates: DataFrame, least: float) -> DataFrame:
+    """(product_name, feature, longest_run, windows_above): windows whose complaint rate is over ``least``, neighbouring and in all."""
+    over = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    above = F.col("complaint_rate") > least
+    runs = rates.select(*KEYS, "window_no", above.alias("above"), (F.row_number().over(ordered()) - F.count_if(above).over(over)).alias("__run"))
+    each = runs.groupBy(*KEYS, "__run").agg(F.count_if("above").alias("n"))
+    return each.groupBy(*KEYS).agg(F.max("n").alias("longest_run"), F.sum("n").alias("windows_above"))
+
+
+def with_attention(states: DataFrame) -> DataFrame:
+    """Issues by their latest stage: active until resolved, in need of attention while systemic or persistent."""
+    return states.withColumns({"active": F.col("stage") != "resolved", "requires_attention": F.col("stage").isin("systemic", "persistent")})

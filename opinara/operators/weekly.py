@@ -73,7 +73,7 @@ def feature_heatmap(reviews: DataFrame, features: list[str]) -> DataFrame:
 def time_batches(reviews: DataFrame, days: int) -> DataFrame:
     """Batches of ``days`` days from the first day; empty ones are skipped and the rest numbered on."""
     first = reviews.groupBy("product_name").agg(F.min(F.to_date("ts")).alias("__first"))
-    rows = reviews.join(F.broadcast(first), "product_name").withColumn("__p", F.floor(F.datediff("ts", "__first") / days))
+    rows = reviews.join(first, "product_name").withColumn("__p", F.floor(F.datediff("ts", "__first") / days))
     return _stats(rows, "__p")
 
 

@@ -10,6 +10,7 @@ from opinara.functions.numbers import percent, rounded as r4
 from opinara.operators import duplicates as D, escalation as E, trends as T, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans.views import LINE_ORDER, document_reviews, event_reviews, line_reviews, table
+from opinara.storage import stored
 
 QUERIES = {}
 #: Frequent words of the test texts stand in for the review word lists, which hardly occur in them.
@@ -322,8 +323,9 @@ def trust_scores(spark, d):
 
 @query
 def dedup_stats(spark, d):
-    t = F.col("trust_score")
-    return _trust(spark, d).agg(F.count("*").alias("reviews"), F.count_if("is_suspicious").alias("suspicious"), F.count_if(t >= 90).alias("trusted"), F.count_if((t >= 70) & (t < 90)).alias("minor"), F.count_if((t >= 40) & (t < 70)).alias("questionable"), F.count_if(t < 40).alias("bots"), F.countDistinct("group_id").alias("groups"))
+    t, rows = F.col("trust_score"), stored(_trust(spark, d), "trust")
+    largest = rows.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest_group"))
+    return rows.agg(F.count("*").alias("reviews"), F.count_if("is_suspicious").alias("suspicious"), F.count_if(t >= 90).alias("trusted"), F.count_if((t >= 70) & (t < 90)).alias("minor"), F.count_if((t >= 40) & (t < 70)).alias("questionable"), F.count_if(t < 40).alias("bots"), F.countDistinct("group_id").alias("groups")).crossJoin(largest)
 
 
 @query

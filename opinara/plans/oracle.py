@@ -178,7 +178,7 @@ SELECT tp, fp, fn, {_r('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) * 100 ELSE 0 E
     "tfidf_edges": f"WITH {_TFIDF} SELECT a, b, {_r('similarity')} FROM edge",
     "dup_components": f"WITH RECURSIVE {_GROUPS} SELECT review_id, group_id, group_size FROM grp",
     "trust_scores": f"WITH RECURSIVE {_TRUST} SELECT review_id, group_id, trust_score, trust_score < 30 OR flagged AS is_suspicious FROM tr",
-    "dedup_stats": f"WITH RECURSIVE {_TRUST} SELECT count(*) AS reviews, count_if(trust_score < 30 OR flagged)::BIGINT AS suspicious, count_if(trust_score >= 90)::BIGINT AS trusted, count_if(trust_score >= 70 AND trust_score < 90)::BIGINT AS minor, count_if(trust_score >= 40 AND trust_score < 70)::BIGINT AS questionable, count_if(trust_score < 40)::BIGINT AS bots, count(DISTINCT group_id) AS groups FROM tr",
+    "dedup_stats": f"WITH RECURSIVE {_TRUST} SELECT count(*) AS reviews, count_if(trust_score < 30 OR flagged)::BIGINT AS suspicious, count_if(trust_score >= 90)::BIGINT AS trusted, count_if(trust_score >= 70 AND trust_score < 90)::BIGINT AS minor, count_if(trust_score >= 40 AND trust_score < 70)::BIGINT AS questionable, count_if(trust_score < 40)::BIGINT AS bots, count(DISTINCT group_id) AS groups, (SELECT max(c) FROM (SELECT count(*) AS c FROM tr WHERE group_id IS NOT NULL GROUP BY group_id)) AS largest_group FROM tr",
     "bot_scores": f"""WITH {_DOC}, b0 AS (SELECT review_id, review_id % 5 + 1 AS rating, review_id % 3 = 0 AS named, regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM doc),
 b1 AS (SELECT review_id, list_filter([CASE WHEN (rating >= 4 AND {_W('ws', S.BOT_NEGATIVE)} > 3) OR (rating <= 2 AND {_W('ws', S.BOT_POSITIVE)} > 3) THEN 'RATING_SENTIMENT_MISMATCH:20' END,
  CASE WHEN len(ws) > 0 AND len(list_distinct(ws)) / len(ws) < 0.4 THEN 'LOW_LEXICAL_DIVERSITY:20' END, CASE WHEN len(ws) > 0 AND len(list_distinct(ws)) / len(ws) BETWEEN 0.4 AND 0.6 THEN 'SUSPICIOUS_LEXICAL_DIVERSITY:10' END,
@@ -241,7 +241,7 @@ eg AS (SELECT *, current - baseline AS emergence_score FROM fq WHERE current >=
 def _replies() -> str:
     values = ", ".join("('{}', '{}', '{}')".format(t, c, x.replace("'", "''")) for t, texts in S.REPLIES.items() for c, x in texts.items())
     return f"""WITH {_DOC}, i AS (SELECT review_id, product_name, ['Seal', 'build', 'transit', 'price'][(review_id % 4 + 1)::INTEGER] AS feature, ['packaging', 'quality', 'delivery', 'default'][(review_id % 4 + 1)::INTEGER] AS category, ['packaging team', 'quality team', 'logistics team', 'support team'][(review_id % 4 + 1)::INTEGER] AS team FROM doc),
-t(tone, category, body) AS (VALUES {values}), r AS (SELECT review_id, i.category, tone, replace(replace(replace(replace(body, '{{product}}', coalesce(product_name, '')), '{{issue}}', feature), '{{ref_id}}', 'RIQ-' || review_id), '{{team}}', team) AS response_text FROM i JOIN t ON i.category = t.category)
+t(tone, category, body) AS (VALUES {values}), r AS (SELECT review_id, i.category, tone, replace(replace(replace(replace(body, '{{product}}', coalesce(product_name, '')), '{{issue}}', feature), '{{ref_id}}', 'REF-' || review_id), '{{team}}', team) AS response_text FROM i JOIN t ON i.category = t.category)
 SELECT *, len(regexp_split_to_array(trim(response_text), '\\s+'))::INTEGER AS word_count FROM r"""
 
 

@@ -160,4 +160,4 @@ def test_reply_drafts(spark):
     rows = R.reply_drafts(df).collect()
     assert len(rows) == 6 and {r.category for r in rows if r.review_id == 7} == {"packaging"} and {r.category for r in rows if r.review_id == 8} == {"default"}
     first = next(r for r in rows if r.review_id == 7 and r.tone == "professional")
-    assert "Mixer" in first.response_text and "RIQ-7" in first.response_text and first.word_count == len(first.response_text.split())
+    assert "Mixer" in first.response_text and "REF-7" in first.response_text and first.word_count == len(first.response_text.split())
