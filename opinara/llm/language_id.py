@@ -15,7 +15,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 160, 1500, 32 << 10
 #: Texts are compressed in blocks of this many bytes, so that the dictionary matters throughout a long text.
 BLOCK_BYTES, LEVEL = 4096, 9
 #: A text whose smallest encoding is under the second by less than this share is rejected.
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.01
 #: What is compressed: lower-case letters and single blanks.
 OTHER = re.compile(r"[\W\d_]+")
 

@@ -30,7 +30,7 @@ def corpus(seed=1, n=60):
     return list(enumerate(texts))
 
 
-def frame(spark, rows, repeat=True):
+def frame(spark, rows):
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
     return df.withColumn("id", F.lit(1)).withColumn("h", F.lit("x")).repartition(3)
 
@@ -219,7 +219,7 @@ def brute_language(texts, model):
     for t in texts:
         raw = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()).encode()
         by_size = sorted(((size(raw, d), i, k) for i, (k, d) in enumerate(model.dictionaries))) if raw else []
-        out.append((by_size[0][2], by_size[1][0] - by_size[0][0] < 0.02 * by_size[1][0]) if by_size else ("und", True))
+        out.append((by_size[0][2], (by_size[1][0] - by_size[0][0]) / by_size[1][0] < language_id.MIN_MARGIN) if by_size else ("und", True))
     return out
 
 
@@ -382,6 +382,25 @@ def test_pipeline(spark):
     assert {r.doc_id for r in cp.pack(spark, cut, "").collect()} == {*want}
 
 
+def test_pipeline_language_stage(spark, tmp_path):
+    """Rows with null, repeated and missing ids stay as often as they come, if the plain rule keeps their text."""
+    import corpus_pipeline as cp
+
+    r = random.Random(6)
+    langs = {k: ["".join(r.choices(k * 3 + "aeiou", k=r.randrange(2, 8))) for _ in range(60)] for k in ("qxz", "mnp")}
+    rows = [(i, " ".join(r.choices(langs[k], k=50)), k) for i, k in enumerate(["qxz", "mnp"] * 30)]
+    rows += [(None, rows[0][1], None), (None, rows[0][1], None), (7, rows[1][1], "qxz"), (80, None, "qxz"), (81, "12 34", None), (82, "", None), (83, "wwww", None)]
+    docs = spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    verdicts = brute_language([t for _, t, _ in rows], language_id.fit(docs))
+    want = sorted(((i, t) for (i, t, _), (_, gone) in zip(rows, verdicts) if not gone), key=str)
+    kept = cp.language(spark, docs, str(tmp_path))
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == want and kept.columns == list(cp.COLUMNS) and len(want) >= 60
+    packed = cp.pack(spark, kept, "")
+    assert packed.filter("start = 0").count() == len(want) and cp.pack(spark, kept.limit(0), "").count() == 0
+
+
 def test_pipeline_keeps_rows_without_or_with_equal_ids(spark):
     import corpus_pipeline as cp
 
