@@ -14,7 +14,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told; those without letters or with a narrow margin go.
 
-    The dictionaries come from a bounded sample of the labelled rows of ``documents``.
+    The dictionaries come from a bounded sample of the labelled rows of ``documents``. Each
+    row is judged by its text alone, so rows without a doc_id and repeated rows stay or go
+    alike; null and blank texts have no letters and go. No rows give none.
     """
     model = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return language_id.predict(docs, model).filter("NOT lang_rejected").select(*COLUMNS)
@@ -46,7 +48,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows of at most 2048 tokens."""
+    """Packs what is left into windows of at most 2048 tokens; every row is a document, also one without a doc_id or text."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
