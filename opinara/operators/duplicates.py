@@ -126,56 +126,97 @@ def trust(group_size: Column, exact: Column, repetitive: Column, template: Colum
     return F.greatest(F.lit(0), 100 - cut).cast("int")
 
 
+def _timed(reviews: DataFrame) -> DataFrame:
+    """``reviews`` that have a time, with sec and a product key that is never null."""
+    key = F.coalesce(F.concat(F.lit("="), "product_name"), F.lit(""))
+    return reviews.withColumns({"__p": key, "sec": F.unix_timestamp(F.col("ts").cast("timestamp"))}).filter("sec IS NOT NULL")
+
+
+def _ahead(seconds: DataFrame, first: int, span: int) -> DataFrame:
+    """``seconds`` (one row per __p and sec; n, low, high) with ahead_n, ahead_low and ahead_high of those ``first`` to ``span`` later.
+
+    A second meets those of its own cell of ``span`` seconds and of the next cell, so a
+    task holds at most two cells, whatever the number of a product's reviews.
+    """
+    cell = F.floor(F.col("sec") / span)
+    w = Window.partitionBy("__p", "__c").orderBy("sec").rangeBetween(first, span)
+    rows = seconds.withColumn("__c", F.explode(F.array(cell, cell - 1)))
+    rows = rows.withColumns({"ahead_n": F.sum("n").over(w), "ahead_low": F.min("low").over(w), "ahead_high": F.max("high").over(w)})
+    return rows.filter(F.col("__c") == cell).drop("__c")
+
+
 def bursts(reviews: DataFrame, hours: int = 2, least: int = 3) -> DataFrame:
-    """Anchors with at least ``least`` reviews of one extreme rating within ``hours`` from them."""
-    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("product_name").orderBy("sec").rangeBetween(0, hours * 3600)
-    rows = reviews.withColumn("sec", sec).withColumns({"in_window": F.count("*").over(w), "low": F.min("rating").over(w), "high": F.max("rating").over(w)})
-    return rows.filter((F.col("in_window") >= least) & (F.col("low") == F.col("high")) & F.col("low").isin(1, 5)).drop("sec", "high").withColumnRenamed("low", "campaign_rating")
+    """Anchors with at least ``least`` reviews of one extreme rating within ``hours`` from them.
+
+    Reviews are counted per second first; those without a time take no part.
+    """
+    rows = _timed(reviews)
+    seconds = rows.groupBy("__p", "sec").agg(F.count("*").alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"))
+    found = _ahead(seconds, 0, hours * 3600).filter((F.col("ahead_n") >= least) & (F.col("ahead_low") == F.col("ahead_high")) & F.col("ahead_low").isin(1, 5))
+    found = found.select("__p", "sec", "n", F.col("ahead_n").alias("in_window"), F.col("ahead_low").alias("campaign_rating"))
+    return lookup_by_key(rows, found, ["__p", "sec"], "n", "inner").drop("__p", "sec")
 
 
 def greedy_bursts(reviews: DataFrame, hours: int = 2, least: int = 3) -> DataFrame:
     """Campaigns of the greedy scan: anchors in time order, a burst's reviews are taken once.
 
-    Runs as a fold per island: reviews of a product between gaps of more than ``hours``,
-    which no burst crosses, so that a hot product is many groups.
+    A burst takes all that follows its anchor within ``hours``, so the next anchor stands
+    beyond it and has no taken review in its own window: whether a review can be an anchor
+    does not depend on earlier bursts. Those that can are found per second (the first one
+    of each is enough), and the scan jumps along them only, in islands that no jump
+    crosses. Reviews without a time or rating take no part; ties in time go by review_id.
     """
+    import numpy as np
     import pandas as pd
 
-    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    by = Window.partitionBy("product_name").orderBy("sec", "review_id")
-    rows = reviews.filter("rating IS NOT NULL").select("product_name", "review_id", "rating", sec.alias("sec"))
-    rows = rows.withColumn("gap", F.coalesce(F.col("sec") - F.lag("sec").over(by) > hours * 3600, F.lit(False)))
-    rows = rows.withColumn("island", F.count_if("gap").over(by)).drop("gap")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sec", "review_id"])
-        secs, ratings, ids = pdf["sec"].to_numpy(), pdf["rating"].to_numpy(), pdf["review_id"].to_numpy()
-        used, out = [False] * len(secs), []
-        for i in range(len(secs)):
-            if used[i]:
-                continue
-            members, j = [], i
-            while j < len(secs) and secs[j] <= secs[i] + hours * 3600:
-                if not used[j]:
-                    members.append(j)
-                j += 1
-            kinds = {int(ratings[m]) for m in members}
-            if len(members) >= least and len(kinds) == 1 and kinds <= {1, 5}:
-                for m in members:
-                    used[m] = True
-                    out.append((pdf["product_name"].iloc[0], ids[i], ids[m], int(ratings[m])))
-        return pd.DataFrame(out, columns=["product_name", "campaign_id", "review_id", "rating"])
-
-    return rows.groupBy("product_name", "island").applyInPandas(scan, "product_name string, campaign_id long, review_id long, rating int")
-
-
-def user_islands(reviews: DataFrame, gap: int = 2) -> DataFrame:
-    """(username, prefix, number, island): numbered names of one prefix, a new island where numbers are over ``gap`` apart."""
+    span, r = hours * 3600, F.col("rating")
+    rows = _timed(reviews.filter("rating IS NOT NULL")).select("__p", "product_name", "review_id", r.cast("int").alias("rating"), "sec")
+    last_but = {f"not{k}": F.max(F.when(r != k, F.col("review_id"))) for k in (1, 5)}
+    seconds = rows.groupBy("__p", "sec").agg(F.count("*").alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"), F.max_by("rating", "review_id").alias("kind"), *[c.alias(k) for k, c in last_but.items()])
+    pure = F.col("ahead_n").isNull() | ((F.col("ahead_low") == F.col("kind")) & (F.col("ahead_high") == F.col("kind")))
+    tails = _ahead(seconds, 1, span).filter(F.col("kind").isin(1, 5) & pure)
+    tails = tails.select("__p", "sec", "n", "kind", F.coalesce("ahead_n", F.lit(0)).alias("later"), F.when(F.col("kind") == 1, F.col("not1")).otherwise(F.col("not5")).alias("other"))
+    # what stands in a second after its last other rating
+    held = lookup_by_key(rows, tails, ["__p", "sec"], "n", "inner").filter("other IS NULL OR review_id > other")
+    anchors = held.groupBy("__p", "sec").agg(F.min("review_id").alias("campaign_id"), (F.count("*") + F.first("later")).alias("size")).filter(F.col("size") >= least)
+    by = Window.partitionBy("__p").orderBy("sec")
+    far = F.coalesce(F.col("sec") - F.lag("sec").over(by) > span, F.lit(False))
+    anchors = anchors.select("__p", "sec", "campaign_id", far.alias("far")).select("__p", "sec", "campaign_id", F.count_if("far").over(by).alias("island"))
+
+    def jump(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sec")
+        secs, taken, at = pdf["sec"].to_numpy(), [], 0
+        while at < len(secs):
+            taken.append(at)
+            at = int(np.searchsorted(secs, secs[at] + span, side="right"))
+        return pdf.iloc[taken][["__p", "sec", "campaign_id"]]
+
+    chosen = anchors.groupBy("__p", "island").applyInPandas(jump, "__p string, sec long, campaign_id long")
+    cell = F.floor(F.col("sec") / span)
+    reach = chosen.select("__p", F.explode(F.array(cell, cell + 1)).alias("__c"), F.col("sec").alias("begin"), "campaign_id")
+    met = rows.withColumn("__c", cell).join(reach, ["__p", "__c"])
+    inside = ((F.col("sec") > F.col("begin")) & (F.col("sec") <= F.col("begin") + span)) | ((F.col("sec") == F.col("begin")) & (F.col("review_id") >= F.col("campaign_id")))
+    return met.filter(inside).select("product_name", "campaign_id", "review_id", "rating")
+
+
+def user_islands(reviews: DataFrame, gap: int = 2, bucket: int = 4096) -> DataFrame:
+    """(username, prefix, number, island): numbered names of one prefix, a new island where numbers are over ``gap`` apart.
+
+    A prefix is read in buckets of ``bucket`` numbers, each told the last number before
+    it and how many islands began there, so a prefix that all names share is many tasks.
+    """
     names = reviews.filter("username IS NOT NULL").select("username").distinct()
     parts = names.select("username", F.regexp_extract("username", r"^(.+?)(\d+)$", 1).alias("prefix"), F.regexp_extract("username", r"^(.+?)(\d+)$", 2).cast("long").alias("number")).filter("prefix <> ''")
-    w = Window.partitionBy("prefix").orderBy("number")
-    return parts.withColumn("new", (F.col("number") - F.lag("number").over(w) > gap).cast("int")).withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w)).drop("new")
+    parts = parts.withColumn("__b", F.floor(F.col("number") / bucket))
+    order = Window.partitionBy("prefix").orderBy("__b")
+    tops = parts.groupBy("prefix", "__b").agg(F.max("number").alias("__top")).withColumn("__before", F.lag("__top").over(order)).drop("__top")
+    w = Window.partitionBy("prefix", "__b").orderBy("number")
+    rows = parts.join(tops, ["prefix", "__b"])
+    rows = rows.withColumn("new", F.coalesce((F.col("number") - F.coalesce(F.lag("number").over(w), "__before") > gap).cast("int"), F.lit(0)))
+    begun = rows.groupBy("prefix", "__b").agg(F.sum("new").alias("__new"))
+    begun = begun.withColumn("__earlier", F.sum("__new").over(order) - F.col("__new")).drop("__new")
+    found = rows.withColumn("__here", F.sum("new").over(w)).join(begun, ["prefix", "__b"])
+    return found.select("username", "prefix", "number", (F.col("__earlier") + F.col("__here")).alias("island"))
 
 
 def sequential_users(reviews: DataFrame, gap: int = 2, least: int = 3) -> DataFrame:

@@ -119,6 +119,13 @@ tr AS (SELECT review_id, group_id, greatest(0, 100 - CASE WHEN gs >= 2 THEN leas
 _W = lambda ws, xs: f"len(list_filter({ws}, lambda w: list_contains({_LIST(xs)}, w)))"
 _SARC = ", ".join(f"CASE WHEN regexp_matches(review_text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{f}' END" for f, p, _ in S.SARCASM_RULES)
 
+#: The greedy scan of bursts: an anchor's window starts at its own row, the next anchor stands beyond the last burst.
+_BURSTS = """sb AS (SELECT product_name, review_id, rating, sec, row_number() OVER (PARTITION BY product_name ORDER BY sec, review_id) AS rn FROM (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS sec FROM ev WHERE rating IS NOT NULL)),
+qa AS (SELECT a.product_name, a.rn, a.sec, a.review_id AS campaign_id FROM sb a JOIN sb b ON b.product_name = a.product_name AND b.rn >= a.rn AND b.sec <= a.sec + 7200 GROUP BY ALL HAVING count(*) >= 3 AND min(b.rating) = max(b.rating) AND min(b.rating) IN (1, 5)),
+nx AS (SELECT a.product_name, a.rn, a.sec, a.campaign_id, min(b.rn) AS nx FROM qa a LEFT JOIN qa b ON b.product_name = a.product_name AND b.sec > a.sec + 7200 GROUP BY ALL),
+ch AS (SELECT * FROM nx WHERE rn = (SELECT min(f.rn) FROM qa f WHERE f.product_name = nx.product_name) UNION ALL SELECT n.* FROM ch JOIN nx n ON n.product_name = ch.product_name AND n.rn = ch.nx),
+gb AS (SELECT sb.product_name, ch.campaign_id, sb.review_id, sb.rating FROM ch JOIN sb ON sb.product_name = ch.product_name AND sb.rn >= ch.rn AND sb.sec <= ch.sec + 7200)"""
+
 SQL = {
     "trend_sliding_rates": f"WITH {_RATES} SELECT product_name, feature, window_no, total_mentions, negative_mentions, {_r('complaint_rate')}, {_r('praise_rate')}, {_r('neutral_rate')}, 0.0::DOUBLE AS mixed_rate FROM rates",
     "trend_zscore": f"WITH {_RATES} SELECT product_name, feature, window_no, {_r('complaint_rate')}, {_r('baseline_rate')}, {_r('z_score')} FROM zz",
@@ -187,6 +194,7 @@ b2 AS (SELECT review_id, coalesce(list_sum(list_transform(s, lambda x: string_sp
 SELECT review_id, bot_score, CASE WHEN bot_score <= 25 THEN 'TRUSTED' WHEN bot_score <= 50 THEN 'LOW_SUSPICION' WHEN bot_score <= 75 THEN 'HIGH_SUSPICION' ELSE 'CONFIRMED_BOT' END AS status, signals FROM b2""",
     "burst_candidates": f"""WITH {_EV}, s AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS sec FROM ev), b AS (SELECT review_id, product_name, count(*) OVER w AS in_window, min(rating) OVER w AS lo, max(rating) OVER w AS hi FROM s WINDOW w AS (PARTITION BY product_name ORDER BY sec RANGE BETWEEN CURRENT ROW AND 7200 FOLLOWING))
 SELECT review_id, product_name, in_window, lo AS campaign_rating FROM b WHERE in_window >= 3 AND lo = hi AND lo IN (1, 5)""",
+    "burst_campaigns": f"WITH RECURSIVE {_EV}, {_BURSTS} SELECT * FROM gb",
     "sequential_users": f"""WITH {_EV}, u AS (SELECT DISTINCT 'user_' AS prefix, user_id AS number FROM ev WHERE rating = 1), i AS (SELECT *, coalesce((number - lag(number) OVER (ORDER BY number) > 2)::INTEGER, 0) AS new FROM u), g AS (SELECT *, sum(new) OVER (ORDER BY number) AS island FROM i)
 SELECT prefix, island::BIGINT AS island, min(number) AS low, max(number) AS high, count(*) AS users FROM g GROUP BY 1, 2 HAVING count(*) >= 3""",
     "emotion_scores": f"WITH {_DOC}, {_EMOTION} SELECT review_id, emotion, confidence, urgency, raw_score FROM em",
@@ -261,6 +269,10 @@ SQL |= {
 SELECT 'all' AS product_name, 'W2' AS "window", CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS severity, count(*) AS significant, string_agg(phrase, ',' ORDER BY r) FILTER (r <= 5) AS suggested FROM s HAVING count(*) > 0""",
     "text_campaigns": f"WITH RECURSIVE {_TEXT_GROUPS} SELECT 'TEXT_SIMILARITY' AS kind, group_id::VARCHAR AS campaign_id, count(*) AS members, 60::INTEGER AS confidence, 'SUSPICIOUS CLUSTER' AS label, 3.0::DOUBLE AS avg_rating, count(*) || ' functionally identical reviews found.' AS summary FROM grp GROUP BY group_id HAVING count(*) >= 3",
     "username_campaigns": f"WITH {_ISLANDS} SELECT 'USERNAME_PATTERN' AS kind, 'user_' || min(number) AS campaign_id, count(*) AS members, 75::INTEGER AS confidence, 'HIGH PROBABILITY COORDINATED ATTACK' AS label, 3.0::DOUBLE AS avg_rating, count(*) || ' sequential usernames detected.' AS summary FROM mm GROUP BY island",
+    "campaign_union": f"""WITH RECURSIVE {_TEXT_GROUPS}, {_ISLANDS}, {_BURSTS}
+SELECT 'TEXT_SIMILARITY' AS kind, group_id::VARCHAR AS campaign_id, count(*) AS members, 60::INTEGER AS confidence, 'SUSPICIOUS CLUSTER' AS label, 3.0::DOUBLE AS avg_rating, count(*) || ' functionally identical reviews found.' AS summary FROM grp GROUP BY group_id HAVING count(*) >= 3
+UNION ALL SELECT 'USERNAME_PATTERN', 'user_' || min(number), count(*), 75, 'HIGH PROBABILITY COORDINATED ATTACK', 3.0, count(*) || ' sequential usernames detected.' FROM mm GROUP BY island
+UNION ALL SELECT 'TIMESTAMP_BURST', campaign_id::VARCHAR, count(*), 75, 'HIGH PROBABILITY COORDINATED ATTACK', min(rating)::DOUBLE, count(*) || ' reviews submitted identically within 2 hours.' FROM gb GROUP BY product_name, campaign_id""",
     "network_nodes": f"""WITH {_ISLANDS}, o AS (SELECT username, count_if(rating = 1) * 10 AS s FROM ev GROUP BY 1)
 SELECT username, left(username, 15) AS label, '{S.CAMPAIGN_COLOR}' AS color, 25::INTEGER AS size FROM mm UNION ALL
 SELECT username, left(username, 15), CASE WHEN s <= 25 THEN '#4CAF50' WHEN s <= 50 THEN '#FFEB3B' WHEN s <= 75 THEN '#FF9800' ELSE '#F44336' END, 15::INTEGER FROM o WHERE username NOT IN (SELECT username FROM mm)""",

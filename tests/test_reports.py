@@ -99,14 +99,25 @@ def brute_bursts(rows, hours=2, least=3):
     return sorted(out)
 
 
-def test_greedy_bursts_against_brute_force(spark):
+@pytest.mark.parametrize("step, kinds", [(1, [1, 1, 1, 5, 3]), (1800, [1, 1, 1, 5, 3]), (3600, [5, 5, 5, 5, 5, 2]), (600, [1])])
+def test_greedy_bursts_against_brute_force(spark, step, kinds):
     import random
 
     r = random.Random(4)
-    rows = [(i, f"P{i % 3}", r.randrange(0, 200_000), r.choice([1, 1, 1, 5, 3])) for i in range(300)]
+    rows = [(i, f"P{i % 3}", r.randrange(0, 200_000) // step * step, r.choice(kinds)) for i in range(300)]
     df = spark.createDataFrame(rows, "review_id long, product_name string, sec long, rating int").withColumn("ts", F.timestamp_seconds("sec"))
     got = sorted(tuple(x) for x in duplicates.greedy_bursts(df).select("product_name", "campaign_id", "review_id", "rating").collect())
     assert got == brute_bursts(rows) and got
+    near = {a: [x for x in rows if x[1] == p and t <= x[2] <= t + 7200] for a, p, t, _ in rows}
+    wanted = sorted((a, len(x), x[0][3]) for a, x in near.items() if len(x) >= 3 and len({y[3] for y in x}) == 1 and x[0][3] in (1, 5))
+    assert sorted(tuple(x) for x in duplicates.bursts(df).select("review_id", "in_window", "campaign_rating").collect()) == wanted
+
+
+def test_islands_cross_buckets(spark):
+    numbers = [1, 2, 3, 5, 8, 9, 11, 30, 31, 33, 33, 100]
+    df = spark.createDataFrame([(f"u{n}",) for n in numbers] + [("u033",), ("v7",), ("nobody",), (None,)], "username string")
+    got = {(r.prefix, r.username): r.island for r in duplicates.user_islands(df, 2, bucket=4).collect()}
+    assert got == {("u", f"u{n}"): i for i, group in enumerate(([1, 2, 3, 5], [8, 9, 11], [30, 31, 33], [100])) for n in group} | {("u", "u033"): 2, ("v", "v7"): 0}
 
 
 def test_neighbours_count_copies(spark):
