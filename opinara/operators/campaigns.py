@@ -6,31 +6,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from opinara import schema as S
 
-HIGH, LOOSE = "HIGH PROBABILITY COORDINATED ATTACK", "SUSPICIOUS CLUSTER"
 _COLUMNS = ("kind", "campaign_id", "members", "confidence", "label", "avg_rating", "summary")
 
 
-def _campaign(rows: DataFrame, kind: str, confidence: int, rating, summary: str) -> DataFrame:
-    label = HIGH if confidence >= 70 else LOOSE
-    return rows.withColumns({"kind": F.lit(kind), "confidence": F.lit(confidence), "label": F.lit(label), "avg_rating": rating, "summary": F.concat(F.col("members").cast("string"), F.lit(f" {summary}"))}).select(*_COLUMNS)
+def _campaign(rows: DataFrame, kind: str, confidence: int, rating) -> DataFrame:
+    label = S.CAMPAIGN_LABEL if confidence >= 70 else S.LOOSE_CAMPAIGN_LABEL
+    return rows.withColumns({"kind": F.lit(kind), "confidence": F.lit(confidence), "label": F.lit(label), "avg_rating": rating, "summary": F.concat(F.col("members").cast("string"), F.lit(f" {S.CAMPAIGN_SUMMARIES[kind]}"))}).select(*_COLUMNS)
 
 
 def burst_campaigns(bursts: DataFrame) -> DataFrame:
     """From ``greedy_bursts``: one row per anchor."""
     rows = bursts.groupBy("product_name", "campaign_id").agg(F.count("*").alias("members"), F.min("rating").cast("double").alias("r"))
-    return _campaign(rows.withColumn("campaign_id", F.col("campaign_id").cast("string")), "TIMESTAMP_BURST", 75, F.col("r"), "reviews submitted identically within 2 hours.")
+    return _campaign(rows.withColumn("campaign_id", F.col("campaign_id").cast("string")), "TIMESTAMP_BURST", 75, F.col("r"))
 
 
 def username_campaigns(users: DataFrame) -> DataFrame:
     """From ``sequential_users``."""
     rows = users.select(F.concat_ws("", "prefix", "low").alias("campaign_id"), F.col("users").alias("members"))
-    return _campaign(rows, "USERNAME_PATTERN", 75, F.lit(3.0), "sequential usernames detected.")
+    return _campaign(rows, "USERNAME_PATTERN", 75, F.lit(3.0))
 
 
 def text_campaigns(groups: DataFrame, least: int = 3) -> DataFrame:
     """From ``text_groups`` over a similarity of 0.65: groups of at least ``least`` reviews."""
     rows = groups.groupBy(F.col("group_id").cast("string").alias("campaign_id")).agg(F.count("*").alias("members")).filter(F.col("members") >= least)
-    return _campaign(rows, "TEXT_SIMILARITY", 60, F.lit(3.0), "functionally identical reviews found.")
+    return _campaign(rows, "TEXT_SIMILARITY", 60, F.lit(3.0))
 
 
 def network_nodes(members: DataFrame, individuals: DataFrame) -> DataFrame:

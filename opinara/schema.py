@@ -17,7 +17,6 @@ HINDI_WORDS = [
     "ab", "toh", "tum", "main", "mujhe", "mera", "meri", "he", "ye", "yeh", "wo", "woh", "bahi", "bhai", "yaar", "mast", "bakwas", "bekar", "kharab",
     "theek", "karo", "kar", "raha", "rahi", "ka", "ke", "pas", "paas",
 ]
-ENGLISH_WORDS = ["the", "and", "is", "was", "of", "to", "in", "it", "this", "that", "for", "with", "not", "are", "but", "my", "i", "very"]
 ABBREVIATIONS = {
     "gr8": "great", "pls": "please", "bcz": "because", "nahi": "not", "bahut": "very", "accha": "good", "acha": "good",
     "bakwas": "nonsense/bad", "mast": "excellent", "kharab": "bad/broken", "theek": "okay",
@@ -38,6 +37,9 @@ FEATURE_TAXONOMY = {
     "Food": ["taste", "freshness", "packaging", "ingredients", "value", "texture"],
 }
 
+# function words by which English is told; our own choice
+ENGLISH_WORDS = ["the", "and", "is", "was", "of", "to", "in", "it", "this", "that", "for", "with", "not", "are", "but", "my", "i", "very"]
+
 # fixed values: emotions, from the most negative; (name, weight, urgency, lowest score, highest score, signals)
 EMOTIONS = [
     ("furious", 25, "escalate", 0, 4, ["WORST", "NEVER AGAIN", "SCAM", "FRAUD", "GARBAGE", "DEMANDING REFUND", "WILL POST EVERYWHERE", "LEGAL ACTION", "CONSUMER COURT", "NEVER BUYING", "COMPLETE SCAM", "TOTAL FRAUD", "RUINED", "DESTROYED", "🤬", "💀", "☠️", "🖕", "BILKUL BAKWAS", "SABSE GHATIYA", "PAISA BARBAD", "DHOKA", "LOOT", "FRAUD HAI"]),
@@ -52,12 +54,12 @@ SENTIMENT_EMOTION = {"positive": "satisfied", "negative": "disappointed", "mixed
 
 # fixed values: sarcasm rules (flag, pattern, weight)
 SARCASM_RULES = [
-    ("quoted_positive_words", r"""(?i)["'](great|amazing|excellent|fantastic|wonderful|perfect|awesome|best|love|nice)["']""", 0.3),
+    ("quoted_positive_words", r"""(?i)["'](?:great|amazing|excellent|fantastic|wonderful|perfect|awesome|best|love|nice)["']""", 0.3),
     ("excessive_punctuation", r"[!?]{3,}|[!?.]{4,}", 0.2),
-    ("contradictory_intensifier", r"(?i)\b(amazingly|incredibly|absolutely|totally|completely|really|so|such)\s+(terrible|awful|bad|worst|horrible|useless|waste|pathetic)", 0.35),
-    ("sarcasm_markers", r"(?i)\b(yeah right|sure|obviously|clearly|totally|definitely|as if|like i care|tell me about it|oh great|just what i needed)", 0.3),
-    ("shouting_positive_caps", r"\b(GREAT|AMAZING|EXCELLENT|FANTASTIC|PERFECT|AWESOME|LOVE IT)\b", 0.25),
-    ("positive_but_negative_context", r"(?i)\b(great|amazing|good)\b.*?(but|except|however|although|though).*?(bad|terrible|problem|issue)", 0.2),
+    ("contradictory_intensifier", r"(?i)\b(?:amazingly|incredibly|absolutely|totally|completely|really|so|such)\s+(?:terrible|awful|bad|worst|horrible|useless|waste|pathetic)", 0.35),
+    ("sarcasm_markers", r"(?i)\b(?:yeah right|sure|obviously|clearly|totally|definitely|as if|like i care|tell me about it|oh great|just what i needed)", 0.3),
+    ("shouting_positive_caps", r"\b(?:GREAT|AMAZING|EXCELLENT|FANTASTIC|PERFECT|AWESOME|LOVE IT)\b", 0.25),
+    ("positive_but_negative_context", r"(?i)\b(?:great|amazing|good)\b.*?(?:but|except|however|although|though).*?(?:bad|terrible|problem|issue)", 0.2),
 ]
 
 # fixed values: actions of each team at each stage
@@ -78,6 +80,13 @@ PHRASE_STOP_WORDS = [
 ]
 PHRASE_PRODUCT_WORDS = ["product", "item", "order", "delivery", "package", "box", "amazon", "flipkart", "seller", "company", "brand"]
 
+# fixed values: labels of campaigns by confidence, and the summary of each kind after its number of members
+CAMPAIGN_LABEL, LOOSE_CAMPAIGN_LABEL = "HIGH PROBABILITY COORDINATED ATTACK", "SUSPICIOUS CLUSTER"
+CAMPAIGN_SUMMARIES = {
+    "TIMESTAMP_BURST": "reviews submitted identically within 2 hours.",
+    "USERNAME_PATTERN": "sequential usernames detected.",
+    "TEXT_SIMILARITY": "functionally identical reviews found.",
+}
 # fixed values: colours of network nodes
 CAMPAIGN_COLOR, LOOSE_CAMPAIGN_COLOR = "#F44336", "#FF9800"
 STATUS_COLORS = {"CONFIRMED_BOT": "#F44336", "HIGH_SUSPICION": "#FF9800", "LOW_SUSPICION": "#FFEB3B", "TRUSTED": "#4CAF50"}
