@@ -24,7 +24,7 @@ SKETCH, LEAST_SHARED, LEAST_ESTIMATE = 48, 0.55, 0.4
 FIRST_KEY = 1 << 62
 #: Members that one task confirms against a centre.
 CHUNK = 500
-#: Sets outside their centre's component, and others of the centre, that meet in one task.
+#: Sets outside their centre's component, and others of the centre, that meet in one task; also the sides of a block of a list.
 STRAYS, MEMBERS = 128, 1024
 
 
@@ -187,25 +187,29 @@ def links_round_centres(known: DataFrame, similarity: float) -> DataFrame:
 def rivals(lists: DataFrame, state: DataFrame, classes: DataFrame, k: int, similarity: float, estimate: float) -> DataFrame:
     """(a, b): candidates of different components and centres, from the lists that still hold several.
 
-    Their estimate is made on the union of the two sketches.
+    Their estimate is made on the union of the two sketches, while the list is joined, so
+    only candidates that pass it are ever rows. A list meets itself in blocks of STRAYS x
+    MEMBERS: however long it is, no task has more of it than one block at a time.
     """
     posted = lists.select("v", "node").join(state.select("node", "component", "centre"), "node")
-    mixed = posted.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("centre").alias("c0"), F.max("centre").alias("c1")).filter("lo <> hi AND c0 <> c1").select("v")
-    left = posted.join(mixed, "v")
-    x = left.select("v", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "centre")])
-    y = left.select("v", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "centre")])
-    pairs = x.join(y, "v").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("centre_x") != F.col("centre_y")))
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    sk = classes.select("node", "sketch", "n_shingles")
-    both = pairs.join(sk.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    both = both.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
+    mixed = posted.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("centre").alias("c0"), F.max("centre").alias("c1"), F.count("*").alias("n")).filter("lo <> hi AND c0 <> c1")
+    mixed = mixed.select("v", F.ceil(F.col("n") / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"), "n")
     # unsigned order: the sketches hold the smallest unsigned hashes
-    order = lambda s: F.transform(s, lambda v: v.bitwiseXOR(-(2**63)))
-    low = F.slice(F.array_sort(F.array_union(order(F.col("sa")), order(F.col("sb")))), 1, k)
-    hit = F.size(F.array_intersect(F.array_intersect(order(F.col("sa")), order(F.col("sb"))), low))
-    whole = F.greatest("na", "nb") <= k
-    least = F.when(whole, F.lit(similarity)).otherwise(F.lit(estimate))
-    return both.filter(hit >= least * F.size(low) - 1e-9).select("a", "b")
+    ordered = F.array_sort(F.transform("sketch", lambda v: v.bitwiseXOR(-(2**63))))
+    held = lookup_by_key(posted, mixed, ["v"], "n", "inner").join(classes.select("node", ordered.alias("s"), F.col("n_shingles").alias("size")), "node")
+    held = stored(held, "held")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "centre", "s", "size")]
+    x = held.select("v", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), *side("x"))
+    y = held.select("v", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cols")).cast("int").alias("j"), *side("y"))
+    y = y.select(*[F.col(c).alias(f"{c}y" if c in "vij" else c) for c in y.columns])
+    low = F.slice(F.array_sort(F.array_union("s_x", "s_y")), 1, k)
+    hit = F.size(F.array_intersect(F.array_intersect("s_x", "s_y"), low))
+    most = F.greatest("size_x", "size_y")
+    least = F.when(most <= k, F.lit(similarity)).otherwise(F.lit(estimate))
+    apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("centre_x") != F.col("centre_y"))
+    alike = (F.least("size_x", "size_y") >= F.lit(similarity) * most - 1e-9) & (hit >= least * F.size(low) - 1e-9)
+    met = x.join(y, (F.col("v") == F.col("vy")) & (F.col("i") == F.col("iy")) & (F.col("j") == F.col("jy")) & apart & alike)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, k: int = SKETCH, estimate: float = LEAST_ESTIMATE) -> DataFrame:

@@ -313,8 +313,12 @@ def test_minhash_dedup_of_null_and_repeated_ids(spark):
     assert len({r.component_id for r in keys if r.n_shingles}) == 1 and all(r.kept for r in keys if not r.n_shingles)
 
 
-def test_minhash_dedup_of_long_and_borderline_texts(spark):
+@pytest.mark.parametrize("block", [None, (2, 8)])
+def test_minhash_dedup_of_long_and_borderline_texts(spark, block, monkeypatch):
     """Copies that differ in about a tenth of the shingles, so that many pairs lie round the threshold, and long texts."""
+    if block:
+        monkeypatch.setattr(minhash_dedup, "STRAYS", block[0])
+        monkeypatch.setattr(minhash_dedup, "MEMBERS", block[1])
     r = random.Random(11)
     base = [f"b{i}" for i in range(120)]
     texts = []
@@ -330,6 +334,25 @@ def test_minhash_dedup_of_long_and_borderline_texts(spark):
     assert got == brute_components(rows, 4)
 
 
+@pytest.mark.parametrize("block", [(128, 1024), (4, 8)])
+def test_minhash_candidates_of_one_long_list(spark, block, monkeypatch):
+    """A value that all sets share: every pair that is apart and likely alike comes out once, however the list is cut."""
+    monkeypatch.setattr(minhash_dedup, "STRAYS", block[0])
+    monkeypatch.setattr(minhash_dedup, "MEMBERS", block[1])
+    r = random.Random(5)
+    pool = [r.randrange(-(2**63), 2**63) for _ in range(24)]
+    sets = {i: sorted({*r.sample(pool, r.randrange(14, 22)), pool[0]}, key=lambda v: v % 2**64) for i in range(60)}
+    where = {i: (i // 3, i // 2) for i in sets}
+    lists = spark.createDataFrame([(pool[0], i) for i in sets], "v long, node long")
+    state = spark.createDataFrame([(i, *where[i]) for i in sets], "node long, component long, centre long")
+    classes = spark.createDataFrame([(i, s, 100) for i, s in sets.items()], "node long, sketch array<long>, n_shingles long")
+    got = [tuple(x) for x in minhash_dedup.rivals(lists, state, classes, 16, 0.8, 0.7).collect()]
+    low = lambda a, b: set(sorted({*a, *b}, key=lambda v: v % 2**64)[:16])
+    apart = [(a, b) for a in sets for b in sets if a < b and all(x != y for x, y in zip(where[a], where[b]))]
+    want = [(a, b) for a, b in apart if len(low(sets[a], sets[b]) & {*sets[a]} & {*sets[b]}) >= 0.7 * 16]
+    assert sorted(got) == want and 0 < len(want) < len(apart)
+
+
 def test_packing(spark):
     import zlib
 
