@@ -61,6 +61,41 @@ def test_token_counts(spark, rule):
         assert {r.doc_id: (round(r.n, 6), r.e) for r in out} == {i: (len(enc.encode_ordinary(t or "")), len(t or "")) for i, t in rows}
 
 
+def brute_sections(text, starts, enc, rule):
+    """(section, char_start, char_end, n_tokens, n_crossing), byte by byte: each byte knows its token and its section."""
+    edges = [*starts, len(text)]
+    section = [k for k in range(len(starts)) for _ in text[edges[k] : edges[k + 1]].encode()]
+    counts, crossing, at = [0.0] * len(starts), [0] * len(starts), 0
+    for token in enc.encode_ordinary(text):
+        size = len(enc.decode_single_token_bytes(token))
+        own = section[at : at + size]
+        at += size
+        crossing[own[0]] += own[0] != own[-1]
+        if rule == "split":
+            for k in own:
+                counts[k] += 1 / size
+        else:
+            counts[own[0] if rule == "start" else max(sorted(set(own)), key=own.count)] += 1
+    return [(k, edges[k], edges[k + 1], round(counts[k], 6), crossing[k]) for k in range(len(starts))]
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_by_brute_force(spark, rule):
+    """Starts inside tokens, inside words and behind characters of several bytes; lines; a repeated row; clashing names."""
+    path = public.path("byte_bpe_50k.tiktoken")
+    enc = byte_bpe.encoding(path, public.PATTERN)
+    r = random.Random(9)
+    texts = ["".join(r.choices(["international", "é", "日本", " ", "\n\n", "\n", "  ", "x1", "🙂", "straße"], k=r.choice((1, 5, 80, 400)))) for _ in range(40)] + ["one line", "\n"]
+    rows = [(i, t, sorted({0, *(r.randrange(len(t)) for _ in range(r.randrange(6)))})) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, spans array<long>").withColumns({c: F.lit(1) for c in ("id", "section", "n_tokens")}).repartition(3)
+    lines = lambda t: [0, *(k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t))]
+    for col in (None, "spans"):
+        want = sorted((i, *x) for i, t, s in rows + rows[:1] for x in brute_sections(t, s if col else lines(t), enc, rule))
+        got = token_counts.section_token_counts(df, path, public.PATTERN, rule, col).collect()
+        assert sorted((x.doc_id, x.section, x.char_start, x.char_end, round(x.n_tokens, 6), x.n_crossing) for x in got) == want
+    assert sum(x[5] for x in want) > 0 and token_counts.section_token_counts(df.limit(0), path, public.PATTERN, rule).count() == 0
+
+
 def test_warc(spark):
     rows = [(5, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (9, "u", None), (10, "u", ""), (11, "v\r\nX: y", "z" * 100000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
