@@ -142,6 +142,58 @@ def test_order_minhash(spark):
     assert order_minhash.fingerprint_edits(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_fingerprint(text):
+    """For each share, the two elements that come first from its start on, round the end; told by the hashes the docstring names."""
+    import re
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    high = lambda x: x % 2**64 >> order_minhash.PLACE_BITS
+
+    def xx(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, seed=seed)
+        return seed
+
+    words = re.findall(order_minhash.WORD, text, re.ASCII)
+    seen, elements = {}, []
+    for place in range(max(len(words) - 1, min(len(words), 1))):
+        h = high(xx(*words[place : place + 2]))
+        seen[h] = seen.get(h, 0) + 1
+        if seen[h] > 1:
+            h = high(xx(struct.pack("<q", h), struct.pack("<i", seen[h] - 1)))
+        elements.append((signed(h << order_minhash.PLACE_BITS), place))
+    elements.sort()
+    out = []
+    for share in range(order_minhash.SKETCHES if elements else 0):
+        start = -(2**63) + share * 2**64 // order_minhash.SKETCHES
+        turned = [x for x in elements if x[0] >= start] + [x for x in elements if x[0] < start]
+        first = sorted(turned[: order_minhash.TUPLE], key=lambda x: x[1])
+        out.append(share << 32 | xx(*(struct.pack("<q", high(h)) for h, _ in first)) & 0xFFFFFFFF)
+    return out
+
+
+def test_order_minhash_by_brute_force(spark):
+    """Fingerprints and both likenesses, with repeated k-mers, one word, long words, a very long text, and a repeated row with a clashing name."""
+    r = random.Random(8)
+    rows = [*corpus(seed=8, n=20), (700, "a b " * 40), (701, "z" * 100), (702, " ".join(f"v{r.randrange(3000)}" for _ in range(30000))), (703, "p q"), (704, "p q r")]
+    texts = [t or "" for _, t in rows]
+    got = {x.doc_id: x for x in order_minhash.fingerprint_edits(frame(spark, rows).withColumn("fp", F.lit(1))).collect()}
+    shown = lambda fp: "".join(f"{v:010X}" for v in fp)
+    alike = lambda x, y: len({*x} & {*y}) / order_minhash.SKETCHES if x or y else 1.0
+    for k, (i, _) in enumerate(rows):
+        a, b = texts[k], texts[(k + 1) % len(texts)]
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        fa, fb, fe = map(brute_fingerprint, (a, b, edited))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(fa), shown(fe))
+        assert abs(got[i].near_edited - alike(fa, fe)) < 1e-12 and abs(got[i].near_next - alike(fa, fb)) < 1e-12
+    twice = order_minhash.fingerprint_edits(frame(spark, [(1, "a b c"), (1, "a b c")])).collect()
+    assert [x.fingerprint for x in twice] == [shown(brute_fingerprint("a b c"))] * 2 and all(x.near_next == 1 for x in twice)
+
+
 @pytest.mark.parametrize("n, want", [(20, 0.40), (40, 0.17), (60, 0.10)])
 def test_order_minhash_of_short_texts(spark, n, want):
     """Texts with their 10-word blocks reversed; ``want`` is order MinHash with a selection per seed."""
