@@ -15,7 +15,7 @@ from opinara.operators.skew import lookup_by_key
 from opinara.storage import stored
 
 #: Bytes of text that one trie counts; a longer text is cut where a piece ends.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: log2 of the bits of the filter of frequent nodes: 16 MB, whatever the input's size. It lets rare paths
 #: through now and then, which costs a row; the merged counts decide.
 FILTER_BITS = 27
@@ -78,11 +78,12 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars)]).dictionary_encode()
     spelled, word = coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy()
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
-    piece = np.cumsum(_SEPARATOR[buf])[starts]
+    piece = np.cumsum(_SEPARATOR[buf], dtype=np.int32)[starts]
     names = sorted(set(langs))
     lang = np.array([names.index(x) for x in langs])[doc]
     roots = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
     hw = words_of(spelled.to_pylist())[0][word]
+    del buf, solid, chars, coded, edge, starts, ends, doc
 
     node, h, at = lang.astype(np.int64), roots[lang], np.arange(len(word))
     # at: first word's position of the paths that are followed; first[d]: hash of the path of d words that starts at a position
@@ -125,12 +126,13 @@ def shard_tries(docs: DataFrame, depths: range, bitmaps: list) -> DataFrame:
                     langs.append(lang)
                     size += len(part)
                     if size >= SHARD_BYTES:
-                        yield from rows(trie(texts, langs, depths, maps))
+                        yield from rows(texts, langs, maps)
                         texts, langs, size = [], [], 0
         if texts:
-            yield from rows(trie(texts, langs, depths, maps))
+            yield from rows(texts, langs, maps)
 
-    def rows(t):
+    def rows(texts, langs, maps):
+        t = trie(texts, langs, depths, maps)
         n = len(t["n"])
         for k in range(0, n, 1 << 16):
             yield {c: v[k : k + (1 << 16)] for c, v in t.items()}
