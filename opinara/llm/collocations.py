@@ -15,7 +15,7 @@ from opinara.operators.skew import lookup_by_key
 from opinara.storage import stored
 
 #: Bytes of text that one trie counts; a longer text is cut where a piece ends.
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 7 << 20
 #: log2 of the bits of the filter of frequent nodes: 16 MB, whatever the input's size. It lets rare paths
 #: through now and then, which costs a row; the merged counts decide.
 FILTER_BITS = 27
@@ -29,8 +29,7 @@ _GAP[list(b" \t")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-TRIE = "lang string, path string, h long, n long"
-LAYOUT = pa.schema([("lang", pa.string()), ("path", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+LAYOUT = pa.schema([("path", pa.string()), ("n", pa.int64())])
 
 
 def child(parents: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -38,6 +37,21 @@ def child(parents: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(parents * _STEP + words)
 
 
+def root_hashes(langs: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
+
+
+def path_hashes(paths: list[str]) -> np.ndarray:
+    """The hash of each path's node, by a walk from its language."""
+    langs, ws = zip(*(x.rsplit("\t", 1) for x in paths))
+    ws = [x.split(" ") for x in ws]
+    h, depth = root_hashes(langs), np.array([len(x) for x in ws])
+    for k in range(depth.max()):
+        on = np.flatnonzero(depth > k)
+        h[on] = child(h[on], words_of([ws[i][k] for i in on])[0])
+    return h
+
+
 def slices(raw: bytes) -> list[bytes]:
     """A text in stretches of about SHARD_BYTES, cut behind separators only; a longer piece stays whole."""
     out, start = [], 0
@@ -81,11 +95,10 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
     piece = np.cumsum(_SEPARATOR[buf], dtype=np.int32)[starts]
     names = sorted(set(langs))
     lang = np.array([names.index(x) for x in langs])[doc]
-    roots = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
     hw = words_of(spelled.to_pylist())[0][word]
     del buf, solid, chars, coded, edge, starts, ends, doc
 
-    node, h, at = lang.astype(np.int64), roots[lang], np.arange(len(word))
+    node, h, at = lang.astype(np.int64), root_hashes(names)[lang], np.arange(len(word))
     # at: first word's position of the paths that are followed; first[d]: hash of the path of d words that starts at a position
     hit: list[np.ndarray] = []
     found = []
@@ -103,7 +116,7 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
             path = pc.binary_join_element_wise(spelled_out, spelled.take(pa.array(word[at[index]])), pa.scalar("\t", pa.large_string()))
             for k in range(1, depth):
                 path = pc.binary_join_element_wise(path, spelled.take(pa.array(word[at[index] + k])), pa.scalar(" ", pa.large_string()))
-            found.append(pa.table({"lang": spelled_out, "path": path, "h": h[index].view(np.int64), "n": count}))
+            found.append(pa.table({"path": path, "n": count}))
         if depth <= len(bitmaps):
             ok = np.zeros(len(word), bool)
             ok[at] = inside(bitmaps[depth - 1], h)
@@ -114,7 +127,7 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
 
 
 def shard_tries(docs: DataFrame, depths: range, bitmaps: list) -> DataFrame:
-    """(lang, path, h, n): the tries of all shards of ``docs`` (lang, text), each sorted by path. Narrow."""
+    """(path, n): the tries of all shards of ``docs`` (lang, text), each sorted by path. Narrow."""
 
     def run(batches):
         maps = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
@@ -137,7 +150,7 @@ def shard_tries(docs: DataFrame, depths: range, bitmaps: list) -> DataFrame:
         for k in range(0, n, 1 << 16):
             yield {c: v[k : k + (1 << 16)] for c, v in t.items()}
 
-    return map_arrow(docs, run, TRIE)
+    return map_arrow(docs, run, "path string, n long")
 
 
 def merged(tries: DataFrame, least: int) -> DataFrame:
@@ -166,9 +179,10 @@ def merged(tries: DataFrame, least: int) -> DataFrame:
     def rows(t):
         t = t.filter(pc.greater_equal(t["n"], least))
         if t.num_rows:
-            yield {c: t[c].combine_chunks() for c in t.column_names}
+            paths = t["path"].to_pylist()
+            yield {"lang": [x.rsplit("\t", 1)[0] for x in paths], "path": paths, "h": path_hashes(paths).view(np.int64), "n": t["n"].combine_chunks()}
 
-    return map_arrow(tries.repartitionByRange("path").sortWithinPartitions("path"), run, TRIE)
+    return map_arrow(tries.repartitionByRange("path").sortWithinPartitions("path"), run, "lang string, path string, h long, n long")
 
 
 def filter_of(nodes: DataFrame, bits: int) -> bytes:
@@ -243,7 +257,8 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int |
     for depths in [range(k, k + 1) for k in range(1, min(3, longest + 1))] + ([range(3, longest + 1)] if longest > 2 else []):
         tries = stored(shard_tries(rows, depths, bitmaps), "tries")
         if total is None:
-            total = tries.groupBy("lang").agg(F.sum("n").alias("words"))
+            lang = F.expr(r"substring(path, 1, length(path) - length(substring_index(path, '\t', -1)) - 1)")
+            total = tries.groupBy(lang.alias("lang")).agg(F.sum("n").alias("words"))
         levels.append(stored(merged(tries, least), "nodes"))
         if depths.stop <= min(3, longest):
             bitmaps.append(spark.sparkContext.broadcast(filter_of(levels[-1], bits)))
