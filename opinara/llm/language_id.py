@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opinara.llm._common import map_arrow, table
 
@@ -30,22 +30,25 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """One dictionary per language from a bounded sample of its labelled rows.
 
-    Every language that has labelled rows is learned; of each, about
-    SAMPLE_DOCS rows with the smallest hashes of their ids, at most SAMPLE_CHARS
-    characters of each, end to end up to DICTIONARY_BYTES. Rows with a null or empty text
-    or a null language teach nothing; without any the model is empty.
+    Every language that has labelled rows is learned: of each, the SAMPLE_DOCS different
+    pairs of id and text with the smallest hashes, or all if it has fewer; at most
+    SAMPLE_CHARS characters of each, end to end up to DICTIONARY_BYTES. So rows without an
+    id teach like others, and rows that repeat id and text teach once, however many.
+    Rows with a null or empty text or a null language teach nothing; without any the model
+    is empty. Hashes are made distinct before they are ranked, and only the sample's
+    texts reach the driver.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), id_col).alias("h"))
+    h = F.xxhash64(F.lit(11), id_col, text_col)
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    if not counts:
-        return Model(())
-    span = 2.0**64
-    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(2**63 - 1, span * min(1.0, 1.5 * SAMPLE_DOCS / r["count"]) - 2**63))))])
-    picked = rows.filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    first = rows.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    sample = first.filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h")
+    text = F.substring("text", 1, SAMPLE_CHARS)
+    picked = rows.join(F.broadcast(sample), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min(text).alias("text")).collect()
     texts: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
         texts.setdefault(r["lang"], []).append(letters(r["text"]))
-    return Model(tuple((r["lang"], b"\n".join(texts[r["lang"]][:SAMPLE_DOCS])[:DICTIONARY_BYTES]) for r in counts if r["lang"] in texts))
+    return Model(tuple((r["lang"], b"\n".join(texts[r["lang"]])[:DICTIONARY_BYTES]) for r in counts))
 
 
 def letters(text: str) -> bytes:

@@ -26,6 +26,8 @@ FIRST_KEY = 1 << 62
 CHUNK = 500
 #: Sets outside their centre's component, and others of the centre, that meet in one task; also the sides of a block of a list.
 STRAYS, MEMBERS = 128, 1024
+#: Different shingles that are counted at a time there: 32 MB a side, however long the texts.
+WIDTH = 8192
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,15 +134,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(stream, run, "a long, b long, common long, union long, less array<long>, more array<long>")
 
 
-def incidence(lists: list, columns: np.ndarray) -> np.ndarray:
-    """Rows x columns, 1 where a list holds the value of a column."""
-    out = np.zeros((len(lists), len(columns)), np.float32)
-    if len(columns):
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(row) else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
-        hit = columns[at] == flat
-        out[row[hit], at[hit]] = 1
+def places(lists: list, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, column) of every value that is a column, by column."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
+    at = np.searchsorted(columns, flat)
+    hit = np.flatnonzero(columns[np.minimum(at, len(columns) - 1)] == flat)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    return row[hit], at[hit]
+
+
+def shared(x: list, y: list) -> np.ndarray:
+    """Number of common values of each list of x with each of y, by products of WIDTH columns at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    columns = np.unique(np.concatenate([np.asarray(v, np.int64) for v in x]))
+    if not len(columns):
+        return out
+    sides = [places(s, columns) for s in (x, y)]
+    for low in range(0, len(columns), WIDTH):
+        tables = []
+        for lists, (row, at) in zip((x, y), sides):
+            a, b = np.searchsorted(at, (low, low + WIDTH))
+            part = np.zeros((len(lists), min(WIDTH, len(columns) - low)), np.float32)
+            part[row[a:b], at[a:b] - low] = 1
+            tables.append(part)
+        out += tables[0] @ tables[1].T
     return out
 
 
@@ -166,10 +184,7 @@ def links_round_centres(known: DataFrame, similarity: float) -> DataFrame:
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         found, y = [], y.rename(columns=lambda c: c.removesuffix("_y"))
         if len(x) and len(y):
-            both = np.zeros((len(x), len(y)), np.float32)
-            for c in ("less", "more"):
-                columns = np.unique(np.concatenate([np.asarray(v, np.int64) for v in x[c]]))
-                both += incidence(list(x[c]), columns) @ incidence(list(y[c]), columns).T
+            both = sum(shared(list(x[c]), list(y[c])) for c in ("less", "more"))
             gone_x, gone_y, new_x, new_y = (f[c].map(len).to_numpy(np.int64) for c, f in (("less", x), ("less", y), ("more", x), ("more", y)))
             size = int(x["size"].iloc[0])
             common = size - gone_x[:, None] - gone_y[None] + both.astype(np.int64)

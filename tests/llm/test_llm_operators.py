@@ -521,3 +521,33 @@ def test_pipeline_keeps_rows_without_or_with_equal_ids(spark):
     want = sorted([(None, a), (0, c), (3, b + " x"), (4, d), (4, e), (6, None), (7, ""), (None, None), (None, "")], key=str)
     assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == want
     assert sorted(((r.doc_id, r.text) for r in cp.substrings(spark, near, "").collect()), key=str) == want
+
+
+def test_language_id_learns_every_language(spark):
+    """Null and repeated ids: each language is learned, and the sample stays within its bound."""
+    r = random.Random(5)
+    words = {a: ["".join(r.choices(a, k=6)) for _ in range(40)] for a in ("abcd", "efgh", "ijkl")}
+    text = lambda a: " ".join(r.choices(words[a], k=30))
+    rows = [(None, text("abcd"), "de") for _ in range(400)] + [(3, text("efgh"), "fr") for _ in range(400)] + [(i, text("ijkl"), "en") for i in range(400)]
+    rows += [(6, "mnop " * 20, "es")] * 1000 + [(7, "x", None), (8, None, "it"), (9, "", "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit(1)).repartition(4)
+    model = language_id.fit(df)
+    assert {k for k, _ in model.dictionaries} == {"de", "fr", "en", "es"} and model.dictionaries[0][0] == "es"
+    parts = {k: v.split(b"\n") for k, v in model.dictionaries}
+    assert len(parts["es"]) == 1 and all(100 < len(parts[k]) <= language_id.SAMPLE_DOCS for k in ("de", "fr", "en"))
+    got = language_id.predict(df.filter("lang IS NOT NULL AND text <> ''"), model).collect()
+    assert all(x.lang_pred == x.lang for x in got)
+    assert language_id.fit(df.limit(0)).dictionaries == ()
+
+
+def test_shared_shingles_in_slices(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    lists = lambda n: [r.choice(300, r.integers(0, 80), replace=False) for _ in range(n)]
+    x, y = [*lists(9), np.zeros(0, np.int64)], lists(20)
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    for width in (7, 64, 8192):
+        monkeypatch.setattr(minhash_dedup, "WIDTH", width)
+        assert minhash_dedup.shared(x, y).tolist() == want
+    assert minhash_dedup.shared([[], []], y).tolist() == [[0] * 20] * 2 and minhash_dedup.shared(x, [[]] * 3).tolist() == [[0] * 3] * 10
