@@ -12,8 +12,9 @@ from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
 from opinara.plans.views import document_reviews, event_reviews, line_reviews, table
-from opinara.sources import scans, sinks
+from opinara.sources import scans, sinks, snapshots, splittable
 from opinara.storage import fresh_path
+from opinara.streaming import lifecycle
 
 QUERIES, SQL = {}, {}
 _EV, _DOC, _RV, _r, _LIST = O._EV, O._DOC, O._RV, O._r, O._LIST
@@ -193,15 +194,41 @@ def saved_trend_windows(spark, d):
 
 @query(f"WITH {_EV} SELECT 'reviews' AS table_name, count(*) AS saved FROM ev UNION ALL SELECT 'feature_extractions', count(*) FROM ev WHERE feature_no IS NOT NULL UNION ALL SELECT 'action_briefs', count(DISTINCT product_name) FROM ev UNION ALL SELECT 'escalations', 0 UNION ALL SELECT 'trend_windows', 0")
 def saved_run(spark, d):
-    path, rows = fresh_path(spark, "run"), event_reviews(spark, d)
+    store, rows = snapshots.Store(spark, fresh_path(spark, "run")), event_reviews(spark, d)
     features = rows.filter("feature_no IS NOT NULL").select("review_id", F.concat(F.lit("F"), "feature_no").alias("feature"), "sentiment")
     out = {"reviews": rows.withColumn("timestamp", F.col("ts")), "feature_extractions": features, "action_briefs": rows.select("product_name").distinct()}
-    sinks.save_all(spark, path, {"reviews": rows.limit(0)})
-    sinks.save_all(spark, path, out, clear=True)
-    counts = [spark.read.parquet(f"{path}/{t}").agg(F.count("*").alias("saved")).select(F.lit(t).alias("table_name"), "saved") for t in sinks.TABLES]
+    store.save({"reviews": rows}, "first")
+    store.save(out, "second", clear=True)
+    store.save(out, "second", clear=True)  # a repeated run adds nothing
+    counts = [store.read(t).agg(F.count("*").alias("saved")).select(F.lit(t).alias("table_name"), "saved") for t in sinks.TABLES]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3]).union(counts[4])
 
 
+# readers by byte ranges, and the stream of stages
+
+
+@query("SELECT doc_id::VARCHAR AS review_id, coalesce(source, '') AS product_name, length(coalesce(text, ''))::BIGINT AS chars, md5(coalesce(text, '')) AS digest FROM documents")
+def csv_ranges(spark, d):
+    path = fresh_path(spark, "csv")
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("product_name"), F.col("text").alias("review_text"))
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    text = F.coalesce("review_text", F.lit(""))
+    return splittable.read_csv(spark, path).select(F.col("doc_id").alias("review_id"), F.coalesce("product_name", F.lit("")).alias("product_name"), F.char_length(text).cast("long").alias("chars"), F.md5(text).alias("digest"))
+
+
+@query("SELECT conv_id, turn::BIGINT AS turn, role, md5(coalesce(text, '')) AS digest FROM conversations")
+def json_ranges(spark, d):
+    path = fresh_path(spark, "json")
+    rows = table(spark, d, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", F.col("text").alias("review_text"))).alias("v"))
+    rows.select(F.concat(F.lit("[ "), "v", F.lit(" ]")).alias("value")).write.text(path)
+    return splittable.read_json(spark, path).select("conv_id", "turn", "role", F.md5(F.coalesce("review_text", F.lit(""))).alias("digest"))
+
+
+@query(O.SQL["lifecycle_transitions"])
+def stream_lifecycle(spark, d):
+    return lifecycle.run_lifecycle(spark, C._rates(spark, d), base=20.0).select("product_name", "feature", "window_no", "from_stage", "stage")
+
+
 # insights
 
 _TYPE = lambda i: "CASE type " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in S.ANOMALY_TEXTS.items()) + f" ELSE '{S.ANOMALY_DEFAULT[i]}' END"

@@ -38,10 +38,11 @@ def save_trend_windows(scored: DataFrame, path: str, saved_at: Column) -> None:
 
 
 def save_all(spark: SparkSession, path: str, tables: dict[str, DataFrame], clear: bool = False) -> None:
-    """Every table of a run, or none: all are written beside the target first, and moved in when the last one is there.
+    """Every table of a run: all are written beside the target first, and moved in when the last one is there.
 
     ``clear`` replaces what the tables held, else rows are added. If a write fails, what was
-    staged is deleted and the tables are as before.
+    staged is deleted and the tables are as before. A failure while files are moved can leave
+    some tables new and others old: ``snapshots.Store`` saves all or none.
     """
     import uuid
 
