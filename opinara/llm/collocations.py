@@ -42,9 +42,9 @@ def root_hashes(langs: list[str]) -> np.ndarray:
 
 
 def path_hashes(paths: list[str]) -> np.ndarray:
-    """The hash of each path's node, by a walk from its language."""
+    """The hash of each path's node, by a walk from its language; a language's own node is the start of the walk."""
     langs, ws = zip(*(x.rsplit("\t", 1) for x in paths))
-    ws = [x.split(" ") for x in ws]
+    ws = [x.split(" ") if x else [] for x in ws]
     h, depth = root_hashes(langs), np.array([len(x) for x in ws])
     for k in range(depth.max()):
         on = np.flatnonzero(depth > k)
@@ -102,6 +102,8 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
     # at: first word's position of the paths that are followed; first[d]: hash of the path of d words that starts at a position
     hit: list[np.ndarray] = []
     found = []
+    if 1 in depths:  # a language's own node, with the number of its words
+        found.append(pa.table({"path": pc.binary_join_element_wise(pa.array(names, pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\t", pa.large_string())), "n": np.bincount(lang, minlength=len(names))}))
     for depth in range(1, depths.stop):
         if depth > 1:
             # the path goes on within its piece, and its last stretches are frequent too
@@ -109,19 +111,19 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
             for k, ok in enumerate(hit, 1):
                 on &= ok[np.minimum(at + depth - k, len(word) - 1)]
             at, node, h = at[on], node[on], h[on]
-        keys, index, node, count = np.unique(node << 32 | word[at + depth - 1], return_index=True, return_inverse=True, return_counts=True)
         h = child(h, hw[at + depth - 1])
+        if depth <= len(bitmaps):
+            on = inside(bitmaps[depth - 1], h)
+            at, node, h = at[on], node[on], h[on]
+            hit.append(np.zeros(len(word), bool))
+            hit[-1][at] = True
+        keys, index, node, count = np.unique(node << 32 | word[at + depth - 1], return_index=True, return_inverse=True, return_counts=True)
         if depth in depths:
-            spelled_out = pa.array(names).cast(pa.large_string()).take(pa.array(lang[at[index]]))
+            spelled_out = pa.array(names, pa.large_string()).take(pa.array(lang[at[index]]))
             path = pc.binary_join_element_wise(spelled_out, spelled.take(pa.array(word[at[index]])), pa.scalar("\t", pa.large_string()))
             for k in range(1, depth):
                 path = pc.binary_join_element_wise(path, spelled.take(pa.array(word[at[index] + k])), pa.scalar(" ", pa.large_string()))
             found.append(pa.table({"path": path, "n": count}))
-        if depth <= len(bitmaps):
-            ok = np.zeros(len(word), bool)
-            ok[at] = inside(bitmaps[depth - 1], h)
-            hit.append(ok)
-            at, node, h = at[ok[at]], node[ok[at]], h[ok[at]]
     nodes = pa.concat_tables(found).sort_by("path")
     return {f.name: nodes[f.name].combine_chunks().cast(f.type) for f in LAYOUT}
 
@@ -154,7 +156,7 @@ def shard_tries(docs: DataFrame, depths: range, bitmaps: list) -> DataFrame:
 
 
 def merged(tries: DataFrame, least: int) -> DataFrame:
-    """(lang, path, h, n) with the counts of all shards, of paths that occur at least ``least`` times.
+    """(lang, path, h, n) with the counts of all shards, of languages and of paths that occur at least ``least`` times.
 
     Each task has one range of paths, sorted: a merge of the shards' sorted runs, read as a
     stream in which equal neighbours add up. Ranges are cut by whole paths, so a frequent
@@ -177,7 +179,8 @@ def merged(tries: DataFrame, least: int) -> DataFrame:
             yield from rows(held)
 
     def rows(t):
-        t = t.filter(pc.greater_equal(t["n"], least))
+        root = pc.ends_with(t["path"], "\t")
+        t = t.filter(pc.or_(pc.greater_equal(t["n"], least), root))
         if t.num_rows:
             paths = t["path"].to_pylist()
             yield {"lang": [x.rsplit("\t", 1)[0] for x in paths], "path": paths, "h": path_hashes(paths).view(np.int64), "n": t["n"].combine_chunks()}
@@ -253,15 +256,13 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int |
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     bitmaps, levels = [], []
-    total = None
     for depths in [range(k, k + 1) for k in range(1, min(3, longest + 1))] + ([range(3, longest + 1)] if longest > 2 else []):
-        tries = stored(shard_tries(rows, depths, bitmaps), "tries")
-        if total is None:
-            lang = F.expr(r"substring(path, 1, length(path) - length(substring_index(path, '\t', -1)) - 1)")
-            total = tries.groupBy(lang.alias("lang")).agg(F.sum("n").alias("words"))
-        levels.append(stored(merged(tries, least), "nodes"))
+        levels.append(stored(merged(stored(shard_tries(rows, depths, bitmaps), "tries"), least), "nodes"))
         if depths.stop <= min(3, longest):
             bitmaps.append(spark.sparkContext.broadcast(filter_of(levels[-1], bits)))
+    root = F.col("path").endswith("\t")
+    total = levels[0].filter(root).select("lang", F.col("n").alias("words"))
+    levels[0] = levels[0].filter(~root)
     nodes = levels[0]
     for x in levels[1:]:
         nodes = nodes.union(x)
