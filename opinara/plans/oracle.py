@@ -241,7 +241,7 @@ def _phrases() -> str:
     return f"""{_DOC},
 p0 AS (SELECT review_id, review_id > (SELECT max(review_id) / 2 FROM doc) AS cur, list_filter(regexp_extract_all(lower(coalesce(review_text, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT list_contains({_LIST(S.PHRASE_STOP_WORDS)}, x)) AS w FROM doc),
 p1 AS (SELECT DISTINCT review_id, cur, unnest(list_concat(list_concat({runs(2)}, {runs(3)}), {runs(4)})) AS p FROM p0),
-p2 AS (SELECT cur, array_to_string(p, ' ') AS phrase FROM p1 WHERE len(list_filter(p, lambda x: NOT list_contains({empty}, x))) > 0 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0 AND len(list_filter(p, lambda x: length(x) > 2)) > 0),
+p2 AS (SELECT review_id, cur, array_to_string(p, ' ') AS phrase FROM p1 WHERE len(list_filter(p, lambda x: NOT list_contains({empty}, x))) > 0 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0 AND len(list_filter(p, lambda x: length(x) > 2)) > 0),
 fq AS (SELECT phrase, count_if(cur)::BIGINT AS current, count_if(NOT cur)::BIGINT AS baseline FROM p2 GROUP BY 1),
 eg AS (SELECT *, current - baseline AS emergence_score FROM fq WHERE current >= 3 AND baseline < 2)"""
 

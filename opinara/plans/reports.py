@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from opinara import schema as S
 from opinara.functions import text as X
 from opinara.functions.numbers import percent, rounded as r4
-from opinara.operators import bots as B, escalation as E, evaluation as V, insights as I, records as R, trends as T, weekly as W
+from opinara.operators import bots as B, escalation as E, evaluation as V, insights as I, records as R, trends as T, vocabulary, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
@@ -441,6 +441,16 @@ def phrase_trend(spark, d):
     return found.groupBy("window_no").agg(F.sum("n").cast("long").alias("mentions"))
 
 
+@query(f"""WITH {O._phrases()}, i AS (SELECT review_id, coalesce(language, 'und') AS product_name, row_number() OVER (PARTITION BY coalesce(language, 'und') ORDER BY review_id) - 1 AS idx, count(*) OVER (PARTITION BY coalesce(language, 'und')) AS n FROM doc),
+wn AS (SELECT review_id, product_name, k + 1 AS window_no FROM (SELECT *, unnest(generate_series(0, idx // 25)) AS k FROM i WHERE n >= 50) WHERE k * 25 + 50 > idx AND k <= ceil((n - 50) / 25) AND least(50, n - k * 25) >= 25),
+c AS (SELECT product_name, window_no::INTEGER AS window_no, phrase, count(*) AS mentions FROM p2 JOIN wn USING (review_id) GROUP BY ALL),
+t AS (SELECT *, coalesce(max(mentions) FILTER (window_no = 1) OVER (PARTITION BY product_name, phrase), 0) AS baseline, coalesce(max(mentions) OVER (PARTITION BY product_name, phrase ORDER BY window_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, min(window_no) OVER (PARTITION BY product_name, phrase) AS first_seen FROM c)
+SELECT *, mentions - baseline AS emergence_score FROM t WHERE mentions >= 5 AND baseline < 2""")
+def phrase_tracker(spark, d):
+    rows = document_reviews(spark, d).withColumns({"product_name": F.coalesce("language", F.lit("und")), "ts": F.timestamp_seconds(F.col("review_id") * 3600)})
+    return vocabulary.tracked_phrases(rows, ["review_id"]).filter("emerging").drop("emerging")
+
+
 # numbers of a page
 
 
@@ -567,9 +577,10 @@ def emotion_signals(spark, d):
     return rows.select("conv_id", "turn", "role", X.emotion(F.col("t"), F.lit("negative")).alias("e")).select("conv_id", "turn", "role", "e.emotion", "e.confidence", X.needs_second_layer(F.col("e.confidence")).alias("second_layer"))
 
 
-@query(f"WITH {_DOC}, {O._EMOTION} SELECT urgency, array_to_string(list_sort(list(review_id)), ',') AS review_ids FROM em GROUP BY 1")
+@query(f"WITH {_DOC}, {O._EMOTION} SELECT urgency, review_id FROM em")
 def emotion_urgency_ids(spark, d):
-    return C._emotions(spark, d).groupBy("urgency").agg(F.array_join(F.array_sort(F.collect_list("review_id")), ",").alias("review_ids"))
+    """The reviews of each urgency as rows: a list of all of them would be one value, however many there are."""
+    return C._emotions(spark, d).select("urgency", "review_id")
 
 
 @query(f"WITH {_DOC}, {O._EMOTION}, n AS (SELECT review_id, (row_number() OVER (ORDER BY review_id) - 1) // 50 + 1 AS window_no FROM doc) SELECT window_no, {', '.join(f'count_if(emotion = {chr(39)}{e[0]}{chr(39)})::BIGINT AS {e[0]}' for e in S.EMOTIONS)} FROM em JOIN n USING (review_id) GROUP BY 1")

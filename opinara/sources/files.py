@@ -4,14 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Target column and the substrings that name it, in order of precedence.
-COLUMN_WORDS = (
-    ("review_text", ("review", "text", "comment", "feedback", "body", "content", "description", "message")),
-    ("rating", ("rating", "star", "score", "stars")),
-    ("product_name", ("product", "item", "brand", "category")),
-    ("timestamp", ("date", "time", "timestamp", "created", "posted")),
-    ("username", ("user", "author", "reviewer", "username")),
-)
+from opinara.schema import COLUMN_WORDS
 
 
 def read_reviews(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

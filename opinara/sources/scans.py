@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinara import schema as S
 from opinara.operators.scenarios import CRISES
-from opinara.sources.files import read_reviews
+from opinara.operators.ordering import positions
+from opinara.sources.files import read_directory, read_reviews
 
 FEATURES = "array<struct<feature: string, sentiment: string>>"
 
@@ -94,6 +95,26 @@ def detect_column(columns: list[str], words: list[str]) -> str | None:
     return next((c for c in columns if any(w in c.lower() for w in words)), None)
 
 
+def read_product_directory(spark: SparkSession, folder: str, now: Column | None = None) -> DataFrame:
+    """The reviews of ``read_directory`` under the columns of a run, with fall-backs where a file has no such column.
+
+    review_id: the product and the row's place in its file, from 0; product_name: by the
+    file's name; category: by the product's words; review_text: clean_text, else empty;
+    original_text: review_text; timestamp: ``now``; sentiment: neutral; is_seeded: false,
+    as anything but "true" in any case. A value that is there, also an empty one, is kept.
+    """
+    rows = read_directory(spark, folder).withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
+    rows = positions(rows, ["__file"], F.shiftright("__at", 33), ["__at"])
+    has = lambda c, other: F.coalesce(c, other) if c in rows.columns else other
+    rows = rows.withColumn("category", has("category", category(F.col("product_name"), "batch")))
+    text = has("review_text", has("clean_text", F.lit("")))
+    return rows.select(
+        has("review_id", F.concat_ws("_", "product_name", "idx")).alias("review_id"), "product_name", "category", text.alias("review_text"), has("original_text", text).alias("original_text"),
+        has("timestamp", (now if now is not None else F.current_timestamp()).cast("string")).alias("timestamp"), has("sentiment", F.lit("neutral")).alias("sentiment"),
+        (F.lower(has("is_seeded", F.lit("false"))) == "true").alias("is_seeded"),
+    )
+
+
 def category(name: Column, rules: str = "service") -> Column:
     """Category of a product by words in its name, by the rules of a caller; else General."""
     out = F

@@ -126,3 +126,31 @@ def test_neighbours_count_copies(spark):
     rows += [(10 + i, f"quite unlike filler number{i} text{i} about{i} thing{i}") for i in range(10)]
     got = {r.review_id: r.signal for r in bots.neighbour_signals(spark.createDataFrame(rows, "review_id long, review_text string"), ["the"]).collect()}
     assert got[1] == got[2] == "HIGH_SIMILARITY_MATCH" and 4 not in got and 5 not in got
+
+
+def test_product_directory(spark, tmp_path):
+    (tmp_path / "smart_bottle_reviews.csv").write_text('review_text,is_seeded\n"good, really\ngood",TRUE\nbad,no\n')
+    (tmp_path / "bolt_x_reviews.csv").write_text("review_id,product_name,clean_text,sentiment,category\nB7,Bolt Y,fine,positive,Own\n")
+    (tmp_path / "all_reviews.csv").write_text("review_text\nnot read\n")
+    for name in ("smart_bottle", "bolt_x"):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / f"{name}_reviews.csv").write_text((tmp_path / f"{name}_reviews.csv").read_text())
+    (tmp_path / "bolt_x" / "all_reviews.csv").write_text("review_id,product_name,clean_text,sentiment,category\nno,no,no,no,no\n")
+    got = scans.read_product_directory(spark, str(tmp_path / "smart_bottle"), F.lit("T")).orderBy("review_id").collect()
+    assert [tuple(r) for r in got] == [("Smart Bottle_0", "Smart Bottle", "Personal Care", "good, really\ngood", "good, really\ngood", "T", "neutral", True), ("Smart Bottle_1", "Smart Bottle", "Personal Care", "bad", "bad", "T", "neutral", False)]
+    got = scans.read_product_directory(spark, str(tmp_path / "bolt_x"), F.lit("T")).collect()
+    assert [tuple(r) for r in got] == [("B7", "Bolt Y", "Own", "fine", "fine", "T", "positive", False)]
+
+
+def test_saved_reviews_and_files_per_product(spark, tmp_path):
+    from opinara.sources import files
+
+    rows = spark.createDataFrame([("a", "P1", "x", [("cap", "negative")]), ("b", "P2", 'say "y",\nplease', [])], "review_id string, product_name string, review_text string, extracted_features array<struct<feature string, sentiment string>>")
+    path = str(tmp_path / "run")
+    for _ in range(2):
+        files.save_reviews(rows, path)
+    assert spark.read.parquet(f"{path}/reviews").count() == 4 and "extracted_features" not in spark.read.parquet(f"{path}/reviews").columns
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/feature_extractions").distinct().collect()] == [("a", "cap", "negative")]
+    files.save_csv_per_product(rows.drop("extracted_features"), str(tmp_path / "csv"))
+    assert sorted(p.name for p in (tmp_path / "csv").iterdir() if p.is_dir()) == ["product_name=P1", "product_name=P2"]
