@@ -74,8 +74,19 @@ def inside(bitmap: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     return (bitmap[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each different key, in order; the number of every key; how often each stands there)."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return order[start], number, np.diff(np.append(start, len(keys)))
+
+
 def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.ndarray]) -> dict[str, pa.Array]:
-    """The nodes of the given depths of one shard's trie, sorted by path.
+    """The nodes of the given depths of one shard's trie, each depth sorted by its words.
 
     Under the root stand the languages, under these the words. A node is told by its parent's
     number and its word's, so counts are exact. ``bitmaps[k]`` holds the frequent nodes of
@@ -90,13 +101,18 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     chars = _LOWER[buf[solid]]
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars)]).dictionary_encode()
-    spelled, word = coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy()
+    # words are numbered in their order, so nodes are too
+    order = pc.sort_indices(coded.dictionary)
+    spelled = coded.dictionary.take(order).cast(pa.large_string())
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    word = rank[coded.indices.to_numpy()]
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
     piece = np.cumsum(_SEPARATOR[buf], dtype=np.int32)[starts]
     names = sorted(set(langs))
     lang = np.array([names.index(x) for x in langs])[doc]
     hw = words_of(spelled.to_pylist())[0][word]
-    del buf, solid, chars, coded, edge, starts, ends, doc
+    del buf, solid, chars, coded, edge, starts, ends, doc, order, rank
 
     node, h, at = lang.astype(np.int64), root_hashes(names)[lang], np.arange(len(word))
     # at: first word's position of the paths that are followed; first[d]: hash of the path of d words that starts at a position
@@ -117,19 +133,19 @@ def trie(texts: list[bytes], langs: list[str], depths: range, bitmaps: list[np.n
             at, node, h = at[on], node[on], h[on]
             hit.append(np.zeros(len(word), bool))
             hit[-1][at] = True
-        keys, index, node, count = np.unique(node << 32 | word[at + depth - 1], return_index=True, return_inverse=True, return_counts=True)
+        index, node, count = numbered(node << 32 | word[at + depth - 1])
         if depth in depths:
             spelled_out = pa.array(names, pa.large_string()).take(pa.array(lang[at[index]]))
             path = pc.binary_join_element_wise(spelled_out, spelled.take(pa.array(word[at[index]])), pa.scalar("\t", pa.large_string()))
             for k in range(1, depth):
                 path = pc.binary_join_element_wise(path, spelled.take(pa.array(word[at[index] + k])), pa.scalar(" ", pa.large_string()))
             found.append(pa.table({"path": path, "n": count}))
-    nodes = pa.concat_tables(found).sort_by("path")
+    nodes = pa.concat_tables(found)
     return {f.name: nodes[f.name].combine_chunks().cast(f.type) for f in LAYOUT}
 
 
 def shard_tries(docs: DataFrame, depths: range, bitmaps: list) -> DataFrame:
-    """(path, n): the tries of all shards of ``docs`` (lang, text), each sorted by path. Narrow."""
+    """(path, n): the tries of all shards of ``docs`` (lang, text), each a sorted run a depth. Narrow."""
 
     def run(batches):
         maps = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
