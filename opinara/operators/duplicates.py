@@ -53,9 +53,10 @@ def tfidf(docs: DataFrame, stop_words: list[str], max_share: float = 0.95, bigra
     idf = ln((1 + n) / (1 + df)) + 1; terms in over ``max_share`` of the texts are dropped,
     and with ``max_features`` all but the most frequent terms of the corpus (ties by term).
     """
-    texts = docs.filter(F.length(F.trim("review_text")) >= S.MIN_REVIEW_LENGTH)
+    texts = docs.filter(F.length(F.trim("review_text")) >= S.MIN_REVIEW_LENGTH).select("review_id", "review_text")
     tokens = F.regexp_extract_all(F.lower("review_text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    kept = texts.select("review_id", F.filter(tokens, lambda w: ~w.isin(*stop_words)).alias("ws"))
+    # texts dealt by id: their terms are counted where they are split, without a shuffle of terms
+    kept = texts.repartition("review_id").select("review_id", F.filter(tokens, lambda w: ~w.isin(*stop_words)).alias("ws"))
     pairs = F.zip_with(F.expr("slice(ws, 1, size(ws) - 1)"), F.expr("slice(ws, 2, size(ws) - 1)"), lambda a, b: F.concat_ws(" ", a, b))
     terms = F.when(F.size("ws") > 1, F.concat("ws", pairs)).otherwise(F.col("ws")) if bigrams else F.col("ws")
     tf = stored(kept.select("review_id", F.explode(terms).alias("term")).groupBy("review_id", "term").agg(F.count("*").alias("tf")), "tf")
@@ -69,31 +70,49 @@ def tfidf(docs: DataFrame, stop_words: list[str], max_share: float = 0.95, bigra
     return raw.select("review_id", "term", (F.col("w") / norm).alias("w"))
 
 
-def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY) -> DataFrame:
-    """(a, b, similarity): exact cosine of at least ``least``, by prefix-filtered candidates.
+#: A term's list longer than this is cut into blocks that meet pairwise, each pair of blocks by itself.
+LIST_BLOCK = 2000
 
-    A vector's terms are taken from the rarest on until the rest could not reach ``least``
-    against a unit vector; two vectors that similar share such a term. Common terms are
-    hardly ever in a prefix, so no list of theirs is joined. A candidate's products within
-    the prefixes are known then, and what lies behind them is bounded by the lengths of the
-    rests; only pairs that can still reach ``least`` are joined to their vectors.
+
+def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY, block: int = LIST_BLOCK) -> DataFrame:
+    """(a, b, similarity): cosine of at least ``least`` of unit vectors (review_id, term, w), exact, a < b.
+
+    Terms are numbered from the rarest on; those of one vector only count by their length.
+    A vector is posted under its first terms, until the rest could not reach ``least``. At
+    the first term that two vectors share, their cosine is at most the product there plus
+    that of the lengths behind it: the join keeps only pairs that reach ``least`` by this
+    bound, so the others never are rows. A list of more than ``block`` vectors is met block
+    by block, so a term in every prefix is many tasks. What is left is compared by merging
+    the two sorted vectors, one row a pair. Null ids and terms meet nothing.
     """
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    whole = Window.partitionBy("review_id")
-    up_to = F.sum(F.col("w") * F.col("w")).over(whole.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = weights.join(df, "term").withColumn("mass", up_to).withColumn("place", F.struct("df", "term"))
-    prefix = ranked.filter(1 - F.col("mass") + F.col("w") * F.col("w") >= least * least - 1e-9)
-    prefix = prefix.withColumns({"all": F.max("mass").over(whole), "end": F.max("place").over(whole)}).filter("df > 1")
-    side = lambda x: prefix.select("term", F.col("review_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("w", "mass", "all", "end", "place")])
-    met = side("a").join(side("b"), "term").filter("a < b").groupBy("a", "b").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("known"), F.max(F.struct("place_a", "mass_a", "mass_b")).alias("last"),
-        *[F.first(c).alias(c) for c in ("all_a", "end_a", "all_b", "end_b")],
-    )
-    rest = F.when(F.col("end_a") <= F.col("end_b"), (1 - F.col("all_a")) * (1 - F.col("last.mass_b"))).otherwise((1 - F.col("all_b")) * (1 - F.col("last.mass_a")))
-    pairs = stored(met.filter(F.col("known") + F.sqrt(F.greatest(F.lit(0.0), rest)) >= least - 1e-9).select("a", "b"), "candidates")
-    x = pairs.join(weights.select(F.col("review_id").alias("a"), "term", F.col("w").alias("wa")), "a")
-    both = x.join(weights.select(F.col("review_id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
-    return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
+    w, t = F.col("w"), F.col("t")
+    terms = weights.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
+    terms = stored(terms.orderBy("df", "term").select("term", F.monotonically_increasing_id().alias("t")), "terms")
+    alone = F.coalesce(F.sum(F.when(t.isNull(), w * w)), F.lit(0.0))
+    v = F.sort_array(F.collect_list(F.when(t.isNotNull(), F.struct("t", "w"))))
+    vectors = weights.filter("review_id IS NOT NULL").join(terms, "term", "left").groupBy("review_id").agg(alone.alias("alone"), v.alias("v"))
+    vectors = stored(vectors.filter("size(v) > 0"), "vectors")
+    up_to = F.sum(w * w).over(Window.partitionBy("review_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    postings = vectors.select("review_id", "alone", F.inline("v")).select("t", "review_id", "w", F.greatest(F.lit(0.0), 1 - F.col("alone") - up_to).alias("rest"))
+    postings = stored(postings.filter(F.col("rest") + w * w >= least * least - 1e-9), "postings")
+    long = postings.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block))
+    own = F.pmod(F.xxhash64("review_id"), F.col("blocks"))
+    lists = lookup_by_key(postings, long, ["t"], "n").fillna(1, ["blocks"]).withColumn("own", own)
+    x = lists.select("t", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.struct("review_id", "w", "rest").alias("x"))
+    y = lists.select("t", F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.struct("review_id", "w", "rest").alias("y"))
+    bound = F.col("x.w") * F.col("y.w") + F.sqrt(F.col("x.rest") * F.col("y.rest"))
+    once = (F.col("lo") < F.col("hi")) | (F.col("x.review_id") < F.col("y.review_id"))
+    met = x.join(y, ["t", "lo", "hi"]).filter(once & (bound >= least - 1e-9))
+    pairs = stored(met.select(F.least("x.review_id", "y.review_id").alias("a"), F.greatest("x.review_id", "y.review_id").alias("b")).distinct(), "candidates")
+    side = lambda c: vectors.select(F.col("review_id").alias(c), F.col("v").alias(f"v{c}"))
+    # of the merged vectors, shared terms stand next to each other
+    start = F.struct(F.lit(-1).cast("long").alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("dot"))
+
+    def step(acc: Column, e: Column) -> Column:
+        return F.struct(e["t"].alias("t"), e["w"].alias("w"), F.when(e["t"] == acc["t"], acc["dot"] + acc["w"] * e["w"]).otherwise(acc["dot"]).alias("dot"))
+
+    dot = F.aggregate(F.sort_array(F.concat("va", "vb")), start, step, lambda acc: acc["dot"])
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", dot.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def near_groups(pairs: DataFrame) -> DataFrame:
