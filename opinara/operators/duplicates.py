@@ -79,11 +79,12 @@ def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY, blo
 
     Terms are numbered from the rarest on; those of one vector only count by their length.
     A vector is posted under its first terms, until the rest could not reach ``least``. At
-    the first term that two vectors share, their cosine is at most the product there plus
-    that of the lengths behind it: the join keeps only pairs that reach ``least`` by this
-    bound, so the others never are rows. A list of more than ``block`` vectors is met block
-    by block, so a term in every prefix is many tasks. What is left is compared by merging
-    the two sorted vectors, one row a pair. Null ids and terms meet nothing.
+    any term that two vectors share, their cosine is at most the product there plus those
+    of the lengths before and behind it: the join drops what cannot reach ``least``. The
+    products within both prefixes are known then, and what lies behind is bounded by the
+    lengths of the rests. A list of more than ``block`` vectors is met block by block, so a
+    term in every prefix is many tasks. Pairs left are compared by merging their sorted
+    vectors, one row a pair. Null ids and terms meet nothing.
     """
     w, t = F.col("w"), F.col("t")
     terms = weights.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).filter("df > 1")
@@ -92,18 +93,28 @@ def similar_pairs(weights: DataFrame, least: float = S.DUPLICATE_SIMILARITY, blo
     v = F.sort_array(F.collect_list(F.when(t.isNotNull(), F.struct("t", "w"))))
     vectors = weights.filter("review_id IS NOT NULL").join(terms, "term", "left").groupBy("review_id").agg(alone.alias("alone"), v.alias("v"))
     vectors = stored(vectors.filter("size(v) > 0"), "vectors")
-    up_to = F.sum(w * w).over(Window.partitionBy("review_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    postings = vectors.select("review_id", "alone", F.inline("v")).select("t", "review_id", "w", F.greatest(F.lit(0.0), 1 - F.col("alone") - up_to).alias("rest"))
-    postings = stored(postings.filter(F.col("rest") + w * w >= least * least - 1e-9), "postings")
+    whole = Window.partitionBy("review_id")
+    up_to = F.sum(w * w).over(whole.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    places = vectors.select("review_id", "alone", F.inline("v")).withColumn("rest", F.greatest(F.lit(0.0), 1 - F.col("alone") - up_to))
+    places = places.filter(F.col("rest") + w * w >= least * least - 1e-9)
+    places = places.withColumns({"before": F.greatest(F.lit(0.0), 1 - F.col("rest") - w * w), "beyond": F.min("rest").over(whole), "end": F.max("t").over(whole)})
+    postings = stored(places.drop("alone"), "postings")
     long = postings.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block))
-    own = F.pmod(F.xxhash64("review_id"), F.col("blocks"))
-    lists = lookup_by_key(postings, long, ["t"], "n").fillna(1, ["blocks"]).withColumn("own", own)
-    x = lists.select("t", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.struct("review_id", "w", "rest").alias("x"))
-    y = lists.select("t", F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.struct("review_id", "w", "rest").alias("y"))
-    bound = F.col("x.w") * F.col("y.w") + F.sqrt(F.col("x.rest") * F.col("y.rest"))
-    once = (F.col("lo") < F.col("hi")) | (F.col("x.review_id") < F.col("y.review_id"))
-    met = x.join(y, ["t", "lo", "hi"]).filter(once & (bound >= least - 1e-9))
-    pairs = stored(met.select(F.least("x.review_id", "y.review_id").alias("a"), F.greatest("x.review_id", "y.review_id").alias("b")).distinct(), "candidates")
+    lists = lookup_by_key(postings, long, ["t"], "n").fillna(1, ["blocks"]).withColumn("own", F.pmod(F.xxhash64("review_id"), F.col("blocks")))
+    one = F.struct("review_id", "w", "before", "rest", "beyond", "end")
+    xs = lists.select("t", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), one.alias("x"))
+    ys = lists.select("t", F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), one.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    most = F.sqrt(x["before"] * y["before"]) + x["w"] * y["w"] + F.sqrt(x["rest"] * y["rest"])
+    ordered = x["review_id"] < y["review_id"]
+    met = xs.join(ys, ["t", "lo", "hi"]).filter(((F.col("lo") < F.col("hi")) | ordered) & (most >= least - 1e-9))
+    met = met.select("t", F.when(ordered, x).otherwise(y).alias("x"), F.when(ordered, y).otherwise(x).alias("y"))
+    met = met.groupBy(x["review_id"].alias("a"), y["review_id"].alias("b")).agg(
+        F.sum(x["w"] * y["w"]).alias("known"), F.max(x["w"] * y["w"] + F.sqrt(x["rest"] * y["rest"])).alias("first"), F.min(x["rest"]).alias("rest_a"), F.min(y["rest"]).alias("rest_b"),
+        F.first(x["beyond"]).alias("beyond_a"), F.first(y["beyond"]).alias("beyond_b"), F.first(x["end"] <= y["end"]).alias("a_ends"),
+    )
+    unknown = F.sqrt(F.when(F.col("a_ends"), F.col("beyond_a") * F.col("rest_b")).otherwise(F.col("beyond_b") * F.col("rest_a")))
+    pairs = stored(met.filter((F.col("known") + unknown >= least - 1e-9) & (F.col("first") >= least - 1e-9)).select("a", "b"), "candidates")
     side = lambda c: vectors.select(F.col("review_id").alias(c), F.col("v").alias(f"v{c}"))
     # of the merged vectors, shared terms stand next to each other
     start = F.struct(F.lit(-1).cast("long").alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("dot"))
