@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from opinara import schema as S
 from opinara.functions import text as X
 from opinara.functions.numbers import percent, rounded as r4
-from opinara.operators import bots as B, escalation as E, evaluation as V, insights as I, records as R, trends as T, vocabulary, weekly as W
+from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, records as R, trends as T, vocabulary, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
@@ -639,3 +639,24 @@ def bot_totals(spark, d):
 def confident_campaigns(spark, d):
     both = C.QUERIES["text_campaigns"](spark, d).unionByName(C.QUERIES["username_campaigns"](spark, d))
     return both.filter("confidence > 50").select("kind", "campaign_id", "members", "confidence")
+
+
+_JUDGED = "SELECT value, (5 - least(4, floor(value / 25)))::INTEGER AS rating, CASE event_type WHEN 'error' THEN 'negative' WHEN 'purchase' THEN 'positive' ELSE 'neutral' END AS sentiment FROM events"
+
+
+@query(f"""WITH j AS (SELECT * FROM ({_JUDGED}) WHERE value IS NOT NULL AND rating IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rx, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0 AS ry FROM j)
+SELECT count(*) AS n, round(corr(rx, ry), 4) AS spearman FROM r""")
+def rank_agreement(spark, d):
+    return agreement.spearman(event_reviews(spark, d), "value", "rating").select("n", r4("spearman").alias("spearman"))
+
+
+@query(f"""WITH j AS (SELECT sentiment AS a, CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' ELSE 'positive' END AS b FROM ({_JUDGED}) WHERE rating IS NOT NULL),
+l AS (SELECT label, (SELECT count(*) FROM j WHERE a = label) AS x, (SELECT count(*) FROM j WHERE b = label) AS y FROM (SELECT a AS label FROM j UNION SELECT b FROM j)),
+s AS (SELECT count(*) AS n, count_if(a = b) / count(*) AS observed, (SELECT sum(x::DOUBLE * y) FROM l) / (count(*)::DOUBLE * count(*)) AS expected FROM j)
+SELECT n, round(observed, 4) AS observed, round(expected, 4) AS expected, round((observed - expected) / (1 - expected), 4) AS kappa FROM s""")
+def kappa_agreement(spark, d):
+    rating = F.col("rating")
+    rated = F.when(rating <= 2, "negative").when(rating == 3, "neutral").when(rating > 3, "positive")
+    found = agreement.kappa(event_reviews(spark, d), F.col("sentiment"), rated)
+    return found.select("n", *[r4(c).alias(c) for c in ("observed", "expected", "kappa")])
