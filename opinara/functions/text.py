@@ -73,6 +73,13 @@ def unscrambled(text: Column) -> Column:
     return F.when(F.is_valid_utf8(latin), latin).otherwise(text)
 
 
+def hinglish(text: Column) -> tuple[Column, Column]:
+    """The share of Hindi words among the Latin ones (null without any), and whether there are any."""
+    ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    counts = let(ws, lambda w: F.struct(of_words(w, S.HINDI_WORDS).alias("hindi"), F.size(w).alias("n")))
+    return F.try_divide(counts["hindi"], counts["n"]), counts["n"] > 0
+
+
 def review_language(text: Column) -> Column:
     """HINGLISH where over a fifth of the Latin words are Hindi, HI in an Indian script, EN where English function words are a tenth of the words, else OTHER."""
     ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))

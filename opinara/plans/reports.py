@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from opinara import schema as S
 from opinara.functions import text as X
 from opinara.functions.numbers import percent, rounded as r4
-from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, records as R, trends as T, vocabulary, weekly as W
+from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, languages as L, records as R, trends as T, vocabulary, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
@@ -660,3 +660,34 @@ def kappa_agreement(spark, d):
     rated = F.when(rating <= 2, "negative").when(rating == 3, "neutral").when(rating > 3, "positive")
     found = agreement.kappa(event_reviews(spark, d), F.col("sentiment"), rated)
     return found.select("n", *[r4(c).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+# languages
+
+_BAYES = f"""{_DOC}, words AS (SELECT review_id, language, unnest(regexp_extract_all(regexp_replace(lower(coalesce(review_text, '')), '[^\\x{{0}}-\\x{{FFFF}}]', ' ', 'g'), '[\\p{{L}}\\p{{M}}]+')) AS w FROM doc),
+seen AS (SELECT review_id, language, unnest(list_transform(range(1, length(w) + 1), lambda i: substring(' ' || w || ' ', i, 3))) AS gram FROM words),
+learned AS (SELECT language AS label, gram, count(*) AS c FROM seen WHERE language IS NOT NULL AND review_id % 3 <> 1 GROUP BY 1, 2),
+v AS (SELECT count(DISTINCT gram) AS v FROM learned), lab AS (SELECT language AS label, count(*) AS docs FROM doc WHERE language IS NOT NULL AND review_id % 3 <> 1 GROUP BY 1),
+tot AS (SELECT label, docs, (SELECT coalesce(sum(c), 0) FROM learned l WHERE l.label = lab.label) + v AS t, round(ln(docs / (SELECT sum(docs) FROM lab)) * 1000000)::BIGINT AS prior FROM lab, v),
+mine AS (SELECT review_id, gram, count(*) AS m FROM seen GROUP BY 1, 2),
+sc AS (SELECT review_id, tot.label, any_value(prior) + sum(m * round(ln((coalesce(c, 0) + 1) / t) * 1000000)::BIGINT) AS s FROM mine CROSS JOIN tot LEFT JOIN learned l ON l.label = tot.label AND l.gram = mine.gram GROUP BY 1, 2),
+bs AS (SELECT review_id, max(s) AS best FROM sc GROUP BY 1),
+told AS (SELECT review_id, min(label) FILTER (s = best) AS told, 1 / sum(exp((s - best)::DOUBLE / 1000000)) AS probability FROM sc JOIN bs USING (review_id) GROUP BY 1),
+bayes AS (SELECT review_id, language AS given, told AS language, probability FROM doc LEFT JOIN told USING (review_id))"""
+
+
+def _bayes(spark, d):
+    rows = document_reviews(spark, d).withColumnRenamed("language", "given")
+    return L.review_languages(rows, "review_text", L.fit(rows.filter("review_id % 3 <> 1"), "review_text", "given"))
+
+
+@query(f"""WITH {_BAYES}, h AS (SELECT review_id, regexp_extract_all(lower(coalesce(review_text, '')), '[a-z]+') AS ws FROM doc)
+SELECT review_id, language, round(probability, 4) AS probability, CASE WHEN len(ws) = 0 THEN 'OTHER' WHEN {O._HINDI} / len(ws) > 0.2 THEN 'HINGLISH' WHEN language = 'en' THEN 'EN' ELSE 'OTHER' END AS kind FROM bayes JOIN h USING (review_id)""")
+def language_bayes(spark, d):
+    return _bayes(spark, d).select("review_id", "language", r4("probability").alias("probability"), "kind")
+
+
+@query(f"WITH {_BAYES} SELECT given AS language, review_id % 3 = 1 AS held_out, count(*) AS reviews, count_if(language = given)::BIGINT AS told FROM bayes WHERE given IS NOT NULL GROUP BY 1, 2")
+def language_accuracy(spark, d):
+    kept = _bayes(spark, d).filter("given IS NOT NULL")
+    return kept.groupBy(F.col("given").alias("language"), (F.col("review_id") % 3 == 1).alias("held_out")).agg(F.count("*").alias("reviews"), F.count_if(F.col("language") == F.col("given")).alias("told"))
