@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from opinara import schema as S
 from opinara.functions import text as X
 from opinara.functions.numbers import percent, rounded as r4
-from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, languages as L, records as R, trends as T, vocabulary, weekly as W
+from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, languages as L, phrases as P, records as R, trends as T, vocabulary, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
@@ -691,3 +691,50 @@ def language_bayes(spark, d):
 def language_accuracy(spark, d):
     kept = _bayes(spark, d).filter("given IS NOT NULL")
     return kept.groupBy(F.col("given").alias("language"), (F.col("review_id") % 3 == 1).alias("held_out")).agg(F.count("*").alias("reviews"), F.count_if(F.col("language") == F.col("given")).alias("told"))
+
+
+# phrases by statistics
+
+_INNER = f"{_LIST(S.PHRASE_STOP_WORDS)}"
+_EMPTY = f"{_LIST([*S.PHRASE_STOP_WORDS, *S.PHRASE_PRODUCT_WORDS])}"
+_PART = lambda k, r, c: f"CASE WHEN {k} > 0 THEN ({k}) * ln(({k})::DOUBLE * t / (({r})::DOUBLE * ({c}))) ELSE 0 END"
+_PAIRS = f"""{_DOC}, sn AS (SELECT regexp_extract_all(unnest(regexp_split_to_array(lower(coalesce(review_text, '')), '[.!?;:,\\n\\r]+')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM doc),
+pc AS (SELECT p[1] AS first, p[2] AS second, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM sn) GROUP BY 1, 2),
+pm AS (SELECT *, sum(n) OVER (PARTITION BY first) AS l, sum(n) OVER (PARTITION BY second) AS r, sum(n) OVER () AS t FROM pc),
+g AS (SELECT first, second, n, CASE WHEN n::DOUBLE * t >= l::DOUBLE * r THEN 1 ELSE -1 END * 2 * ({_PART("n", "l", "r")} + {_PART("l - n", "l", "t - r")} + {_PART("r - n", "t - l", "r")} + {_PART("t - l - r + n", "t - l", "t - r")}) AS g2 FROM pm WHERE n >= 5)"""
+_CVALUES = f"""{_PAIRS}, rn AS (SELECT unnest(flatten(list_transform([2, 3, 4], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS ws FROM sn),
+cc AS (SELECT ws, count(*) AS n FROM rn WHERE NOT list_contains({_INNER}, ws[1]) AND NOT list_contains({_INNER}, ws[len(ws)]) GROUP BY 1 HAVING count(*) >= 5),
+cv AS (SELECT * FROM cc WHERE len(list_filter(ws, lambda x: NOT list_contains({_EMPTY}, x))) > 0 AND len(list_filter(ws, lambda x: NOT regexp_matches(x, '^[0-9]+$'))) > 0 AND len(list_filter(ws, lambda x: length(x) > 2)) > 0),
+pp AS (SELECT ws, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) AS pair FROM cv),
+cd AS (SELECT cv.ws, any_value(cv.n) AS n FROM cv JOIN pp USING (ws) LEFT JOIN g ON g.first = pair[1] AND g.second = pair[2] AND g2 >= {P.SIGNIFICANT} GROUP BY cv.ws HAVING bool_and(g2 IS NOT NULL)),
+sb AS (SELECT n, unnest(list_distinct(flatten(list_transform(range(2, len(ws)), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1]))))) AS ws FROM cd WHERE len(ws) > 2),
+ar AS (SELECT ws, sum(n) AS around, count(*) AS longer FROM sb GROUP BY 1),
+cw AS (SELECT array_to_string(ws, ' ') AS phrase, len(ws) AS words, n, coalesce(longer, 0) AS longer, round(1000 * log2(len(ws)) * (n - coalesce(around / longer, 0)))::BIGINT AS c_value FROM cd LEFT JOIN ar USING (ws))"""
+
+
+@query(f"WITH {_PAIRS} SELECT first, second, n, round(g2, 4) AS g2 FROM g")
+def phrase_neighbours(spark, d):
+    return P.neighbours(P.sentences(document_reviews(spark, d))).withColumn("g2", r4("g2"))
+
+
+@query(f"WITH {_CVALUES} SELECT phrase, words, n, longer, c_value FROM cw")
+def phrase_values(spark, d):
+    return P.c_values(P.candidates(P.sentences(document_reviews(spark, d))))
+
+
+def _segments(spark, d):
+    rows = P.sentences(document_reviews(spark, d)).select("review_id", "sentence")
+    return P.segmented(rows, P.c_values(P.candidates(rows)))
+
+
+@query(None)
+def phrase_segments(spark, d):
+    """Phrases that the segmentation of all reviews uses, by reviews in the later and the earlier half of the ids."""
+    rows = _segments(spark, d)
+    half = document_reviews(spark, d).agg((F.max("review_id") / 2).alias("half"))
+    return P.segment_frequency(rows.join(F.broadcast(half)), F.col("review_id") > F.col("half"))
+
+
+@query(None)
+def phrase_segments_emerging(spark, d):
+    return vocabulary.emerging_phrases(phrase_segments(spark, d))
