@@ -73,6 +73,51 @@ def unscrambled(text: Column) -> Column:
     return F.when(F.is_valid_utf8(latin), latin).otherwise(text)
 
 
+#: Characters that windows-1252 has where Latin-1 has controls, and these controls.
+_SPECIAL = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_SPECIALS, _CONTROLS = "".join(_SPECIAL.values()), "".join(chr(b) for b, c in _SPECIAL.items() if c)
+#: Bytes of one UTF-8 character of two to four bytes, as characters.
+_SCRAMBLED = r"[\x{C2}-\x{DF}][\x{80}-\x{BF}]|[\x{E0}-\x{EF}][\x{80}-\x{BF}]{2}|[\x{F0}-\x{F4}][\x{80}-\x{BF}]{3}"
+#: What reviews hardly contain: controls, rare Latin and phonetic letters, private use, and other alphabets' letters beside Latin ones.
+_UNLIKELY = r"[\x{80}-\x{9F}\x{180}-\x{19F}\x{1A2}-\x{1AE}\x{1B1}-\x{217}\x{21C}-\x{2FF}\x{E000}-\x{F8FF}\x{FFFD}]|(?<=\p{IsLatin})[\x{370}-\x{7FF}]|[\x{370}-\x{7FF}](?=\p{IsLatin})"
+
+
+def as_bytes(text: Column) -> Column:
+    """The windows-1252 characters of ``text`` as the Latin-1 controls of the same bytes."""
+    return F.translate(text, _SPECIALS, _CONTROLS)
+
+
+def reread(text: Column) -> Column:
+    """``text`` with its characters taken as bytes of windows-1252 or Latin-1, mixed or not, and read as UTF-8; null where that cannot be."""
+    plain = as_bytes(text)
+    latin = F.encode(F.when(plain.rlike(r"^[\x{0}-\x{FF}]*$") & plain.rlike(_SCRAMBLED), plain), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(latin), latin)
+
+
+def badness(text: Column) -> Column:
+    """How much of ``text`` looks scrambled: sequences that would be UTF-8, and unlikely characters."""
+    return F.regexp_count(as_bytes(text), F.lit(_SCRAMBLED)) + F.regexp_count(text, F.lit(_UNLIKELY))
+
+
+def descrambled(text: Column) -> Column:
+    """UTF-8 that was read as windows-1252 or Latin-1, up to three times over, is read again.
+
+    Each piece between blanks is repaired by itself, so that sound and scrambled words may stand
+    in one text. Of the piece and what up to three steps make of it, the cheapest wins: two for
+    each scrambled sequence or unlikely character, one a step; ties to fewer steps. Texts
+    without a scrambled sequence (null, empty, ASCII, most others) are not taken apart.
+    """
+    def cheapest(*chain: Column) -> Column:
+        priced = F.array(*[F.when(c.isNotNull(), F.struct((2 * badness(c) + i).alias("cost"), F.lit(i).alias("steps"), c.alias("text"))) for i, c in enumerate(chain)])
+        return F.array_min(F.filter(priced, lambda x: x.isNotNull()))["text"]
+
+    def piece(a: Column) -> Column:
+        return F.when(as_bytes(a).rlike(_SCRAMBLED), let(reread(a), lambda b: let(reread(b), lambda c: let(reread(c), lambda d: cheapest(a, b, c, d))))).otherwise(a)
+
+    pieces = F.split(F.when(as_bytes(text).rlike(_SCRAMBLED), text), r"(?<=[ \t\n\r])")
+    return F.coalesce(F.array_join(F.transform(pieces, piece), ""), text)
+
+
 def hinglish(text: Column) -> tuple[Column, Column]:
     """The share of Hindi words among the Latin ones (null without any), and whether there are any."""
     ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
@@ -270,7 +315,7 @@ def preprocess(reviews: DataFrame, text: str = "review_text", translate=None) ->
     """
     c = F.col
     out = reviews.withColumn("__t", F.when(F.trim(one_space(c(text))) != "", c(text)))
-    out = out.withColumn("__e", emoji_tags(repaired(composed(unscrambled(c("__t")))))).withColumn("__l", F.when(c("__t").isNull(), "EN").otherwise(review_language(c("__e.text"))))
+    out = out.withColumn("__r", descrambled(c("__t"))).withColumn("__e", emoji_tags(repaired(composed(c("__r"))))).withColumn("__l", F.when(c("__t").isNull(), "EN").otherwise(review_language(c("__e.text"))))
     known = F.when(c("__l") != "EN", translate(c("__e.text"))).otherwise(c("__e.text")) if translate else c("__e.text")
     out = out.withColumn("__n", calmed(known)).withColumn("__tags", F.coalesce("__e.tags", F.array().cast("array<string>")))
     blank = c("__t").isNull()
@@ -278,7 +323,7 @@ def preprocess(reviews: DataFrame, text: str = "review_text", translate=None) ->
         "clean_text": F.coalesce("__n.text", F.lit("")), "language": c("__l"), "emoji_tags": c("__tags"), "caps_intensity": F.coalesce("__n.caps", F.lit(False)),
         "quality_score": F.when(blank, 0).otherwise(word_score(c("__n.text"), c("__tags"))), "flags": F.when(blank, F.array(F.lit("empty_text"))).otherwise(quality_flags(c("__n.text"), c("__tags"))),
     })
-    return out.withColumns({"low_quality": c("quality_score") < 20, "trust_score": c("quality_score") / 100}).drop("__t", "__e", "__l", "__n", "__tags")
+    return out.withColumns({"low_quality": c("quality_score") < 20, "trust_score": c("quality_score") / 100}).drop("__t", "__r", "__e", "__l", "__n", "__tags")
 
 
 def sarcasm_decision(text: Column, confidence: Column, sentiment: Column, second_pass: Column | None = None) -> Column:

@@ -738,3 +738,19 @@ def phrase_segments(spark, d):
 @query(None)
 def phrase_segments_emerging(spark, d):
     return vocabulary.emerging_phrases(phrase_segments(spark, d))
+
+
+# encodings
+
+
+@query("SELECT doc_id AS review_id, md5(text) AS text_md5 FROM documents")
+def text_descrambled(spark, d):
+    """Every text read wrongly 0 to 3 times by turns, as Latin-1 or windows-1252, and repaired."""
+    def scrambled(text, windows):
+        latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+        return F.translate(latin, X._CONTROLS, X._SPECIALS) if windows else latin
+
+    times, rows = F.col("review_id") % 4, document_reviews(spark, d).withColumn("t", F.col("review_text"))
+    for k in range(3):
+        rows = rows.withColumn("t", F.when(times > k, F.when(F.col("review_id") % 3 == 0, scrambled(F.col("t"), False)).otherwise(scrambled(F.col("t"), True))).otherwise(F.col("t")))
+    return rows.select("review_id", F.md5(X.descrambled(F.col("t"))).alias("text_md5"))
