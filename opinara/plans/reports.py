@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from opinara import schema as S
-from opinara.functions import text as X
+from opinara.functions import lexicon, text as X
 from opinara.functions.numbers import percent, rounded as r4
 from opinara.operators import agreement, bots as B, escalation as E, evaluation as V, insights as I, languages as L, phrases as P, records as R, trends as T, vocabulary, weekly as W
 from opinara.operators.ordering import positions
 from opinara.plans import catalog as C, oracle as O
 from opinara.plans.catalog import STOP_TEST
 from opinara.plans.views import document_reviews, event_reviews, line_reviews, table
-from opinara.sources import scans, sinks, snapshots, splittable
+from opinara.sources import responses, scans, sinks, snapshots, splittable
 from opinara.storage import fresh_path
 from opinara.streaming import lifecycle
 
@@ -754,3 +754,27 @@ def text_descrambled(spark, d):
     for k in range(3):
         rows = rows.withColumn("t", F.when(times > k, F.when(F.col("review_id") % 3 == 0, scrambled(F.col("t"), False)).otherwise(scrambled(F.col("t"), True))).otherwise(F.col("t")))
     return rows.select("review_id", F.md5(X.descrambled(F.col("t"))).alias("text_md5"))
+
+
+# lexicons and kept responses
+
+_TERMS = sorted({t.lower() for e in S.EMOTIONS for t in e[5]} | set(C.KEY_TEST) | set(S.PHRASE_STOP_WORDS) | set(S.HINDI_WORDS))
+
+
+@query(f"WITH {_DOC}, k AS (SELECT unnest(list_filter({_LIST(_TERMS)}, lambda k: contains(lower(review_text), k))) AS term FROM doc) SELECT term, count(*) AS reviews FROM k GROUP BY 1")
+def lexicon_terms(spark, d):
+    held = document_reviews(spark, d).select(F.explode(lexicon.held_terms(F.lower("review_text"), _TERMS)).alias("term"))
+    return held.groupBy("term").agg(F.count("*").alias("reviews"))
+
+
+@query(f"""WITH {_DOC}, c AS (SELECT CASE WHEN review_id % 2 = 0 THEN 'second' WHEN review_id % 3 = 0 THEN 'first' ELSE 'asked' END AS response, review_id FROM doc)
+SELECT response, count(*) AS reviews, min(review_id) AS first_id FROM c GROUP BY 1""")
+def kept_responses(spark, d):
+    """Two batches that overlap, the newer one counts; what neither holds is asked."""
+    rows, content = document_reviews(spark, d).select("review_id", "language"), ["review_id", "language"]
+    store = responses.Responses(spark, fresh_path(spark, "responses"))
+    batch = lambda some, name, at: some.select(sinks.cache_key(content).alias("key"), F.lit(name).alias("response"), F.lit(at).cast("timestamp").alias("stored_at"))
+    store.put(batch(rows.filter("review_id % 2 = 0"), "second", "2024-01-02"))
+    store.put(batch(rows.filter("review_id % 3 = 0"), "first", "2024-01-01"))
+    told = store.answered(rows, content, lambda _: F.lit("asked"))
+    return told.groupBy("response").agg(F.count("*").alias("reviews"), F.min("review_id").alias("first_id"))
