@@ -232,8 +232,8 @@ def sarcasm(text: Column, rules=None) -> Column:
     return let(found, lambda rs: F.struct(F.array_join(F.transform(rs, lambda r: r["flag"]), ",").alias("flags"), total(rs).alias("confidence")))
 
 
-def bot_signals(text: Column, rating: Column, username: Column) -> Column:
-    """Signals of one review by itself, as an array of struct(signal, points)."""
+def bot_signals(text: Column, rating: Column, username: Column, verified: Column | None = None) -> Column:
+    """Signals of one review by itself, as an array of struct(signal, points). ``verified``: whether the purchase was; only false, or the text False, tells."""
     ws = words(text)
     n = F.size(ws)
     diversity = F.size(F.array_distinct(ws)) / n
@@ -244,6 +244,7 @@ def bot_signals(text: Column, rating: Column, username: Column) -> Column:
         item((n > 0) & (diversity < 0.4), "LOW_LEXICAL_DIVERSITY", 20), item((n > 0) & (diversity >= 0.4) & (diversity <= 0.6), "SUSPICIOUS_LEXICAL_DIVERSITY", 10),
         item(n < 5, "TOO_SHORT", 15), item((n >= 5) & (of_words(ws, S.BOT_GENERIC) >= 5) & (of_words(ws, S.BOT_SPECIFIC) == 0), "GENERIC_PRAISE", 20),
         item(F.coalesce(username.rlike(r"(?i)^user_?\d+$"), F.lit(False)), "AUTO_GENERATED_USERNAME", 15),
+        *([] if verified is None else [item(F.coalesce(verified.cast("string").isin("false", "False"), F.lit(False)), "UNVERIFIED_PURCHASE", 10)]),
     ))
 
 

@@ -48,13 +48,14 @@ def neighbour_signals(reviews: DataFrame, stop_words: list[str]) -> DataFrame:
 
 
 def bot_detection(reviews: DataFrame, stop_words: list[str]) -> DataFrame:
-    """Reviews (review_id, review_text, rating, username) with duplicate_type, bot_score and bot_status; duplicates get no score.
+    """Reviews (review_id, review_text, rating, username, and verified_purchase if they have it) with duplicate_type, bot_score and bot_status; duplicates get no score.
 
     The score adds the signals of the review by itself and 20 points for similar reviews, at most 100.
     """
     marked = marked_duplicates(reviews, stop_words)
     scored = marked.join(neighbour_signals(reviews, stop_words), "review_id", "left")
-    own = F.aggregate(X.bot_signals(F.col("review_text"), F.col("rating"), F.col("username")), F.lit(0), lambda a, x: a + x["points"])
+    verified = F.col("verified_purchase") if "verified_purchase" in reviews.columns else None
+    own = F.aggregate(X.bot_signals(F.col("review_text"), F.col("rating"), F.col("username"), verified), F.lit(0), lambda a, x: a + x["points"])
     score = F.when(F.col("duplicate_type") == "", F.least(F.lit(100), own + F.when(F.col("signal").isNotNull(), 20).otherwise(0)))
     return scored.withColumn("bot_score", score).withColumn("bot_status", F.when(F.col("bot_score").isNotNull(), X.bot_status(F.col("bot_score"))))
 

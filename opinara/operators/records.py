@@ -36,6 +36,37 @@ def parsed_response(content: Column, schema: str) -> Column:
     return F.from_json(bare, schema, {"mode": "PERMISSIVE"})
 
 
+FEATURES = "array<struct<feature:string,sentiment:string,intensity:double,confidence:double,evidence:string>>"
+
+
+def validated_extractions(reviews: DataFrame, responses: DataFrame, batch: str = "batch", key: str = "review_id") -> DataFrame:
+    """One row per row of ``reviews`` (batch, key): features, overall_sentiment, trust_indicators, human_review_needed, error_message, from ``responses`` (batch, content), one a batch.
+
+    A content is JSON, fenced or not, with an array ``results`` of objects that name their review.
+    Where it is no JSON (null and empty too, or no response is there), has no such array, or none
+    of its objects names the review, the row is neutral, without features, for a human, and says why. Of
+    several objects for a review the last counts; what one lacks, or has in another form, is empty or
+    neutral. Objects without an id, or of a review that is not in the batch, are left out.
+    """
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("content"), r"^```(json)?", ""), r"```$", ""))
+    read = responses.select(batch, F.try_parse_json(F.when(bare != "", bare)).alias("__v"))
+    read = read.select(batch, F.col("__v").isNotNull().alias("__json"), F.try_variant_get("__v", "$.results", "array<variant>").alias("__results"))
+    part = lambda path, kind: F.try_variant_get("__x", path, kind)
+    each = read.select(batch, F.posexplode("__results").alias("__at", "__x")).select(batch, part("$." + key, "string").alias("__id"), "__at", F.struct(
+        F.coalesce(part("$.features", FEATURES), F.array().cast(FEATURES)).alias("features"), F.coalesce(part("$.overall_sentiment", "string"), F.lit("neutral")).alias("overall_sentiment"),
+        F.coalesce(part("$.trust_indicators", "map<string,boolean>"), F.create_map().cast("map<string,boolean>")).alias("trust_indicators"),
+    ).alias("__r"))
+    last = each.filter("__id IS NOT NULL").groupBy(batch, "__id").agg(F.max_by("__r", "__at").alias("__r"))
+    states = read.select(batch, "__json", F.col("__results").isNotNull().alias("__list"))
+    found = reviews.withColumn("__id", F.col(key).cast("string")).join(states, batch, "left").join(last, [batch, "__id"], "left")
+    error = F.when(~F.coalesce("__json", F.lit(False)), S.NO_JSON).when(~F.col("__list"), S.NO_RESULTS).when(F.col("__r").isNull(), S.MISSING_RESULT)
+    r = F.col("__r")
+    return found.select(
+        *reviews.columns, F.coalesce(r["features"], F.array().cast(FEATURES)).alias("features"), F.coalesce(r["overall_sentiment"], F.lit("neutral")).alias("overall_sentiment"),
+        F.coalesce(r["trust_indicators"], F.create_map().cast("map<string,boolean>")).alias("trust_indicators"), error.isNotNull().alias("human_review_needed"), error.alias("error_message"),
+    )
+
+
 def asked(rows: DataFrame, ask: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "review_id", batch: int = 5, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """``ask`` called with batches of ``batch`` rows in each partition; returns its rows (``schema``, with the key) and an error column.
 

@@ -778,3 +778,26 @@ def kept_responses(spark, d):
     store.put(batch(rows.filter("review_id % 3 = 0"), "first", "2024-01-01"))
     told = store.answered(rows, content, lambda _: F.lit("asked"))
     return told.groupBy("response").agg(F.count("*").alias("reviews"), F.min("review_id").alias("first_id"))
+
+
+@query(f"""WITH {_DOC}, b AS (SELECT review_id, review_id // 5 AS batch, (review_id // 5) % 4 AS kind, review_id % 3 <> 2 AS told FROM doc)
+SELECT review_id, batch, CASE WHEN kind = 0 AND told THEN 'positive' ELSE 'neutral' END AS overall_sentiment, CASE WHEN kind = 0 AND told THEN 'F' || (review_id % 6) END AS feature,
+NOT (kind = 0 AND told) AS human_review_needed, CASE WHEN kind = 1 THEN '{S.NO_JSON}' WHEN kind >= 2 THEN '{S.NO_RESULTS.replace("'", "''")}' WHEN NOT told THEN '{S.MISSING_RESULT}' END AS error_message FROM b""")
+def validated_extractions(spark, d):
+    """Answers for batches of five reviews: fenced JSON that lacks some reviews, cut JSON, JSON without or with a wrong list."""
+    rows = document_reviews(spark, d).select("review_id", F.expr("review_id div 5").alias("batch"))
+    one = F.struct(F.col("review_id"), F.lit("positive").alias("overall_sentiment"), F.array(F.struct(F.concat(F.lit("F"), F.col("review_id") % 6).alias("feature"), F.lit("positive").alias("sentiment"))).alias("features"))
+    answers = rows.groupBy("batch").agg(F.to_json(F.struct(F.collect_list(F.when(F.col("review_id") % 3 != 2, one)).alias("results"))).alias("json"))
+    kind = F.col("batch") % 4
+    content = F.when(kind == 0, F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("{"), "json")).when(kind == 2, '{"data": []}').otherwise('{"results": "none"}')
+    told = R.validated_extractions(rows, answers.select("batch", content.alias("content")))
+    return told.select("review_id", "batch", "overall_sentiment", F.get("features", F.lit(0))["feature"].alias("feature"), "human_review_needed", "error_message")
+
+
+@query(f"""WITH s AS (SELECT *, review_id % 4 = 1 AS bad FROM {of('bot_scores')}), p AS (SELECT review_id, bot_score + CASE WHEN bad THEN 10 ELSE 0 END AS bot_score, concat_ws(',', nullif(signals, ''), CASE WHEN bad THEN 'UNVERIFIED_PURCHASE' END) AS signals FROM s)
+SELECT review_id, bot_score, signals, CASE WHEN bot_score <= 25 THEN 'TRUSTED' WHEN bot_score <= 50 THEN 'LOW_SUSPICION' WHEN bot_score <= 75 THEN 'HIGH_SUSPICION' ELSE 'CONFIRMED_BOT' END AS status FROM p""")
+def bot_unverified(spark, d):
+    verified = F.when(F.col("review_id") % 4 == 0, "True").when(F.col("review_id") % 4 == 1, "False")
+    found = _bot_rows(spark, d).select("review_id", X.bot_signals(F.col("review_text"), F.col("rating"), F.col("username"), verified).alias("s"))
+    score = F.least(F.lit(100), F.aggregate("s", F.lit(0), lambda a, x: a + x["points"]))
+    return found.select("review_id", score.alias("bot_score"), F.array_join(F.transform("s", lambda x: x["signal"]), ",").alias("signals"), X.bot_status(score).alias("status"))

@@ -165,3 +165,4 @@ COLUMN_WORDS = (
 ISSUE_KEYWORDS = ["packaging", "battery", "delivery", "quality", "price", "service", "cap", "leak"]
 TOO_FEW_WEEKS = "Need more data — 4+ weeks required for anomaly detection."
 MISSING_RESULT = "Missing in API response"
+NO_JSON, NO_RESULTS = "JSON parse error", "Parse error: Invalid JSON structure: missing 'results' array"

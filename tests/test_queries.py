@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["trend_direction", "lifecycle_transitions", "escalation_rank", "weekly_anomalies", "batch_fixed", "exact_dups", "trust_scores", "emotion_scores", "precision_recall", "vocab_emerging", "stream_weekly", "bound_scan", "labelled_features", "results_attached", "saved_run", "anomaly_insights", "feature_spikes", "action_records", "brief_texts", "lifecycle_runs", "feature_precision_recall", "preprocess_fixture", "quality_flags", "emotion_signals", "sarcasm_decisions", "bot_totals", "csv_ranges", "json_ranges", "stream_lifecycle", "lifecycle_stage", "dup_components", "tfidf_edges", "text_campaigns", "burst_campaigns", "emotion_urgency_ids", "rank_agreement", "kappa_agreement", "language_bayes", "language_accuracy", "phrase_neighbours", "phrase_values", "text_descrambled", "lexicon_terms", "kept_responses"]
+SOME = ["trend_direction", "lifecycle_transitions", "escalation_rank", "weekly_anomalies", "batch_fixed", "exact_dups", "trust_scores", "emotion_scores", "precision_recall", "vocab_emerging", "stream_weekly", "bound_scan", "labelled_features", "results_attached", "saved_run", "anomaly_insights", "feature_spikes", "action_records", "brief_texts", "lifecycle_runs", "feature_precision_recall", "preprocess_fixture", "quality_flags", "emotion_signals", "sarcasm_decisions", "bot_totals", "csv_ranges", "json_ranges", "stream_lifecycle", "lifecycle_stage", "dup_components", "tfidf_edges", "text_campaigns", "burst_campaigns", "emotion_urgency_ids", "rank_agreement", "kappa_agreement", "language_bayes", "language_accuracy", "phrase_neighbours", "phrase_values", "text_descrambled", "lexicon_terms", "kept_responses", "validated_extractions", "bot_unverified", "bot_scores"]
 
 
 def oracle(sql):
