@@ -6,7 +6,6 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinara.llm._common import map_arrow, table
@@ -24,7 +23,7 @@ SKETCH, LEAST_SHARED, LEAST_ESTIMATE = 48, 0.55, 0.4
 FIRST_KEY = 1 << 62
 #: Members that one task confirms against a centre.
 CHUNK = 500
-#: Sets outside their centre's component, and others of the centre, that meet in one task; also the sides of a block of a list.
+#: Sides of a block of a list.
 STRAYS, MEMBERS = 128, 1024
 #: Different shingles that are counted at a time there: 32 MB a side, however long the texts.
 WIDTH = 8192
@@ -162,41 +161,97 @@ def shared(x: list, y: list) -> np.ndarray:
     return out
 
 
+def open_lists(posts: DataFrame) -> DataFrame:
+    """``posts`` of lists in which sets of different components may be linked, without the sets that can't be with any other there.
+
+    The first shingle that two linked sets share leaves both as many as they must have in common
+    (``own`` of both less ``free``), and the smallest ``own`` of the list is the least that a partner asks.
+    """
+    stray = F.when(F.col("stray"), F.col("own"))
+    lists = posts.groupBy("centre", "v").agg(F.count("*").alias("n"), F.min("own").alias("least"), F.min(stray).alias("least_stray"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    lists = lists.filter("n > 1 AND lo <> hi AND least_stray IS NOT NULL").drop("lo", "hi")
+    found = posts.join(lists.drop("n"), ["centre", "v"])
+    return found.filter(F.col("left") >= F.col("own") + F.when(F.col("stray"), F.col("least")).otherwise(F.col("least_stray")) - F.col("free") - 1e-6).drop("least", "least_stray")
+
+
+def differences_posted(known: DataFrame, similarity: float) -> DataFrame:
+    """(centre, v, node, component, stray, own, free, left): each set under the shingles by which it differs from its centre.
+
+    A set is its centre's without ``less`` and with ``more``. Two of one centre are linked
+    only if they share own_x + own_y - free of these shingles, with own = (|less| +
+    similarity |more|) / (1 + similarity) and free = size (1 - similarity) / (1 + similarity). A set
+    outside the centre's component has own > free: it must share more than its partner's
+    own, so it never meets what has nothing of its differences. ``left`` counts a set's
+    shingles from this one on, rare ones first, among those that any two share.
+    """
+    stray = F.col("component") != F.col("home")
+    counts = known.groupBy("centre").agg(F.count_if(stray).alias("strays"), F.count("*").alias("n")).filter("strays > 0")
+    held = stored(lookup_by_key(known, counts, ["centre"], "n", "inner").withColumn("stray", stray), "round")
+    each = held.select("centre", "node", "stray", F.explode(F.concat("less", "more")).alias("v"))
+    uses = each.groupBy("centre", "v").agg(F.count("*").alias("n"), F.count_if("stray").alias("strays")).filter("n > 1 AND strays > 0").select("centre", "v", F.col("n").alias("often"))
+    ordered = each.join(uses, ["centre", "v"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("vs"))
+    own = (F.size("less") + similarity * F.size("more")) / (1 + similarity)
+    facts = held.select("node", "centre", "component", "stray", own.alias("own"), (F.col("size") * (1 - similarity) / (1 + similarity)).alias("free"))
+    placed = ordered.select("node", F.size("vs").alias("m"), F.posexplode("vs").alias("p", "x")).select("node", F.col("x.v").alias("v"), (F.col("m") - F.col("p")).alias("left"))
+    return placed.join(facts, "node").select("centre", "v", "node", "component", "stray", "own", "free", "left")
+
+
+def star_pairs(posts: DataFrame) -> DataFrame:
+    """(a, b): each set with the one set, of all the lists' smallest in ``own``, that it may be linked with."""
+    met = posts.join(posts.groupBy("centre", "v").agg(F.min(F.struct("own", "node", "component", "stray", "left")).alias("star")), ["centre", "v"])
+    alike = F.least("left", "star.left") >= F.col("own") + F.col("star.own") - F.col("free") - 1e-6
+    met = met.filter((F.col("component") != F.col("star.component")) & (F.col("stray") | F.col("star.stray")) & alike)
+    return met.groupBy("node").agg(F.min(F.struct("star.own", "star.node")).alias("x")).select(F.col("node").alias("a"), F.col("x.node").alias("b"))
+
+
+def met_in_lists(posts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components that may be linked. A list meets itself in blocks of MEMBERS."""
+    lists = posts.groupBy("centre", "v").agg(F.count("*").alias("n"), F.count_if("stray").alias("strays"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi AND strays > 0")
+    lists = lists.select("centre", "v", F.ceil(F.col("strays") / MEMBERS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"))
+    held = stored(posts.join(lists, ["centre", "v"]), "open")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "stray", "own", "left")]
+    x = held.filter("stray").select("centre", "v", "free", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), *side("x"))
+    y = held.select("centre", "v", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cols")).cast("int").alias("j"), *side("y"))
+    y = y.select(*[F.col(c).alias(c if c.endswith("_y") else f"{c}_k") for c in y.columns])
+    once = ~F.col("stray_y") | (F.col("node_x") < F.col("node_y"))
+    alike = F.least("left_x", "left_y") >= F.col("own_x") + F.col("own_y") - F.col("free") - 1e-6
+    block = [F.col(c) == F.col(f"{c}_k") for c in ("centre", "v", "i", "j")]
+    met = x.join(y, block[0] & block[1] & block[2] & block[3] & once & (F.col("component_x") != F.col("component_y")) & alike)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def linked_by_differences(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the components of those ``pairs`` of sets of one centre that are linked.
+
+    |x and y| = size - |less_x| - |less_y| + |less_x and less_y| + |more_x and more_y|: exact,
+    from short differences. The pairs of a b are dealt into chunks of CHUNK.
+    """
+    pairs = stored(pairs, "round_pairs")
+    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int").alias("chunk"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("component", "less", "more")]
+    ys = known.withColumnRenamed("node", "b").join(per, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "size", *side("y"))
+    both = dealt.join(ys, ["b", "chunk"]).join(known.select(F.col("node").alias("a"), *side("x")), "a")
+    same = F.size(F.array_intersect("less_x", "less_y")) + F.size(F.array_intersect("more_x", "more_y"))
+    common = F.col("size").cast("long") - F.size("less_x") - F.size("less_y") + same
+    union = 2 * F.col("size") - F.size("less_x") + F.size("more_x") - F.size("less_y") + F.size("more_y") - common
+    scale = 10**9
+    return both.filter(common * scale >= F.lit(round(similarity * scale)) * union).select(F.col("component_x").alias("a"), F.col("component_y").alias("b")).distinct()
+
+
 def links_round_centres(known: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between different components among the sets confirmed against one centre.
+    """(a, b): enough links between different components among the sets confirmed against one centre to join all that are linked.
 
     ``known``: node, component, centre, home (the centre's component), size (of the
-    centre's set), less, more. A set is its centre's without ``less`` and with ``more``,
-    so |a and b| = size - |less_a| - |less_b| + |less_a and less_b| + |more_a and more_b|:
-    exact, from short differences. Those outside the centre's component meet all others of
-    the centre, in blocks of STRAYS x MEMBERS, and only links come out.
+    centre's set), less, more. Sets outside the centre's component meet others in the lists
+    of their ``differences_posted``: first only the one of a list that differs least from the
+    centre, then what is still in different components.
     """
-    counts = known.groupBy("centre").agg(F.count_if(F.col("component") != F.col("home")).alias("strays"), F.count("*").alias("n")).filter("strays > 0")
-    counts = counts.select("centre", F.ceil(F.col("strays") / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"), "n")
-    held = lookup_by_key(known, counts, ["centre"], "n", "inner")
-    side = ["node", "component", "size", "less", "more"]
-    left = held.filter("component <> home").select("centre", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), *side)
-    right = held.select("centre", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cols")).cast("int").alias("j"), *side)
-
-    # new names, for the two sides come from one plan
-    right = right.select(*[F.col(c).alias(f"{c}_y") for c in right.columns])
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found, y = [], y.rename(columns=lambda c: c.removesuffix("_y"))
-        if len(x) and len(y):
-            both = sum(shared(list(x[c]), list(y[c])) for c in ("less", "more"))
-            gone_x, gone_y, new_x, new_y = (f[c].map(len).to_numpy(np.int64) for c, f in (("less", x), ("less", y), ("more", x), ("more", y)))
-            size = int(x["size"].iloc[0])
-            common = size - gone_x[:, None] - gone_y[None] + both.astype(np.int64)
-            union = (size - gone_x + new_x)[:, None] + (size - gone_y + new_y)[None] - common
-            scale = 10**9
-            linked = (common * scale >= round(similarity * scale) * union) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None])
-            i, j = np.nonzero(linked)
-            # a row for each stray and component: they say all that the links say
-            found = list(dict.fromkeys(zip(x["component"].to_numpy()[i].tolist(), y["component"].to_numpy()[j].tolist())))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return left.groupBy("centre", "i", "j").cogroup(right.groupBy("centre_y", "i_y", "j_y")).applyInPandas(run, "a long, b long").distinct()
+    posts = stored(open_lists(stored(differences_posted(known, similarity), "differences")), "posts")
+    first = stored(linked_by_differences(star_pairs(posts), known, similarity), "round_stars")
+    now = connected_components(first).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    posts = posts.join(now, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+    return first.unionByName(linked_by_differences(met_in_lists(open_lists(posts)), known, similarity))
 
 
 def rivals(lists: DataFrame, state: DataFrame, classes: DataFrame, k: int, similarity: float, estimate: float) -> DataFrame:
@@ -238,8 +293,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     2. Inverted lists of the classes' retained values, the rarest that suffice.
     3. In each list everything is paired with its most typical member only; each class
        keeps the partner that most lists give it, and the pair is confirmed on full sets.
-    4. Those confirmed against one centre and left outside its component meet the others
-       of that centre, exactly and in blocks, by their differences from the centre.
+    4. Those confirmed against one centre and left outside its component meet others
+       of that centre that share enough of their differences from it.
     5. What is still in different components, has different centres and shares a list is
        estimated on the union of the sketches and confirmed on full sets. Pairs inside a
        component are never made, so large groups cost about their size.
