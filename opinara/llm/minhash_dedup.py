@@ -23,8 +23,10 @@ SKETCH, LEAST_SHARED, LEAST_ESTIMATE = 48, 0.55, 0.4
 FIRST_KEY = 1 << 62
 #: Members that one task confirms against a centre.
 CHUNK = 500
-#: Sides of a block of a list.
-STRAYS, MEMBERS = 128, 1024
+#: Lists of more sets than this do not meet themselves: their sets meet by their differences from one of them.
+STRAYS = 128
+#: Side of a block of a list of differences.
+MEMBERS = 1024
 #: Different shingles that are counted at a time there: 32 MB a side, however long the texts.
 WIDTH = 8192
 
@@ -92,9 +94,9 @@ def inverted_lists(classes: DataFrame, k: int, similarity: float, estimate: floa
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, union, less, more): exact sizes for pairs of documents, from their full shingle sets.
+    """(a, b, round, common, union, less, more): exact sizes for pairs of documents, from their full shingle sets.
 
-    ``less`` are the shingles that only b has, ``more`` those that only a has.
+    ``less`` are the shingles that only b has, ``more`` those that only a has; ``round`` names b's set.
 
     The pairs of a b are dealt into chunks of CHUNK and read as a stream sorted by chunk
     with b's text in front, so a task holds one set besides a batch, however many pairs b has.
@@ -109,28 +111,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         at, sets = None, []
+        name_of = lambda c: int.from_bytes(hashlib.blake2b(c.tobytes(), digest_size=8).digest(), "little", signed=True)
         for batch in batches:
             key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             a = batch.column(2).to_pylist()
             h, sizes = shingle_sets(batch.column(3).to_pylist(), shingle)
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            out = {"a": [], "b": [], "common": [], "union": [], "less": [], "more": []}
+            out = {"a": [], "b": [], "round": [], "common": [], "union": [], "less": [], "more": []}
             for i, k in enumerate(key):
                 s = h[edge[i] : edge[i + 1]]
                 if k != at:
                     at, sets = k, []
                 if a[i] is None:
-                    sets.append(s.copy())
+                    sets.append((s.copy(), name_of(s)))
                 else:  # a repeated doc_id has several texts
-                    for c in sets:
+                    for c, centre in sets:
                         common = len(np.intersect1d(c, s, assume_unique=True))
                         union = len(c) + len(s) - common
                         differ = (np.setdiff1d(c, s, True).view(np.int64), np.setdiff1d(s, c, True).view(np.int64))
-                        for name, x in zip(out, (a[i], k[0], common, union, *differ)):
+                        for name, x in zip(out, (a[i], k[0], centre, common, union, *differ)):
                             out[name].append(x)
             yield out
 
-    return map_arrow(stream, run, "a long, b long, common long, union long, less array<long>, more array<long>")
+    return map_arrow(stream, run, "a long, b long, round long, common long, union long, less array<long>, more array<long>")
 
 
 def places(lists: list, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,40 +251,66 @@ def links_round_centres(known: DataFrame, similarity: float) -> DataFrame:
     centre, then what is still in different components.
     """
     posts = stored(open_lists(stored(differences_posted(known, similarity), "differences")), "posts")
+    if posts.isEmpty():
+        return posts.select(F.col("component").alias("a"), F.col("component").alias("b"))
     first = stored(linked_by_differences(star_pairs(posts), known, similarity), "round_stars")
     now = connected_components(first).select(F.col("node").alias("component"), F.col("component").alias("top"))
     posts = posts.join(now, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
     return first.unionByName(linked_by_differences(met_in_lists(open_lists(posts)), known, similarity))
 
 
+def mixed_lists(lists: DataFrame, state: DataFrame) -> DataFrame:
+    """(v, n) of the lists that hold sets of different components and centres."""
+    posted = lists.select("v", "node").join(state, "node")
+    found = posted.groupBy("v").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("centre").alias("c0"), F.max("centre").alias("c1"))
+    return found.filter("lo <> hi AND c0 <> c1").select("v", "n")
+
+
 def rivals(lists: DataFrame, state: DataFrame, classes: DataFrame, k: int, similarity: float, estimate: float) -> DataFrame:
     """(a, b): candidates of different components and centres, from the lists that still hold several.
 
     Their estimate is made on the union of the two sketches, while the list is joined, so
-    only candidates that pass it are ever rows. A list meets itself in blocks of STRAYS x
-    MEMBERS: however long it is, no task has more of it than one block at a time.
+    only candidates that pass it are ever rows. Each list meets itself, so they are to be
+    short; they are dealt by their number, since the work is not in their bytes.
     """
     posted = lists.select("v", "node").join(state.select("node", "component", "centre"), "node")
-    mixed = posted.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("centre").alias("c0"), F.max("centre").alias("c1"), F.count("*").alias("n")).filter("lo <> hi AND c0 <> c1")
-    mixed = mixed.select("v", F.ceil(F.col("n") / STRAYS).cast("int").alias("rows"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("cols"), "n")
     # unsigned order: the sketches hold the smallest unsigned hashes
     ordered = F.array_sort(F.transform("sketch", lambda v: v.bitwiseXOR(-(2**63))))
-    held = lookup_by_key(posted, mixed, ["v"], "n", "inner").join(classes.select("node", ordered.alias("s"), F.col("n_shingles").alias("size")), "node")
-    held = stored(held, "held")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "centre", "s", "size")]
-    x = held.select("v", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), *side("x"))
-    y = held.select("v", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cols")).cast("int").alias("j"), *side("y"))
-    y = y.select(*[F.col(c).alias(f"{c}y" if c in "vij" else c) for c in y.columns])
+    held = posted.join(mixed_lists(lists, state).select("v"), "v").join(classes.select("node", ordered.alias("s"), F.col("n_shingles").alias("size")), "node")
+    held = stored(held, "held").repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    x, y = (held.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "centre", "s", "size")]) for side in "xy")
     low = F.slice(F.array_sort(F.array_union("s_x", "s_y")), 1, k)
     hit = F.size(F.array_intersect(F.array_intersect("s_x", "s_y"), low))
     most = F.greatest("size_x", "size_y")
     least = F.when(most <= k, F.lit(similarity)).otherwise(F.lit(estimate))
     apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("centre_x") != F.col("centre_y"))
     alike = (F.least("size_x", "size_y") >= F.lit(similarity) * most - 1e-9) & (hit >= least * F.size(low) - 1e-9)
-    met = x.join(y, (F.col("v") == F.col("vy")) & (F.col("i") == F.col("iy")) & (F.col("j") == F.col("jy")) & apart & alike)
+    met = x.join(y.withColumnRenamed("v", "vy"), (F.col("v") == F.col("vy")) & apart & alike)
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
+def regrouped(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` with the components that ``edges`` (a, b) link made one; as it is where there are none."""
+    if edges.isEmpty():
+        return state
+    now = connected_components(edges).withColumnRenamed("node", "c")
+    out = state.withColumnRenamed("component", "c").join(now, "c", "left")
+    return stored(out.select("node", F.coalesce("component", "c").alias("component"), "centre"), "state")
+
+
+def between_components(links: DataFrame, state: DataFrame) -> DataFrame:
+    """(a, b): the components of linked nodes, where they differ."""
+    end = lambda x: state.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    return links.select("a", "b").join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
+
+def against_list_centres(long: DataFrame, lists: DataFrame, centres: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): each set of a ``long`` list with the list's centre, where ``known`` has not met them as single sets."""
+    of = centres.join(long.select("v"), "v").select("v", "centre", "n")
+    pairs = lookup_by_key(lists.select("v", "node"), of, ["v"], "n", "inner").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    return pairs.join(known.select(F.col("node").alias("a"), F.col("centre").alias("b")), ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, k: int = SKETCH, estimate: float = LEAST_ESTIMATE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
 
@@ -293,11 +322,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     2. Inverted lists of the classes' retained values, the rarest that suffice.
     3. In each list everything is paired with its most typical member only; each class
        keeps the partner that most lists give it, and the pair is confirmed on full sets.
-    4. Those confirmed against one centre and left outside its component meet others
+    4. The sets of a list of more than STRAYS in which components and centres still differ
+       are confirmed against the list's centre too.
+    5. Those confirmed against one centre and left outside its component meet others
        of that centre that share enough of their differences from it.
-    5. What is still in different components, has different centres and shares a list is
-       estimated on the union of the sketches and confirmed on full sets. Pairs inside a
-       component are never made, so large groups cost about their size.
+    6. What is still in different components, has different centres and shares a list of
+       up to STRAYS sets is estimated on the union of the sketches and confirmed on full
+       sets. Pairs inside a component are never made, so large groups cost about their size.
+
+    Steps for which nothing is left are not planned.
 
     A null or empty text, or one without words, has an empty set and is its own component.
     Rows that repeat a doc_id are one document, linked by any of their texts, one row
@@ -324,24 +357,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     parts = connected_components(stars.filter(linked))
 
     # a doc_id with several texts has no one difference: it keeps a centre of its own
-    known = stars.groupBy("a").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("b", "common", "less", "more")]).filter("n = 1")
+    known = stars.groupBy("a").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("b", "round", "common", "less", "more")]).filter("n = 1")
     several = involved.join(texts.groupBy("node").count().filter("count > 1").select("node"), "node", "left_semi")
     known = known.join(several.withColumnRenamed("node", "b"), "b", "left_anti")
     own = parts.select(F.col("node").alias("b"), F.col("component").alias("home"))
     state = involved.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     known = known.withColumnRenamed("a", "node").join(state, "node").join(own, "b", "left")
-    known = known.select("node", "component", F.col("b").alias("centre"), F.coalesce("home", "b").alias("home"), (F.col("common") + F.size("less")).alias("size"), "less", "more")
+    size = (F.col("common") + F.size("less")).alias("size")
+    known = known.select("node", "component", F.col("b").alias("centre"), F.coalesce("home", "b").alias("home"), "round", size, "less", "more")
     known = stored(known, "known")
     state = stored(state.join(known.select("node", "centre"), "node", "left").select("node", "component", F.coalesce("centre", "node").alias("centre")), "state")
-    round_centres = stored(links_round_centres(known, similarity), "round")
-    now = connected_components(round_centres)
-    state = stored(state.withColumnRenamed("component", "c").join(now.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("component", "c").alias("component"), "centre"), "state")
-    links = stored(confirmed(stored(rivals(lists, state, classes, k, similarity, estimate), "rivals"), texts, shingle).filter(linked).select("a", "b"), "links")
-    joined = connected_components(links.join(state.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(state.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    last = state.select("node", "component").join(joined.withColumnRenamed("component", "top"), F.col("component") == joined["node"], "left").select(state["node"], F.coalesce("top", "component").alias("component"))
+
+    long = stored(mixed_lists(lists, state).filter(F.col("n") > STRAYS), "long")
+    if not long.isEmpty():
+        met = stored(confirmed(against_list_centres(long, lists, centres, known), texts, shingle), "long-stars")
+        state = regrouped(state, stored(between_components(met.filter(linked), state), "long-links"))
+        # a set has a row for each of its centres, told by their names
+        again = met.select(F.xxhash64("a", "round", "less", "more").alias("key"), F.col("a").alias("node"), F.col("b").alias("centre"), "round", size, "less", "more").dropDuplicates(["key"])
+        again = known.select(F.xxhash64("node", "round").alias("key"), *again.columns[1:]).unionByName(again)
+        again = again.join(state.select("node", "component"), "node").join(state.select(F.col("node").alias("centre"), F.col("component").alias("home")), "centre")
+        known = stored(again.select(F.col("key").alias("node"), "component", F.col("round").alias("centre"), "home", "size", "less", "more"), "known")
+        lists = lists.join(long.select("v"), "v", "left_anti")
+    state = regrouped(state, stored(links_round_centres(known, similarity), "round"))
+    met = stored(rivals(lists, state, classes, k, similarity, estimate), "rivals")
+    if not met.isEmpty():
+        state = regrouped(state, stored(between_components(confirmed(met, texts, shingle).filter(linked), state), "links"))
 
     # a doc_id with several sets joins their components by its name, which is their node
-    named = classes.join(last, "node", "left").select("set_id", "copies", F.coalesce("component", "node").alias("component_id"))
+    named = classes.join(state, "node", "left").select("set_id", "copies", F.coalesce("component", "node").alias("component_id"))
     out = lookup_by_key(rows.select("doc_id", "given", "n_shingles", "set_id"), named, ["set_id"], "copies")
     component = F.coalesce("component_id", "doc_id")
     return out.select(F.col("given").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
