@@ -66,25 +66,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
-def with_digest_column(pages: DataFrame) -> DataFrame:
-    """``pages`` with the bare base32 SHA-1 of its html, by built-in functions: 5 hex digits are 4 base32 digits."""
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    groups = []
-    for k in range(8):
-        n = F.conv(F.substring("__h", 1 + 5 * k, 5), 16, 10).cast("int")
-        groups += [F.substring(alphabet, F.shiftright(n, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return pages.withColumn("__h", F.sha1(F.encode("html", "UTF-8"))).withColumn("digest", F.concat(*groups)).drop("__h")
-
-
 def with_digests(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, payload_bytes) per row; the html never leaves the scan."""
-    return with_digest_column(pages).select("page_id", "digest", F.octet_length("html").cast("long").alias("payload_bytes"))
+    """(page_id, hash, payload_bytes) per row, the hash as SHA-1 in hex; the html never leaves the scan."""
+    return pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("hash"), F.octet_length("html").cast("long").alias("payload_bytes"))
 
 
-def first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(digest, first, copies) of payloads of at least min_bytes that more than one row has; first is null where none has a page_id."""
-    rows = with_digests(pages).filter(F.col("payload_bytes") >= min_bytes)
-    return rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+def first_pages(digests: DataFrame, min_bytes: int) -> DataFrame:
+    """(hash, first, copies) of payloads of at least min_bytes that more than one row has; first is null where none has a page_id."""
+    rows = digests.filter(F.col("payload_bytes") >= min_bytes)
+    return rows.groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -96,13 +86,16 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
     null page_id stays null and stands after all others: such a row revisits the page with its
     payload, and is a response where only such rows have it. An empty table makes no archive. Each attempt of a task writes files of its own, and the index
     names those of the attempts that ended, so lost executors and repeated tasks do no
-    harm. Digests are grouped without the html; one that many pages share is looked up
-    in a broadcast of at most 1000 keys.
+    harm. Each html is hashed once to find its first page, and the hashes are stored and
+    grouped without it; one that many pages share is looked up in a broadcast of at most
+    1000 keys.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    found = stored(lookup_by_key(with_digests(pages), first_pages(pages, min_revisit_bytes), ["digest"], "copies"), "digests")
-    refers = found.filter("first IS NOT NULL AND NOT first <=> page_id").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
-    rows = with_digest_column(pages).join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first")
+    digests = stored(with_digests(pages), "digests")
+    found = lookup_by_key(digests.select("page_id", "hash"), first_pages(digests, min_revisit_bytes), ["hash"], "copies", "inner")
+    refers = found.filter("first IS NOT NULL AND NOT first <=> page_id").select(F.col("page_id").alias("p"), F.col("hash").alias("h"), "first").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.sha1(F.encode("html", "UTF-8")) == F.col("h"))
+    rows = pages.join(refers, same, "left").select("page_id", "url", "html", "first")
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
 
     def run(batches):
@@ -110,8 +103,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
         name, out, at = None, None, 0
         for b in batches:
             rows = []
-            for page, url, html, digest, first in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for page, url, html, first in zip(*(b.column(k).to_pylist() for k in range(4))):
                 payload = html.encode()
+                digest = digest_of(payload)
                 member = record(page, url, payload, digest, first)
                 if out is None or at >= archive_bytes:
                     if out is not None:
@@ -163,7 +157,7 @@ def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
                         start = part[0]["offset"]
                         f.seek(start)
                         raw = f.read(part[-1]["offset"] + part[-1]["length"] - start)
-                        got = [parse(raw[r["offset"] - start :][: r["length"]]) for r in part]
+                        got = [parse(raw[r["offset"] - start : r["offset"] - start + r["length"]]) for r in part]
                         yield {
                             "page_id": [x["page_id"] for x in got], "url": [x["url"] for x in got], "record_type": [x["type"] for x in got],
                             "digest": [digest_of(x["payload"]) if x["type"] == "response" else x["digest"] for x in got],
